@@ -2,53 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def _decimal_text(value: Column, kind: T.DecimalType) -> Column:
+def _decimal_text(value: str, kind: T.DecimalType) -> str:
     if kind.scale == 0:
-        return value.cast("string")
+        return f"string({value})"
     # A fraction that a double holds exactly enough takes the double's text, so
     # that 0.5 compares equal in both types; a longer one keeps all its digits.
-    near = value.cast("double")
-    exact = near.cast("string").try_cast(kind) == value
     return (
-        F.when(value == F.floor(value), F.floor(value).cast("string"))
-        .when(exact, near.cast("string"))
-        .otherwise(F.rtrim(value.cast("string"), F.lit("0")))
+        f"CASE WHEN {value} = floor({value}) THEN string(floor({value}))"
+        f" WHEN try_cast(string(double({value})) AS {kind.simpleString()}) = {value} THEN string(double({value}))"
+        f" ELSE rtrim('0', string({value})) END"
     )
 
 
-def _double_text(value: Column) -> Column:
+def _double_text(value: str) -> str:
     # Whole numbers up to 37 digits take the integer form; -0.0 becomes 0.
-    whole = (value % 1 == 0) & (F.abs(value) < 1e37)
-    return F.when(whole, value.try_cast("decimal(38,0)").cast("string")).otherwise(value.cast("string"))
+    return (
+        f"CASE WHEN {value} % 1 = 0 AND abs({value}) < 1e37"
+        f" THEN string(try_cast({value} AS decimal(38,0))) ELSE string({value}) END"
+    )
 
 
-def cell_text(value: Column, kind: T.DataType) -> Column:
-    """Type-tagged text: numbers by value (1 = 1.0 = true), text never equals a number.
+def cell_text(value: str, kind: T.DataType) -> str:
+    """SQL expression of a column's type-tagged text.
 
+    Numbers compare by value (1 = 1.0 = true), text never equals a number, and
     NaN counts as missing, as NULL does. Integers and decimals stay exact.
     """
     if isinstance(kind, T.NullType):
-        return F.lit(None).cast("string")
+        return "CAST(NULL AS string)"
     if isinstance(kind, T.BooleanType):
-        return F.when(value, F.lit("n:1")).when(~value, F.lit("n:0"))
+        return f"CASE WHEN {value} THEN 'n:1' WHEN NOT {value} THEN 'n:0' END"
     if isinstance(kind, _INTEGERS):
-        return F.concat(F.lit("n:"), value.cast("string"))
+        return f"concat('n:', string({value}))"
     if isinstance(kind, T.DecimalType):
-        return F.concat(F.lit("n:"), _decimal_text(value, kind))
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        wide = value.cast("double") if isinstance(kind, T.DoubleType) else value.cast("string").cast("double")
-        return F.when(~F.isnan(value), F.concat(F.lit("n:"), _double_text(wide)))
+        return f"concat('n:', {_decimal_text(value, kind)})"
+    if isinstance(kind, T.DoubleType):
+        return f"CASE WHEN NOT isnan({value}) THEN concat('n:', {_double_text(value)}) END"
+    if isinstance(kind, T.FloatType):
+        return f"CASE WHEN NOT isnan({value}) THEN concat('n:', {_double_text(f'double(string({value}))')}) END"
     if isinstance(kind, T.StringType):
-        return F.concat(F.lit("s:"), value)
+        return f"concat('s:', {value})"
     if isinstance(kind, T.BinaryType):
-        return F.concat(F.lit("b:"), F.hex(value))
+        return f"concat('b:', hex({value}))"
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        return F.concat(F.lit("j:"), F.to_json(value))
-    return F.concat(F.lit("t:"), value.cast("string"))
+        return f"concat('j:', to_json({value}))"
+    return f"concat('t:', string({value}))"

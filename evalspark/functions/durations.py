@@ -14,14 +14,16 @@ def duration_micros(text: Column) -> Column:
     Integers, so that sums do not depend on the order of the rows. Text in no
     known form gives NULL, which every metric treats as "no usable answer".
     """
-    day_part = F.substring_index(text, " day", 1).try_cast("bigint")
-    days = F.when(text.contains(" day"), day_part).otherwise(F.lit(0))
-    clock = F.split(F.substring_index(text, ", ", -1), ":")
-    hours, minutes = F.get(clock, F.lit(0)).try_cast("bigint"), F.get(clock, F.lit(1)).try_cast("bigint")
-    seconds = F.round(F.get(clock, F.lit(2)).try_cast("double") * MICROS).cast("bigint")
-    plain = F.round(text.try_cast("double") * MICROS).cast("bigint")
-    return F.when(F.size(clock) == 3, ((days * 24 + hours) * 60 + minutes) * (60 * MICROS) + seconds).when(
-        ~text.contains(":"), plain
+    clock = F.substring_index(text, ", ", -1)
+    days = F.when(
+        text.contains(" day"), F.substring_index(text, " day", 1).try_cast("bigint")
+    ).otherwise(F.lit(0))
+    hours = F.substring_index(clock, ":", 1).try_cast("bigint")
+    minutes = F.substring_index(F.substring_index(clock, ":", 2), ":", -1).try_cast("bigint")
+    seconds = F.round(F.substring_index(clock, ":", -1).try_cast("double") * MICROS).cast("bigint")
+    colons = F.length(clock) - F.length(F.translate(clock, ":", ""))
+    return F.when(colons == 2, ((days * 24 + hours) * 60 + minutes) * (60 * MICROS) + seconds).when(
+        colons == 0, F.round(text.try_cast("double") * MICROS).cast("bigint")
     )
 
 

@@ -22,25 +22,55 @@ def path_safe(model: Column) -> Column:
     return F.translate(model, ":", "_")
 
 
+def instructions(instruction_size: Column) -> Column:
+    """The system prompt up to its placeholders, with every instruction block the size includes."""
+    text = fixed.SYSTEM_PROMPT_HEAD + "".join(block for _, block in fixed.INSTRUCTION_BLOCKS)
+    cases = None
+    for least, block in reversed(fixed.INSTRUCTION_BLOCKS):
+        case = (instruction_size >= least, F.lit(text))
+        cases = F.when(*case) if cases is None else cases.when(*case)
+        text = text.removesuffix(block)
+    return cases.otherwise(F.lit(text))
+
+
 def system_prompt(instruction_size: Column) -> Column:
-    """The system prompt with every instruction block the size includes."""
-    blocks = [F.when(instruction_size >= least, F.lit(text)).otherwise(F.lit("")) for least, text in fixed.INSTRUCTION_BLOCKS]
-    return F.concat(F.lit(fixed.SYSTEM_PROMPT_HEAD), *blocks, F.lit(fixed.SYSTEM_PROMPT_TAIL))
+    """The whole system prompt with its placeholders."""
+    return F.concat(instructions(instruction_size), F.lit(fixed.SYSTEM_PROMPT_TAIL))
 
 
-def fill_placeholders(prompt: Column, values: dict[str, Column]) -> Column:
-    """Put the values into the placeholders, in the fixed order."""
-    for mark, name, lead in fixed.PLACEHOLDERS:
+def filled(template: str, values: dict[str, Column]) -> list[Column]:
+    """The parts of a template with the values in its placeholders.
+
+    Placeholders are filled one after the other, so a mark inside a value that
+    was filled in earlier is filled as well. Each value is completed on its
+    own, and the long template text is never searched.
+    """
+    complete: dict[str, Column] = {}
+    for mark, name, lead in reversed(fixed.PLACEHOLDERS):
         value = F.coalesce(values[name], F.lit(""))
-        prompt = F.replace(prompt, F.lit(mark), F.concat(F.lit(lead), value) if lead else value)
-    return prompt
+        text = F.concat(F.lit(lead), value) if lead else value
+        for later_mark, later_name, _ in fixed.PLACEHOLDERS[len(fixed.PLACEHOLDERS) - len(complete) :]:
+            text = F.replace(text, F.lit(later_mark), complete[later_name])
+        complete[name] = text
+    by_mark = {mark: complete[name] for mark, name, _ in fixed.PLACEHOLDERS}
+    pieces = re.split("(" + "|".join(re.escape(mark) for mark in by_mark) + ")", template)
+    return [by_mark.get(piece, F.lit(piece)) for piece in pieces if piece]
 
 
-def blank_placeholders(prompt: Column) -> Column:
-    """Take the placeholders out."""
+def blanked(template: str) -> str:
+    """A template without its placeholders."""
     for mark, _, _ in fixed.PLACEHOLDERS:
-        prompt = F.replace(prompt, F.lit(mark), F.lit(""))
-    return prompt
+        template = template.replace(mark, "")
+    return template
+
+
+def system_forms(values: dict[str, Column]) -> tuple[Column, Column]:
+    """The system prompt with the values filled in, and with the placeholders taken out.
+
+    ``values`` holds ``instructions, question, hint, context, examples``.
+    """
+    whole = F.concat(values["instructions"], *filled(fixed.SYSTEM_PROMPT_TAIL, values))
+    return whole, F.concat(values["instructions"], F.lit(blanked(fixed.SYSTEM_PROMPT_TAIL)))
 
 
 def lay_out(layout: str, values: dict[str, Column]) -> Column:
@@ -57,19 +87,17 @@ def lay_out(layout: str, values: dict[str, Column]) -> Column:
 def prompt_text(family: Column, values: dict[str, Column]) -> Column:
     """The single-string prompt of a model family.
 
-    ``values`` holds ``system, question, hint, context, examples``. A family
-    without a layout of its own gets the plain filled prompt.
+    A family without a layout of its own gets the plain filled prompt.
     """
-    filled = {**values, "system": fill_placeholders(values["system"], values)}
-    blanked = {**values, "system": blank_placeholders(values["system"])}
+    whole, empty = system_forms(values)
     cases = None
-    for layouts, slots in ((fixed.BLANKED_LAYOUTS, blanked), (fixed.FILLED_LAYOUTS, filled)):
+    for layouts, system in ((fixed.BLANKED_LAYOUTS, empty), (fixed.FILLED_LAYOUTS, whole)):
         for name, layout in layouts.items():
             if name == "plain":
                 continue
-            text = lay_out(layout, slots)
+            text = lay_out(layout, {**values, "system": system})
             cases = F.when(family == name, text) if cases is None else cases.when(family == name, text)
-    return cases.otherwise(lay_out(fixed.FILLED_LAYOUTS["plain"], filled))
+    return cases.otherwise(whole)
 
 
 def _message(role: str, content: Column) -> Column:
@@ -78,9 +106,8 @@ def _message(role: str, content: Column) -> Column:
 
 def chat_messages(family: Column, values: dict[str, Column]) -> Column:
     """``array<struct<role,content>>``: system and user turn, or one user turn for ``user_chat``."""
-    system = blank_placeholders(values["system"])
+    whole, system = system_forms(values)
     user = lay_out(fixed.CHAT_USER_LAYOUT, values)
-    whole = fill_placeholders(values["system"], values)
     return F.when(family == "user_chat", F.array(_message("user", whole))).otherwise(
         F.array(_message("system", system), _message("user", user))
     )

@@ -23,68 +23,75 @@ _WIDE = 40
 SIGNATURE = ["n_rows", "n_nulls", *[f"h{seed}_{part}" for seed in _HASHES for part in range(3)]]
 
 
-def _hash_sums(value: Column) -> list[Column]:
-    """Sums over the group of both hashes, in parts."""
+def _hash_sums(value: str) -> list[str]:
+    """SQL sums over the group of both hashes of ``value``, in parts, in SIGNATURE order."""
+    low = (1 << _PART_BITS) - 1
     sums = []
     for seed in _HASHES:
         # The seed goes first, so the two hashes are independent of each other.
-        code = F.xxhash64(F.lit(seed), value)
-        low = (1 << _PART_BITS) - 1
-        parts = [
-            code.bitwiseAND(F.lit(low)),
-            F.shiftrightunsigned(code, _PART_BITS).bitwiseAND(F.lit(low)),
-            F.shiftrightunsigned(code, 2 * _PART_BITS),
-        ]
-        sums += [
-            F.coalesce(F.sum(F.when(value.isNotNull(), part)), F.lit(0)).alias(f"h{seed}_{number}")
-            for number, part in enumerate(parts)
-        ]
+        code = f"xxhash64({seed}, {value})"
+        parts = (
+            f"{code} & {low}L",
+            f"shiftrightunsigned({code}, {_PART_BITS}) & {low}L",
+            f"shiftrightunsigned({code}, {2 * _PART_BITS})",
+        )
+        sums += [f"coalesce(sum(CASE WHEN {value} IS NOT NULL THEN {part} END), 0L)" for part in parts]
     return sums
 
 
+def _signature(value: str) -> list[str]:
+    """SQL aggregates of one column, in SIGNATURE order."""
+    return ["count(1)", f"count(CASE WHEN {value} IS NULL THEN 1 END)", *_hash_sums(value)]
+
+
+def _named(aggregates: list[str]) -> list[Column]:
+    return [F.expr(f"{aggregate} AS {name}") for name, aggregate in zip(SIGNATURE, aggregates)]
+
+
 def column_signatures(cells: DataFrame) -> DataFrame:
     """Signature of every ``(pair_id, side, col_pos)`` of long-form cells."""
-    value = F.col("value")
-    return cells.groupBy("pair_id", "side", "col_pos").agg(
-        F.count("*").alias("n_rows"),
-        F.count(F.when(value.isNull(), 1)).alias("n_nulls"),
-        *_hash_sums(value),
-    )
+    return cells.groupBy("pair_id", "side", "col_pos").agg(*_named(_signature("value")))
+
+
+def _by_position(result: DataFrame) -> DataFrame:
+    """The result with canonical text columns named by position, so equal names do no harm."""
+    named = result.toDF(*[f"c{position}" for position in range(len(result.columns))])
+    return named.selectExpr(*[f"{cell_text(field.name, field.dataType)} AS {field.name}" for field in named.schema.fields])
+
+
+def signature_row(result: DataFrame) -> DataFrame:
+    """All column signatures of a result in one row, side by side, in one pass."""
+    canonical = _by_position(result)
+    aggregates = [aggregate for name in canonical.columns for aggregate in _signature(name)]
+    return canonical.selectExpr(*[f"{aggregate} AS s{number}" for number, aggregate in enumerate(aggregates)])
 
 
 def result_signatures(result: DataFrame) -> DataFrame:
     """The signatures of one result's columns: ``(col_pos, signature columns)``.
 
-    One pass over the result. Columns are told apart by position, so equal
-    names do no harm; a result without rows has the signatures of empty columns.
+    A result without rows has the signatures of empty columns.
     """
-    cells = result_cells(result, 0, GOLD)
-    if len(result.columns) > _WIDE:
-        # Too many aggregates for one generated class: reduce cells by position.
-        positions = result.sparkSession.range(len(result.columns)).select(F.col("id").cast("int").alias("col_pos"))
-        found = column_signatures(cells).drop("pair_id", "side")
-        return positions.join(found, "col_pos", "left").na.fill(0, SIGNATURE)
-    named = result.toDF(*[f"c{position}" for position in range(len(result.columns))])
-    canonical = named.select(*[
-        cell_text(F.col(field.name), field.dataType).alias(field.name) for field in named.schema.fields
-    ])
-    totals = []
-    for position, name in enumerate(canonical.columns):
-        value = F.col(name)
-        counts = [F.count(F.lit(1)).alias("n_rows"), F.count(F.when(value.isNull(), 1)).alias("n_nulls")]
-        totals.append(F.struct(F.lit(position).alias("col_pos"), *counts, *_hash_sums(value)))
-    return canonical.agg(F.array(*totals).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    width = len(SIGNATURE)
+    if len(result.columns) <= _WIDE:
+        row = signature_row(result)
+        entries = ", ".join(
+            "named_struct('col_pos', {}, {})".format(
+                position, ", ".join(f"'{name}', s{position * width + number}" for number, name in enumerate(SIGNATURE))
+            )
+            for position in range(len(result.columns))
+        )
+        return row.selectExpr(f"inline(array({entries}))")
+    # Too many aggregates for one generated class: reduce cells by position.
+    positions = result.sparkSession.range(len(result.columns)).select(F.col("id").cast("int").alias("col_pos"))
+    found = column_signatures(result_cells(result, 0, GOLD)).drop("pair_id", "side")
+    return positions.join(found, "col_pos", "left").na.fill(0, SIGNATURE)
 
 
 def result_cells(result: DataFrame, pair_id: int, side: str) -> DataFrame:
     """A result as long-form cells ``(pair_id, side, col_pos, value)``, values in canonical text."""
-    named = result.toDF(*[f"c{position}" for position in range(len(result.columns))])
-    cells = F.array(*[
-        F.struct(F.lit(position).alias("col_pos"), cell_text(F.col(field.name), field.dataType).alias("value"))
-        for position, field in enumerate(named.schema.fields)
-    ])
-    return named.select(F.explode(cells).alias("c")).select(
-        F.lit(pair_id).cast("bigint").alias("pair_id"), F.lit(side).alias("side"), "c.col_pos", "c.value"
+    canonical = _by_position(result)
+    return canonical.select(F.posexplode(F.array(*canonical.columns)).alias("col_pos", "value")).select(
+        F.lit(pair_id).cast("bigint").alias("pair_id"), F.lit(side).alias("side"), "col_pos", "value"
     )
 
 
@@ -141,13 +148,12 @@ def match_results(
 
 def _row_signatures(cells: DataFrame) -> DataFrame:
     """One signature per result side over its rows."""
-    tagged = F.concat_ws(":", F.col("col_pos").cast("string"), F.coalesce(F.concat(F.lit("v"), "value"), F.lit("n")))
-    rows = cells.groupBy("pair_id", "side", "row_id").agg(*_hash_sums(tagged), F.count("*").alias("_width"))
-    names = [name for name in SIGNATURE if name.startswith("h")]
-    row_text = F.concat_ws(",", "_width", *names)
-    return rows.groupBy("pair_id", "side").agg(
-        F.count("*").alias("n_rows"), F.lit(0).cast("bigint").alias("n_nulls"), *_hash_sums(row_text)
+    tagged = cells.withColumn(
+        "_cell", F.concat_ws(":", F.col("col_pos").cast("string"), F.coalesce(F.concat(F.lit("v"), "value"), F.lit("n")))
     )
+    rows = tagged.groupBy("pair_id", "side", "row_id").agg(*_named(_signature("_cell")))
+    row_text = rows.select("pair_id", "side", F.concat_ws(",", *SIGNATURE).alias("_row"))
+    return row_text.groupBy("pair_id", "side").agg(*_named(_signature("_row")))
 
 
 def signature_collisions(cells: DataFrame, signatures: DataFrame) -> DataFrame:

@@ -43,12 +43,15 @@ def grid(
     return runs
 
 
-def with_runs(questions: DataFrame, runs: list[tuple]) -> DataFrame:
+def with_runs(questions: DataFrame, runs: list[tuple], partitions: int | None = None) -> DataFrame:
     """Every question once per run, with the run's columns and its ``run_id``.
 
     The grid is a parameter, so it rides along as an array that each row
-    unfolds: no join and no shuffle.
+    unfolds, without a join. Unfolding multiplies the rows of a task;
+    ``partitions`` spreads the questions first, while they are still narrow.
     """
+    if partitions:
+        questions = questions.repartition(partitions, "question_id")
     names = ["environment", "model", "instruction", "shots", "dataset_length"]
     entries = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, run)]) for run in runs])
     unfolded = questions.withColumn("_run", F.explode(entries)).select(
@@ -111,7 +114,7 @@ def family_of(environment: Column, model: Column) -> Column:
 def prompt_values() -> dict[str, Column]:
     """The values a prompt is made of, from columns of the question rows."""
     return {
-        "system": prompts.system_prompt(F.col("instruction")),
+        "instructions": prompts.instructions(F.col("instruction")),
         "question": F.col("question"),
         "hint": F.coalesce(F.col("evidence"), F.lit("")),
         "context": F.col("schema"),

@@ -41,8 +41,9 @@ def signature_of(session: SparkSession, text: str, strict_duplicates: bool = Fal
     result = session.sql(as_query(text))
     if strict_duplicates and len(set(result.columns)) < len(result.columns):
         raise ValueError("two columns have the same name")
-    rows = matching.result_signatures(result).select(*matching.SIGNATURE).collect()
-    return sorted(tuple(row) for row in rows)
+    row = tuple(matching.signature_row(result).first())
+    width = len(matching.SIGNATURE)
+    return sorted(row[start : start + width] for start in range(0, len(row), width))
 
 
 class _Sessions(threading.local):

@@ -355,7 +355,8 @@ def _prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ready = prompt_operators.with_examples(questions, _examples(spark, sf_dir)).drop("shot")
     sizes = F.array(*[F.lit(size) for size in fixed.INSTRUCTION_SIZES])
-    return prompt_operators.with_runs(ready, runs).withColumn(
+    spread = spark.sparkContext.defaultParallelism
+    return prompt_operators.with_runs(ready, runs, spread).withColumn(
         "instruction", F.get(sizes, (F.col("question_id") % 5).cast("int"))
     )
 
@@ -380,12 +381,15 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prompt_operators.with_prompts(_prompt_rows(spark, sf_dir)).filter(F.col("environment") == fixed.BEDROCK)
     body = prompts.request_body(F.col("family"), F.col("prompt"))
-    prompt = F.coalesce(
-        F.get_json_object("body", "$.prompt"), F.get_json_object("body", "$.messages[0].content[0].text")
-    )
-    limit = F.coalesce(F.get_json_object("body", "$.max_tokens"), F.get_json_object("body", "$.max_tokens_to_sample"))
+    parsed = F.parse_json("body")
+
+    def either(first: str, second: str, kind: str) -> Column:
+        return F.coalesce(F.try_variant_get(parsed, first, kind), F.try_variant_get(parsed, second, kind))
+
+    prompt = either("$.prompt", "$.messages[0].content[0].text", "string")
+    limit = either("$.max_tokens", "$.max_tokens_to_sample", "int")
     return rows.withColumn("body", body).select(
-        "model", "question_id", F.length(prompt).alias("prompt_length"), limit.cast("int").alias("token_limit")
+        "model", "question_id", F.length(prompt).alias("prompt_length"), limit.alias("token_limit")
     )
 
 
