@@ -48,15 +48,20 @@ def database_name(db_id: Column, prefix: str = "") -> Column:
 def path_dimensions(path: Column) -> dict[str, Column]:
     """Run dimensions out of ``env/shot/[org/]model/N_Instructions/M_Inferences[/K_size]/file``."""
 
-    def number(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).cast("int")
-
-    shot = r"([^/]+)/([^/]+_shot(?:_cot)?)/"
+    def segment(text: Column, from_end: int) -> Column:
+        return F.substring_index(F.substring_index(text, "/", -from_end), "/", 1)
+
+    shot = F.regexp_extract(path, r"[^/]+/[^/]+_shot(?:_cot)?/", 0)
+    known = path.contains("_Instructions/")
+    # ".../model/N" before the mark, "M_Inferences[/K_size]/file" behind it.
+    head, tail = F.substring_index(path, "_Instructions/", 1), F.substring_index(path, "_Instructions/", -1)
+    length = F.substring_index(tail, "_Inferences", 1).try_cast("int")
+    size = F.when(tail.contains("_size/"), segment(F.substring_index(tail, "_size/", 1), 1).try_cast("int"))
     return {
-        "environment": F.regexp_extract(path, shot, 1),
-        "shot": F.regexp_extract(path, shot, 2),
-        "model": F.regexp_extract(path, r"([^/]+)/\d+_Instructions/", 1),
-        "instruction": number(r"/(\d+)_Instructions/"),
-        "dataset_length": number(r"/(\d+)_Inferences(?:/|$)"),
-        "dataset_size": F.coalesce(number(r"/(\d+)_size(?:/|$)"), number(r"/(\d+)_Inferences(?:/|$)")),
+        "environment": F.substring_index(shot, "/", 1),
+        "shot": segment(shot, 2),
+        "model": F.when(known, segment(head, 2)),
+        "instruction": F.when(known, segment(head, 1).try_cast("int")),
+        "dataset_length": F.when(known, length),
+        "dataset_size": F.when(known, F.coalesce(size, length)),
     }

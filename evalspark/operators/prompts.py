@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,13 @@ from evalspark.operators import ranking
 SHOT_KEYS = ["shot", "db_id"]
 
 
+def _literal(value: str | int) -> str:
+    """A SQL literal."""
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def run_spec(specs: DataFrame, column: str = "spec") -> DataFrame:
     """``a=7,9/b=5`` -> rows ``(model_key, instruction)`` next to the other columns."""
     others = [name for name in specs.columns if name != column]
@@ -53,8 +59,11 @@ def with_runs(questions: DataFrame, runs: list[tuple], partitions: int | None =
     if partitions:
         questions = questions.repartition(partitions, "question_id")
     names = ["environment", "model", "instruction", "shots", "dataset_length"]
-    entries = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, run)]) for run in runs])
-    unfolded = questions.withColumn("_run", F.explode(entries)).select(
+    entries = ", ".join(
+        "named_struct({})".format(", ".join(f"'{name}', {_literal(value)}" for name, value in zip(names, run)))
+        for run in runs
+    )
+    unfolded = questions.withColumn("_run", F.explode(F.expr(f"array({entries})"))).select(
         *questions.columns, *[F.col(f"_run.{name}").alias(name) for name in names]
     )
     shot = prompts.shot_label(F.col("shots"))
@@ -97,18 +106,15 @@ def with_examples(questions: DataFrame, examples: DataFrame) -> DataFrame:
     return questions.join(examples, SHOT_KEYS, "left").withColumn("examples", F.coalesce("examples", F.lit("")))
 
 
-def family_of(environment: Column, model: Column) -> Column:
-    """The layout family of a model."""
-    by_family: dict[str, Column] = {}
+def family_of(environment: str = "environment", model: str = "model") -> Column:
+    """The layout family of a model, from the columns of these names."""
+    models: dict[str, list[str]] = {}
     for env, name, family in fixed.MODEL_FAMILIES:
-        match = (environment == env) & (model == name)
-        by_family[family] = by_family[family] | match if family in by_family else match
-    cases = reduce(
-        lambda chain, item: chain.when(item[1], item[0]),
-        list(by_family.items())[1:],
-        F.when(list(by_family.values())[0], list(by_family)[0]),
+        models.setdefault(family, []).append(f"({_literal(env)}, {_literal(name)})")
+    cases = " ".join(
+        f"WHEN ({environment}, {model}) IN ({', '.join(members)}) THEN '{family}'" for family, members in models.items()
     )
-    return cases.otherwise("plain")
+    return F.expr(f"CASE {cases} ELSE 'plain' END")
 
 
 def prompt_values() -> dict[str, Column]:
@@ -124,13 +130,13 @@ def prompt_values() -> dict[str, Column]:
 
 def with_prompts(questions: DataFrame) -> DataFrame:
     """Add ``family`` and the ``prompt`` text in the layout of each row's model."""
-    return questions.withColumn("family", family_of(F.col("environment"), F.col("model"))).withColumn(
+    return questions.withColumn("family", family_of()).withColumn(
         "prompt", prompts.prompt_text(F.col("family"), prompt_values())
     )
 
 
 def with_messages(questions: DataFrame) -> DataFrame:
     """Add ``family`` and the chat ``messages``."""
-    return questions.withColumn("family", family_of(F.col("environment"), F.col("model"))).withColumn(
+    return questions.withColumn("family", family_of()).withColumn(
         "messages", prompts.chat_messages(F.col("family"), prompt_values())
     )

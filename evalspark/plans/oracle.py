@@ -307,6 +307,14 @@ FROM (SELECT pair_id, list(k ORDER BY k) AS gold_keys, list(k ORDER BY k) AS pre
              list(coalesce('v' || predicted_status, 'n') ORDER BY coalesce('v' || predicted_status, 'n'))
                FILTER (WHERE NOT dropped) AS predicted_values
       FROM cells GROUP BY pair_id)"""
+    report = _pivot(
+        [(f"{size}_{level}", f"instruction = {size} AND hardness = '{level}'") for size in fixed.INSTRUCTION_SIZES for level in levels],
+        "model, metric, environment", VOLUME)
+    wide = f"SELECT {RUN}, hardness, rows, input_tokens, output_tokens, {six} FROM grouped"
+    split = f"""{_with(QUESTION_ROWS)}
+SELECT question_id AS index_in_original, difficulty, db_id, sql_query, question, schema, evidence
+FROM (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY md5('7:' || CAST(question_id AS VARCHAR)), question_id) AS rn
+      FROM question_rows WHERE schema NOT LIKE '%-- phpMyAdmin SQL Dump%') WHERE rn <= 120"""
     shapes = """CASE question_id % 6 WHEN 0 THEN 'choices' WHEN 1 THEN 'content' WHEN 2 THEN 'completion'
          WHEN 3 THEN 'outputs' WHEN 4 THEN 'generation' ELSE 'generated_text' END"""
     return {
@@ -319,7 +327,8 @@ SELECT event_id, round(value * 1000000) / 1000000 AS seconds,
        strftime(ts, '%Y-%m-%d %H:%M:%S') AS response_time_start,
        strftime(ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS response_time_stop
 FROM events""",
-        "metrics_by_hardness": f"{_with(METRIC_ROWS, _grouped())} SELECT {RUN}, hardness, rows, input_tokens, output_tokens, {six} FROM grouped",
+        "metrics_by_hardness": f"{_with(METRIC_ROWS, _grouped())} {wide}",
+        "metric_store": f"{_with(METRIC_ROWS, _grouped())} {wide}",
         "cost_api": f"{_with(METRIC_ROWS, _grouped(), _priced())} SELECT {RUN}, hardness, round_even(api_cost, 6) AS api_cost FROM priced",
         "cost_self_hosted": f"{_with(METRIC_ROWS, _grouped(), _priced())} SELECT {RUN}, hardness, round_even(hosting_cost, 6) AS hosting_cost FROM priced",
         "metrics_long": f"{REPORT} SELECT {RUN}, dataset_size, hardness, metric, round_even(value, 6) AS value FROM long_report",
@@ -330,9 +339,8 @@ FROM long_report r LEFT JOIN names n ON n.model = r.model""",
 SELECT environment, model, '0-11' AS instruction, CAST(360 AS INTEGER) AS dataset_size, metric, 'total' AS hardness,
        round_even(sum(round_even(value, 3)), 6) AS value
 FROM long_report WHERE {COSTS} GROUP BY environment, model, metric""",
-        "pivot_metrics": REPORT + " " + _pivot(
-            [(f"{size}_{level}", f"instruction = {size} AND hardness = '{level}'") for size in fixed.INSTRUCTION_SIZES for level in levels],
-            "model, metric, environment", VOLUME),
+        "pivot_metrics": f"{REPORT} {report}",
+        "report_file": f"{REPORT} {report}",
         "pivot_metrics_t": REPORT + " " + _pivot(_transposed_columns(), "instruction, hardness", VOLUME),
         "pivot_cost": REPORT + " " + _pivot(
             [(f"{size}_total", f"instruction = {size}") for size in fixed.INSTRUCTION_SIZES], "model, metric, environment", COSTS),
@@ -374,10 +382,8 @@ FROM outcomes o JOIN question_rows q ON q.question_id = o.question_id""",
         "head_per_difficulty": f"""{_with(QUESTION_ROWS)}
 SELECT question_id, db_id, difficulty, question, evidence, sql_query, schema
 FROM (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY question_id) AS rn FROM question_rows) WHERE rn <= 120""",
-        "equal_split": f"""{_with(QUESTION_ROWS)}
-SELECT question_id AS index_in_original, difficulty, db_id, sql_query, question, schema, evidence
-FROM (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY md5('7:' || CAST(question_id AS VARCHAR)), question_id) AS rn
-      FROM question_rows WHERE schema NOT LIKE '%-- phpMyAdmin SQL Dump%') WHERE rn <= 120""",
+        "equal_split": split,
+        "question_set_file": split,
         "exclude_schema": f"{_with(QUESTION_ROWS)} SELECT question_id, schema FROM question_rows WHERE schema NOT LIKE '%-- phpMyAdmin SQL Dump%'",
         "db_context": f"""{_with(QUESTION_ROWS, CONTEXTS)}
 SELECT question_id, q.db_id, coalesce(context, 'No database found') AS schema
@@ -428,6 +434,18 @@ SELECT CAST(dataset_size AS INTEGER) AS dataset_size, hardness, questions, round
         "consolidated_report": f"""{REPORT},{QUESTION_ROWS},{SCORES},{_accuracy('model', 'scores')}
 SELECT environment, model, instruction, hardness, metric, round_even(value, 6) AS value FROM long_report
 UNION ALL SELECT NULL, model, NULL, hardness, 'accuracy', round_even(accuracy, 6) FROM accuracy""",
+        "question_file": f"{_with(QUESTION_ROWS)} SELECT question_id, db_id, difficulty, question, evidence, sql_query FROM question_rows",
+        "difficulty_folders": f"{_with(QUESTION_ROWS)} SELECT question_id, difficulty, db_id, sql_query FROM question_rows",
+        "gold_file": f"{_with(QUESTION_ROWS)} SELECT sql_query AS gold_sql, db_id FROM question_rows",
+        "prediction_file": f"""{_with(QUESTION_ROWS)}
+SELECT CAST(question_id % 3 AS VARCHAR) AS run_id,
+       CASE WHEN question_id % 7 = 6 THEN '' ELSE sql_query END AS predicted_sql,
+       CASE WHEN question_id % 7 = 6 THEN 'financial' ELSE db_id END AS db_id,
+       row_number() OVER (PARTITION BY question_id % 3 ORDER BY question_id) - 1 AS pair_index
+FROM question_rows WHERE question_id % 7 <> 0""",
+        "log_file": f"{_with(REPLY_ROWS, OUTCOMES)} SELECT severity, is_sql, message, reply AS response FROM outcomes JOIN reply_rows USING (question_id)",
+        "bucket_folders": f"""{_with(METRIC_ROWS, BUCKETS.format(level='hardness', source='timed', rows='timed'))}
+SELECT question_id, hardness, CAST(dataset_size AS INTEGER) AS dataset_size FROM sized""",
         "infer_replies": REPLIES,
         "stream_replies": REPLIES,
         "score_pairs": """

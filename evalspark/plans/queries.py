@@ -15,6 +15,7 @@ from evalspark.operators import prompts as prompt_operators
 from evalspark.plans import views
 from evalspark.plans.clients import CountingClient
 from evalspark.session import new_table_path, pin_utc
+from evalspark.sources import readers, writers
 from evalspark.streaming.resume import answer_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -438,6 +439,80 @@ def consolidated_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.append_frames(measured, right).withColumns(_round("value"))
 
 
+# --- files: written, then read back through the readers ------------------------
+
+
+@registered
+def question_set_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "question-set")
+    writers.write_question_set(equal_split(spark, sf_dir), path)
+    return readers.read_question_set(spark, path, indexed=False)
+
+
+@registered
+def question_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "questions")
+    rows = views.question_rows(spark, sf_dir).withColumnRenamed("sql_query", "SQL").drop("schema")
+    writers.write_questions(rows, path)
+    return readers.read_questions(spark, path, array=False)
+
+
+@registered
+def difficulty_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "by-difficulty")
+    writers.write_by_difficulty(difficulty_split(spark, sf_dir), path)
+    split = sampling.split_by_difficulty(spark.read.parquet(path))
+    return sampling.append_frames(*split.values())
+
+
+@registered
+def gold_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "gold")
+    writers.write_gold_lines(views.question_rows(spark, sf_dir).withColumnRenamed("sql_query", "gold_sql"), path)
+    return readers.read_gold_lines(spark, path)
+
+
+@registered
+def prediction_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "predictions")
+    writers.write_prediction_maps(_predictions(spark, sf_dir), path)
+    entries = readers.read_prediction_map(spark, path, per_line=True)
+    return entries.withColumn("run_id", F.regexp_extract("path", "run_id=([^/]+)/", 1)).drop("path")
+
+
+@registered
+def log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "log")
+    outcomes = replies.with_outcome(views.reply_rows(spark, sf_dir))
+    writers.append_log(outcomes.select("severity", "is_sql", "message", F.col("reply").alias("response")), path)
+    return readers.read_log(spark, path).select("severity", "is_sql", "message", "response")
+
+
+@registered
+def metric_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "metrics")
+    rows = views.metric_rows(spark, sf_dir).withColumns({"shot": F.lit("0_shot"), "run_id": F.lit("r")})
+    writers.append_rows(rows, path, ["environment", "model", "instruction", "shot"])
+    return metrics.metrics_by_hardness(readers.read_partitioned_metrics(spark, path)).withColumns(
+        _round("usable_seconds", "latency", "throughput", "psr")
+    )
+
+
+@registered
+def bucket_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "buckets")
+    writers.write_buckets(_bucketed_metrics(spark, sf_dir).select("question_id", "hardness", "dataset_size"), path)
+    return spark.read.schema("question_id bigint, hardness string, dataset_size int").parquet(path)
+
+
+@registered
+def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "report")
+    columns = schemas.LONG_METRICS.fieldNames()
+    writers.write_report(_long_report(spark, sf_dir).select(*columns), path)
+    return reports.pivot_metrics(readers.read_long_metrics(spark, path))
+
+
 # --- actions -----------------------------------------------------------------
 
 

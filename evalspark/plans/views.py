@@ -33,15 +33,20 @@ def third(key: str) -> Column:
 
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-inference metrics out of ``events``."""
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    cents = F.round(F.col("value") * 100).cast("bigint")
-    clock = F.format_string(
-        "%d:%02d:%02d.%02d0000",
-        F.floor(cents / 360_000), F.floor(cents / 6_000) % 60, F.floor(cents / 100) % 60, cents % 100,
+    k, cents = F.col("k"), F.col("cents")
+    clock = F.concat(
+        F.expr("string(cents div 360000)"), F.lit(":"), F.expr("lpad(string(cents div 6000 % 60), 2, '0')"), F.lit(":"),
+        F.expr("lpad(string(cents div 100 % 60), 2, '0')"), F.lit("."), F.expr("lpad(string(cents % 100), 2, '0')"),
+        F.lit("0000"),
     )
     host = F.col("user_id") % 3
     sizes = F.floor(F.col("user_id") / 3) % 5
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type",
+        F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+    )
+    return events.select(
         F.col("event_id").alias("question_id"),
         third("event_id").alias("hardness"),
         F.when(host == 0, "self-hosted").when(host == 1, "open-ai").otherwise("anthropic").alias("environment"),

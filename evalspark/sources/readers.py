@@ -11,10 +11,7 @@ from evalspark.functions import lines
 
 
 def _csv(spark: SparkSession, schema: T.StructType):
-    return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", '"').option("enforceSchema", True)
-    )
+    return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
 
 
 def read_questions(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
@@ -23,9 +20,13 @@ def read_questions(spark: SparkSession, path: str, array: bool = True) -> DataFr
     return reader.json(path).withColumnRenamed("SQL", "sql_query")
 
 
-def read_question_set(spark: SparkSession, path: str) -> DataFrame:
-    """A question-set CSV with its leading unnamed index column."""
-    return _csv(spark, schemas.QUESTION_SET).csv(path)
+def read_question_set(spark: SparkSession, path: str, indexed: bool = True) -> DataFrame:
+    """A question-set CSV, with a leading unnamed index column if ``indexed``.
+
+    Texts hold line breaks, so a file is not split; keep large sets as Parquet.
+    """
+    schema = schemas.QUESTION_SET if indexed else T.StructType(schemas.QUESTION_SET.fields[1:])
+    return _csv(spark, schema).option("multiLine", True).csv(path)
 
 
 def read_schema_catalog(spark: SparkSession, path: str) -> DataFrame:

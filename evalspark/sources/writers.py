@@ -12,7 +12,9 @@ MAP_ENTRIES = 1_000
 
 
 def _csv(writer, path: str) -> None:
-    writer.option("header", True).option("escape", '"').csv(path)
+    # By default the writer would cut blanks at both ends of a text.
+    kept = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    kept.option("header", True).option("escape", '"').csv(path)
 
 
 def _partitioned(df: DataFrame, columns: list[str]):
@@ -49,12 +51,16 @@ def prediction_maps(predictions: DataFrame, run: str = "run_id") -> DataFrame:
     small rows and never one large one.
     """
     entry = F.struct(
-        F.col("pair_index").cast("string").alias("key"),
-        lines.prediction_text(F.col("predicted_sql"), F.col("db_id")).alias("value"),
+        "pair_index", lines.prediction_text(F.col("predicted_sql"), F.col("db_id")).alias("text")
     )
     part = F.floor(F.col("pair_index") / MAP_ENTRIES)
-    return predictions.groupBy(run, part.alias("part")).agg(
-        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")
+    entries = F.transform(
+        F.array_sort("_entries"), lambda e: F.struct(e["pair_index"].cast("string").alias("key"), e["text"].alias("value"))
+    )
+    return (
+        predictions.groupBy(run, part.alias("part"))
+        .agg(F.collect_list(entry).alias("_entries"))
+        .select(run, "part", F.to_json(F.map_from_entries(entries)).alias("value"))
     )
 
 
