@@ -15,11 +15,6 @@ ID_BLOCK = 100_000
 _SALTS = 512
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all keys."""
-    return reduce(lambda a, b: a & b, [left[key].eqNullSafe(right[key]) for key in keys])
-
-
 def first_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "position") -> DataFrame:
     """The first ``k`` rows of each group with their 1-based position; ``k`` at most SMALL_K.
 
@@ -86,17 +81,15 @@ def positions(df: DataFrame, by: list[str], order: list[Column], block: Column,
 
     Rows are numbered inside (group, block) and shifted by the rows of the
     earlier blocks. The offsets are joined on the partitioning the numbering
-    already has, so the rows move once.
+    already has, so the rows move once. (The keys travel as one struct: its
+    plain equality also matches NULL keys and keeps that partitioning.)
     """
-    offsets = block_offsets(df, by, block)
-    in_block = Window.partitionBy(*by, "_block").orderBy(*order)
-    numbered = df.withColumn("_block", block).withColumn("_in_block", F.row_number().over(in_block))
-    return (
-        numbered.join(offsets, same_keys(numbered, offsets, [*by, "_block"]))
-        .select(
-            *[numbered[column] for column in df.columns],
-            (offsets["_before"] + numbered["_in_block"] - 1).alias(name),
-        )
+    keyed = df.select(*df.columns, F.struct(*by).alias("_group"), block.alias("_block"))
+    offsets = block_offsets(keyed, ["_group"], F.col("_block")).select("_group", "_block", "_before")
+    in_block = Window.partitionBy("_group", "_block").orderBy(*order)
+    numbered = keyed.withColumn("_in_block", F.row_number().over(in_block))
+    return numbered.join(offsets, ["_group", "_block"]).select(
+        *df.columns, (F.col("_before") + F.col("_in_block") - 1).alias(name)
     )
 
 

@@ -62,10 +62,10 @@ def read_long_accuracy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    return reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
 def read_shot_samples(spark: SparkSession, path: str) -> DataFrame:
