@@ -32,8 +32,8 @@ def first_statement(line: Column, keep_with: bool = False) -> Column:
     pattern = fixed.STATEMENT_PATTERN
     if keep_with:
         pattern = rf"(?:\bWITH\b[^;]*?\bAS\b[^;]*?)?{pattern}"
-    found = F.regexp_extract(line, f"(?iU){pattern}", 0)
-    return F.when(found == "", line).otherwise(found)
+    # One replacement for both cases, so that the search runs once per reply.
+    return F.regexp_replace(line, rf"(?isU)\A(?:.*?({pattern}).*|(.*))\z", "$1$2")
 
 
 def before_stop_phrase(text: Column) -> Column:

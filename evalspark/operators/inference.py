@@ -66,17 +66,18 @@ def infer(
     client_factory: ClientFactory,
     request: str = "prompt",
     max_tokens: int = fixed.MAX_TOKENS,
-    clients: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Raw replies of all prompts, one client per partition.
 
-    ``clients`` sets how many partitions, and so how many clients at once.
     Calls are costly and not repeatable: write the result once (see
-    :func:`infer_into`) before deriving anything from it.
+    :func:`infer_into`) before deriving anything from it, and leave
+    speculation off. A lost task asks its partition again, so take many
+    ``partitions``; the cores limit how many clients work at once.
     """
     rows = prompts.select("run_id", "question_id", request)
-    if clients:
-        rows = rows.repartition(clients, "run_id", "question_id")
+    if partitions:
+        rows = rows.repartition(partitions, "run_id", "question_id")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()

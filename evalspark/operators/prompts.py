@@ -76,11 +76,15 @@ def with_runs(questions: DataFrame, runs: list[tuple], partitions: int | None =
     return unfolded.withColumns({"shot": shot, "run_id": run_id}).drop("shots")
 
 
-def take_shots(pool: DataFrame, shot: str) -> DataFrame:
-    """The samples of one shot label out of a pool: the first n per database, as the label says."""
-    count = int(shot.split("_")[0])
-    first = ranking.first_per_group(pool, ["db_id"], [F.col("ord"), F.col("question")], count)
-    return first.drop("position").withColumn("shot", F.lit(shot))
+def take_shots(pool: DataFrame, shots: list[str]) -> DataFrame:
+    """The samples of some shot labels out of a pool: the first n per database, as each label says.
+
+    The pool is ranked once, for the largest n.
+    """
+    counts = {shot: int(shot.split("_")[0]) for shot in shots}
+    first = ranking.first_per_group(pool, ["db_id"], [F.col("ord"), F.col("question")], max(counts.values()))
+    labels = F.array(*[F.when(F.col("position") <= count, F.lit(shot)) for shot, count in counts.items()])
+    return first.withColumn("shot", F.explode(F.array_compact(labels))).drop("position")
 
 
 def few_shot_examples(samples: DataFrame) -> DataFrame:

@@ -38,9 +38,13 @@ def _take_per_difficulty(
     questions: DataFrame, k: int, order: list[Column], block: Column, levels: list[str]
 ) -> DataFrame:
     kept = keep_levels(questions, levels)
-    if k <= ranking.SMALL_K:
-        return ranking.first_per_group(kept, ["difficulty"], order, k).drop("position")
-    return ranking.first_by_block(kept, ["difficulty"], order, block, k, groups=len(levels))
+    if k > ranking.SMALL_K:
+        return ranking.first_by_block(kept, ["difficulty"], order, block, k, groups=len(levels))
+    # Only ids are ranked; the texts are read once more for the chosen few, at
+    # most SMALL_K for each level, so their ids are safe to broadcast.
+    narrow = kept.select("question_id", "difficulty")
+    chosen = ranking.first_per_group(narrow, ["difficulty"], order, k).select("question_id")
+    return kept.join(F.broadcast(chosen), "question_id", "left_semi")
 
 
 def head_per_difficulty(questions: DataFrame, size: int, levels: list[str] = fixed.LEVELS) -> DataFrame:

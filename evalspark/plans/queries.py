@@ -335,8 +335,7 @@ def instruction_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = views.shot_rows(spark, sf_dir)
-    samples = sampling.append_frames(*[prompt_operators.take_shots(pool, shot) for shot in ("2_shot", "4_shot_cot")])
+    samples = prompt_operators.take_shots(views.shot_rows(spark, sf_dir), ["2_shot", "4_shot_cot"])
     return prompt_operators.few_shot_examples(samples)
 
 
@@ -529,7 +528,7 @@ def _simple_prompts(questions: DataFrame) -> DataFrame:
 
 @registered
 def infer_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = inference.infer(_simple_prompts(views.question_rows(spark, sf_dir)), _client, clients=8)
+    raw = inference.infer(_simple_prompts(views.question_rows(spark, sf_dir)), _client, partitions=8)
     return raw.select("run_id", "question_id", "text", "prompt_tokens", "response_tokens", "error")
 
 

@@ -58,7 +58,7 @@ def prompts(spark, texts, start=0):
 
 def test_one_failure_stays_with_its_row(spark, tmp_path):
     folder = str(tmp_path)
-    found = inference.infer(prompts(spark, ["a", "bad", "c"]), lambda: Echo(folder), max_tokens=9, clients=2)
+    found = inference.infer(prompts(spark, ["a", "bad", "c"]), lambda: Echo(folder), max_tokens=9, partitions=2)
     assert found.schema == schemas.RAW_REPLY
     rows = {r.question_id: r for r in found.collect()}
     assert (rows[0].text, rows[0].prompt_tokens, rows[0].response_tokens, rows[0].error) == ("SELECT a", 1, 9, None)
@@ -67,9 +67,9 @@ def test_one_failure_stays_with_its_row(spark, tmp_path):
 
 
 def test_failed_batch_is_asked_row_by_row(spark):
-    good = {r.question_id: r.text for r in inference.infer(prompts(spark, ["a", "b"]), Batched, clients=1).collect()}
+    good = {r.question_id: r.text for r in inference.infer(prompts(spark, ["a", "b"]), Batched, partitions=1).collect()}
     assert good == {0: "A", 1: "B"}
-    mixed = inference.infer(prompts(spark, ["X", "bad"]), Batched, clients=1).collect()
+    mixed = inference.infer(prompts(spark, ["X", "bad"]), Batched, partitions=1).collect()
     assert {(r.question_id, r.text, r.error) for r in mixed} == {(0, "x", None), (1, None, "refused")}
 
 
