@@ -18,12 +18,15 @@ def duration_micros(text: Column) -> Column:
     days = F.when(
         text.contains(" day"), F.substring_index(text, " day", 1).try_cast("bigint")
     ).otherwise(F.lit(0))
-    hours = F.substring_index(clock, ":", 1).try_cast("bigint")
-    minutes = F.substring_index(F.substring_index(clock, ":", 2), ":", -1).try_cast("bigint")
-    seconds = F.round(F.substring_index(clock, ":", -1).try_cast("double") * MICROS).cast("bigint")
-    colons = F.length(clock) - F.length(F.translate(clock, ":", ""))
-    return F.when(colons == 2, ((days * 24 + hours) * 60 + minutes) * (60 * MICROS) + seconds).when(
-        colons == 0, F.round(text.try_cast("double") * MICROS).cast("bigint")
+    hours = F.substring_index(clock, ":", 1)
+    minutes = F.substring_index(F.substring_index(clock, ":", 2), ":", -1)
+    seconds = F.substring_index(clock, ":", -1)
+    # Exactly two colons: the three parts and the colons make up the whole.
+    parts = F.octet_length(hours) + F.octet_length(minutes) + F.octet_length(seconds)
+    whole_minutes = (days * 24 + hours.try_cast("bigint")) * 60 + minutes.try_cast("bigint")
+    micros = F.round(seconds.try_cast("double") * MICROS).cast("bigint")
+    return F.when(parts + 2 == F.octet_length(clock), whole_minutes * (60 * MICROS) + micros).when(
+        ~text.contains(":"), F.round(text.try_cast("double") * MICROS).cast("bigint")
     )
 
 

@@ -534,7 +534,8 @@ def infer_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def stream_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.readStream.schema(views.SCHEMAS["documents"]).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    # A pattern, so that the table may be one file or a folder of files.
+    documents = spark.readStream.schema(views.SCHEMAS["documents"]).parquet(f"{sf_dir}/documents.parquet*")
     path = new_table_path(spark, "replies")
     query = answer_stream(
         _simple_prompts(views.questions_of(documents)), _client, path, new_table_path(spark, "replies-checkpoint")
