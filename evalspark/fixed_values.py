@@ -204,6 +204,14 @@ BLANKED_LAYOUTS = {
         " [QUESTION]{question} \nHint: {hint}[/QUESTION] {examples} \n[SQL]"
     ),
 }
+# This one has the bare schema text in the placeholder and the others empty.
+CONTEXT_LAYOUTS = {
+    "endpoint_turns": (
+        "<s>Source: system\n\n {system}\n  <step> Source: user\n\n {question}"
+        "  <step> Source: user: assistant\nDestination: user"
+    ),
+}
+ENDPOINT_STOPS = ["</s>", "<step>"]
 # The family of each model; a model that is not listed has the plain layout.
 # (environment, model, family)
 MODEL_FAMILIES = [
@@ -219,6 +227,8 @@ MODEL_FAMILIES = [
     ("self-hosted", "google/codegemma-7b-it", "turn_markers"),
     ("self-hosted", "databricks/dbrx-instruct", "chat"),
     ("self-hosted", "mistral-community/Mixtral-8x22B-v0.1", "plain"),
+    ("hugging-face", "codellama/CodeLlama-70b-Instruct-hf", "endpoint_turns"),
+    ("hugging-face", "codellama/CodeLlama-34b-Instruct-hf", "endpoint_turns"),
     ("open-ai", "gpt-3.5-turbo-16k", "chat"),
     ("open-ai", "gpt-4-turbo-preview", "chat"),
     ("open-ai", "gpt-4o-2024-05-13", "chat"),

@@ -64,13 +64,17 @@ def blanked(template: str) -> str:
     return template
 
 
-def system_forms(values: dict[str, Column]) -> tuple[Column, Column]:
-    """The system prompt with the values filled in, and with the placeholders taken out.
+def system_forms(values: dict[str, Column]) -> tuple[Column, Column, Column]:
+    """The system prompt with all values, with none, and with the bare schema text only.
 
     ``values`` holds ``instructions, question, hint, context, examples``.
     """
-    whole = F.concat(values["instructions"], *filled(fixed.SYSTEM_PROMPT_TAIL, values))
-    return whole, F.concat(values["instructions"], F.lit(blanked(fixed.SYSTEM_PROMPT_TAIL)))
+    tail = fixed.SYSTEM_PROMPT_TAIL
+    mark = fixed.PLACEHOLDERS[0][0]
+    before, after = (F.lit(blanked(part)) for part in tail.split(mark))
+    whole = F.concat(values["instructions"], *filled(tail, values))
+    empty = F.concat(values["instructions"], F.lit(blanked(tail)))
+    return whole, empty, F.concat(values["instructions"], before, F.coalesce(values["context"], F.lit("")), after)
 
 
 def lay_out(layout: str, values: dict[str, Column]) -> Column:
@@ -89,9 +93,10 @@ def prompt_text(family: Column, values: dict[str, Column]) -> Column:
 
     A family without a layout of its own gets the plain filled prompt.
     """
-    whole, empty = system_forms(values)
+    whole, empty, with_schema = system_forms(values)
     cases = None
-    for layouts, system in ((fixed.BLANKED_LAYOUTS, empty), (fixed.FILLED_LAYOUTS, whole)):
+    forms = ((fixed.BLANKED_LAYOUTS, empty), (fixed.CONTEXT_LAYOUTS, with_schema), (fixed.FILLED_LAYOUTS, whole))
+    for layouts, system in forms:
         for name, layout in layouts.items():
             if name == "plain":
                 continue
@@ -106,16 +111,23 @@ def _message(role: str, content: Column) -> Column:
 
 def chat_messages(family: Column, values: dict[str, Column]) -> Column:
     """``array<struct<role,content>>``: system and user turn, or one user turn for ``user_chat``."""
-    whole, system = system_forms(values)
+    whole, system, _ = system_forms(values)
     user = lay_out(fixed.CHAT_USER_LAYOUT, values)
     return F.when(family == "user_chat", F.array(_message("user", whole))).otherwise(
         F.array(_message("system", system), _message("user", user))
     )
 
 
-def request_body(family: Column, prompt: Column, max_tokens: int = fixed.MAX_TOKENS) -> Column:
+def request_body(family: Column, prompt: Column, max_tokens: int | None = None) -> Column:
     """JSON body for endpoints that take one: message list, or prompt with a token limit."""
-    limit = F.lit(max_tokens)
+    limit = F.lit(max_tokens or fixed.MAX_TOKENS)
+    endpoint = F.struct(
+        prompt.alias("inputs"),
+        F.struct(
+            F.lit(max_tokens or fixed.HOSTED_ENDPOINT_MAX_TOKENS).alias("max_new_tokens"),
+            F.array(*[F.lit(stop) for stop in fixed.ENDPOINT_STOPS]).alias("stop"),
+        ).alias("parameters"),
+    )
     content = F.array(F.struct(F.lit("text").alias("type"), prompt.alias("text")))
     chat = F.struct(
         F.lit(fixed.BEDROCK_BODY_VERSION).alias("anthropic_version"),
@@ -126,5 +138,6 @@ def request_body(family: Column, prompt: Column, max_tokens: int = fixed.MAX_TOK
         F.when(family == "user_chat", F.to_json(chat))
         .when(family == "human_assistant", F.to_json(F.struct(prompt.alias("prompt"), limit.alias("max_tokens_to_sample"))))
         .when(family == "inst_lines", F.to_json(F.struct(prompt.alias("prompt"), limit.alias("max_tokens"))))
+        .when(family == "endpoint_turns", F.to_json(endpoint))
         .otherwise(F.to_json(F.struct(prompt.alias("prompt"))))
     )

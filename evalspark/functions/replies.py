@@ -15,7 +15,7 @@ _SPACE = r"[\s\x1c-\x1f]"
 
 def mentions_select(reply: Column) -> Column:
     """Whether the reply holds the word part ``select`` in any case."""
-    return F.coalesce(F.lower(reply).contains("select"), F.lit(False))
+    return F.coalesce(reply.rlike("(?i)select"), F.lit(False))
 
 
 def one_line(reply: Column) -> Column:

@@ -47,6 +47,13 @@ def _ask_one(client: Any, key: tuple, request: Any, max_tokens: int) -> dict:
         return _row(key, started, None, str(failure) or type(failure).__name__)
 
 
+def _plain(request: Any) -> Any:
+    """A text as it is; chat messages as a list of dicts."""
+    if isinstance(request, str):
+        return request
+    return [part if isinstance(part, dict) else part.asDict() for part in request]
+
+
 def _ask_batch(client: Any, keys: list[tuple], requests: list, max_tokens: int) -> list[dict]:
     if hasattr(client, "complete_many"):
         started = _now()
@@ -83,7 +90,7 @@ def infer(
         client = client_factory()
         for batch in batches:
             keys = list(zip(batch["run_id"], batch["question_id"]))
-            answers = _ask_batch(client, keys, list(batch[request]), max_tokens)
+            answers = _ask_batch(client, keys, [_plain(item) for item in batch[request]], max_tokens)
             yield pd.DataFrame(answers, columns=_COLUMNS).astype(
                 {"prompt_tokens": "Int64", "response_tokens": "Int64"}
             )

@@ -21,6 +21,7 @@ Signature = list[tuple]
 # Scores written in one go, and gold signatures kept to be used again.
 _BATCH = 1_000
 _KEPT = 10_000
+_SESSIONS = 50
 
 
 def use_database(session: SparkSession, db_id: str) -> None:
@@ -50,7 +51,7 @@ class _Sessions(threading.local):
     """One session per worker thread and database, since the current database is session-wide."""
 
     def __init__(self) -> None:
-        self.by_db: dict[str, SparkSession] = {}
+        self.by_db: OrderedDict[str, SparkSession] = OrderedDict()
 
 
 class PairScorer:
@@ -63,12 +64,16 @@ class PairScorer:
         self.lock = threading.Lock()
 
     def session(self, db_id: str) -> SparkSession:
-        if db_id not in self.sessions.by_db:
+        kept = self.sessions.by_db
+        if db_id not in kept:
             session = self.spark.newSession()
             session.conf.set("spark.sql.session.timeZone", "UTC")
             self.prepare(session, db_id)
-            self.sessions.by_db[db_id] = session
-        return self.sessions.by_db[db_id]
+            kept[db_id] = session
+            if len(kept) > _SESSIONS:
+                kept.popitem(last=False)
+        kept.move_to_end(db_id)
+        return kept[db_id]
 
     def gold_signature(self, session: SparkSession, db_id: str, text: str) -> Signature:
         key = (db_id, text)

@@ -257,6 +257,7 @@ def _prompt_rows() -> str:
         """ prompted AS (
   SELECT *,
          replace(replace(replace(replace(template, '[context]', ''), '[question]', ''), '[hint]', ''), '[examples]', '') AS blanked,
+         replace(replace(replace(replace(template, '[question]', ''), '[hint]', ''), '[examples]', ''), '[context]', context) AS schema_only,
          replace(replace(replace(replace(template,
            '[context]', 'Here is the schema of the tables which are needed for the SQL generation: ' || chr(10) || context),
            '[question]', 'Question: ' || question), '[hint]', 'Hint: ' || hint), '[examples]', examples) AS whole
@@ -268,6 +269,8 @@ def _prompt_text() -> str:
     slots = {name: name for name in ("question", "hint", "context", "examples")}
     cases = [
         f"WHEN '{family}' THEN {_layout(layout, {**slots, 'system': 'blanked'})}" for family, layout in fixed.BLANKED_LAYOUTS.items()
+    ] + [
+        f"WHEN '{family}' THEN {_layout(layout, {**slots, 'system': 'schema_only'})}" for family, layout in fixed.CONTEXT_LAYOUTS.items()
     ] + [
         f"WHEN '{family}' THEN {_layout(layout, {**slots, 'system': 'whole'})}"
         for family, layout in fixed.FILLED_LAYOUTS.items() if family != "plain"
@@ -419,8 +422,8 @@ FROM asked a LEFT JOIN examples e ON e.shot = a.shot AND e.db_id = a.db_id""",
 SELECT environment, model, question_id, {_chat()} AS chat FROM prompted WHERE family IN ('chat', 'user_chat')""",
         "request_bodies": f"""{_prompt_rows()}
 SELECT model, question_id, CAST(length({_prompt_text()}) AS INTEGER) AS prompt_length,
-       CAST(CASE WHEN family = 'plain' THEN NULL ELSE 300 END AS INTEGER) AS token_limit
-FROM prompted WHERE environment = 'amazon-bedrock'""",
+       CAST(CASE family WHEN 'plain' THEN NULL WHEN 'endpoint_turns' THEN 200 ELSE 300 END AS INTEGER) AS token_limit
+FROM prompted WHERE environment IN ('amazon-bedrock', 'hugging-face')""",
         "result_match": f"{_with(PAIR_CELLS)} {matched}",
         "result_match_exact": f"{_with(PAIR_CELLS)} {matched}",
         "result_match_rows": f"""{_with(PAIR_CELLS)}

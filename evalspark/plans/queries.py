@@ -379,15 +379,16 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prompt_operators.with_prompts(_prompt_rows(spark, sf_dir)).filter(F.col("environment") == fixed.BEDROCK)
+    with_body = F.col("environment").isin(fixed.BEDROCK, fixed.HOSTED_ENDPOINT)
+    rows = prompt_operators.with_prompts(_prompt_rows(spark, sf_dir)).filter(with_body)
     body = prompts.request_body(F.col("family"), F.col("prompt"))
     parsed = F.parse_json("body")
 
-    def either(first: str, second: str, kind: str) -> Column:
-        return F.coalesce(F.try_variant_get(parsed, first, kind), F.try_variant_get(parsed, second, kind))
+    def either(kind: str, *paths: str) -> Column:
+        return F.coalesce(*[F.try_variant_get(parsed, path, kind) for path in paths])
 
-    prompt = either("$.prompt", "$.messages[0].content[0].text", "string")
-    limit = either("$.max_tokens", "$.max_tokens_to_sample", "int")
+    prompt = either("string", "$.prompt", "$.inputs", "$.messages[0].content[0].text")
+    limit = either("int", "$.max_tokens", "$.max_tokens_to_sample", "$.parameters.max_new_tokens")
     return rows.withColumn("body", body).select(
         "model", "question_id", F.length(prompt).alias("prompt_length"), limit.alias("token_limit")
     )

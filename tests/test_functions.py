@@ -134,6 +134,12 @@ def test_prompt_layouts_fill_in_order(spark):
         for family, layout in layouts.items():
             text = one.select(prompts.prompt_text(F.lit(family), slots)).first()[0]
             assert text == layout.format(system=system, **given_values), family
+    schema_only = plain_system(9).replace("[context]", "<<>>")
+    for mark in ("[question]", "[hint]", "[examples]"):
+        schema_only = schema_only.replace(mark, "")
+    text = one.select(prompts.prompt_text(F.lit("endpoint_turns"), slots)).first()[0]
+    assert text == fixed.CONTEXT_LAYOUTS["endpoint_turns"].format(
+        system=schema_only.replace("<<>>", given_values["context"]), **given_values)
     chat = one.select(prompts.chat_messages(F.lit("chat"), slots)).first()[0]
     assert [(m.role, m.content) for m in chat] == [
         ("system", empty), ("user", fixed.CHAT_USER_LAYOUT.format(**given_values))]
@@ -154,6 +160,10 @@ def test_prediction_texts(spark):
     assert [tuple(r)[1:] for r in out] == [("SELECT 1", "shop"), (" ", "financial"), ("no database", "financial")]
 
 
+def test_database_name(spark):
+    assert values(spark, ["shop"], lambda c: lines.database_name(c, "dev_")) == ["dev_shop"]
+
+
 def test_paths(spark):
     paths = [
         "file:/x/open-ai/0_shot/gpt-4/5_Instructions/360_Inferences/metrics.csv",

@@ -66,6 +66,18 @@ def test_one_failure_stays_with_its_row(spark, tmp_path):
     assert rows[2].text == "SELECT c" and all(r.stopped >= r.started for r in rows.values())
 
 
+class Chat:
+    def complete(self, request, max_tokens):
+        return {"text": " ".join(f"{m['role']}={m['content']}" for m in request)}
+
+
+def test_chat_messages_arrive_as_dicts(spark):
+    rows = prompts(spark, ["a"]).withColumn("messages", F.expr(
+        "array(named_struct('role', 'system', 'content', 'be brief'), named_struct('role', 'user', 'content', prompt))"))
+    found = inference.infer(rows, Chat, request="messages").first()
+    assert (found.text, found.error) == ("system=be brief user=a", None)
+
+
 def test_failed_batch_is_asked_row_by_row(spark):
     good = {r.question_id: r.text for r in inference.infer(prompts(spark, ["a", "b"]), Batched, partitions=1).collect()}
     assert good == {0: "A", 1: "B"}
