@@ -134,6 +134,19 @@ def test_context_of_many_tables(spark):
     assert {r.question_id: r.schema for r in context.with_context(asked, found).collect()} == {1: "yx", 2: "No database found"}
 
 
+def test_context_joins_without_broadcast(spark):
+    context_rows = spark.createDataFrame([("hot", "H"), ("b", "B")], "db_id string, schema string")
+    asked = spark.range(5_000).selectExpr("id AS question_id", "CASE WHEN id % 3 = 0 THEN 'b' WHEN id % 3 = 1 THEN 'none' ELSE 'hot' END AS db_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = context.with_context(asked, context_rows).groupBy("schema").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert {r[0]: r[1] for r in found} == {"H": 1666, "B": 1667, "No database found": 1667}
+
+
 def test_run_spec_and_grid(spark):
     specs = spark.createDataFrame([(1, "a=7,9/b=5")], "id int, spec string")
     assert sorted(map(tuple, prompts.run_spec(specs).collect())) == [(1, "a", 7), (1, "a", 9), (1, "b", 5)]
