@@ -74,11 +74,16 @@ def pivot_mean(report: DataFrame, index: list[str], columns: list[str], values:
     return report.withColumn("_column", key).groupBy(*index).pivot("_column", labels).agg(F.avg("value"))
 
 
-def pivot_metrics(report: DataFrame, instructions: list[int] = fixed.INSTRUCTION_SIZES) -> DataFrame:
-    """Throughput and token counts: a row per model, metric and environment, a column per instruction size and hardness."""
+def pivot_metrics(
+    report: DataFrame, instructions: list[int] = fixed.INSTRUCTION_SIZES, by: list[str] = ()
+) -> DataFrame:
+    """Throughput and token counts: a row per model, metric and environment, a column per instruction size and hardness.
+
+    ``by`` keeps further keys apart, such as ``shot``; cells are averaged over the rest.
+    """
     rows = report_rows(rounded(report), without=[fixed.COST, fixed.PSR, fixed.LATENCY])
     values = [(size, level) for size in instructions for level in [*fixed.LEVELS, fixed.TOTAL]]
-    return pivot_mean(rows, ["model", "metric", "environment"], ["instruction", "hardness"], values)
+    return pivot_mean(rows, ["model", "metric", "environment", *by], ["instruction", "hardness"], values)
 
 
 def pivot_metrics_transposed(report: DataFrame, models: list[tuple[str, str]]) -> DataFrame:
@@ -96,10 +101,12 @@ def cost_rows(report: DataFrame) -> DataFrame:
     )
 
 
-def pivot_cost(report: DataFrame, instructions: list[int] = fixed.INSTRUCTION_SIZES) -> DataFrame:
+def pivot_cost(
+    report: DataFrame, instructions: list[int] = fixed.INSTRUCTION_SIZES, by: list[str] = ()
+) -> DataFrame:
     """Cost and token totals: a column per instruction size."""
     values = [(size, fixed.TOTAL) for size in instructions]
-    return pivot_mean(cost_rows(report), ["model", "metric", "environment"], ["instruction", "hardness"], values)
+    return pivot_mean(cost_rows(report), ["model", "metric", "environment", *by], ["instruction", "hardness"], values)
 
 
 def cost_total(report: DataFrame) -> DataFrame:

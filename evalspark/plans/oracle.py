@@ -36,7 +36,7 @@ QUESTION_ROWS = """
 question_rows AS (
   SELECT doc_id AS question_id, source AS db_id,
          CASE doc_id % 3 WHEN 0 THEN 'simple' WHEN 1 THEN 'moderate' ELSE 'challenging' END AS difficulty,
-         substr(text, 1, 80) AS question,
+         text AS question,
          CASE WHEN doc_id % 4 <> 0 THEN 'hint ' || CAST(n_chars AS VARCHAR) END AS evidence,
          'SELECT ' || CAST(doc_id AS VARCHAR) || ' AS v FROM ' || source AS sql_query,
          CASE WHEN doc_id % 11 = 0 THEN '-- phpMyAdmin SQL Dump ' || lang
@@ -68,8 +68,8 @@ contexts AS (
 SHOT_ROWS = """
 shot_rows AS (
   SELECT 'src' || CAST(u.conv_id % 20 AS VARCHAR) AS db_id, u.conv_id * 100 + u.turn AS ord,
-         substr(u.text, 1, 40) AS question, substr(a.text, 1, 40) AS sql_query,
-         CASE WHEN u.conv_id % 2 = 0 THEN substr(a.text, 1, 20) END AS cot
+         u.text AS question, a.text AS sql_query,
+         CASE WHEN u.conv_id % 2 = 0 THEN a.text END AS cot
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'),
 ranked_shots AS (
@@ -243,7 +243,8 @@ def _transposed_columns() -> list[tuple[str, str]]:
 
 
 def _prompt_rows() -> str:
-    models = ", ".join(f"('{env}', '{model}', '{family}')" for env, model, family in fixed.MODEL_FAMILIES)
+    first = {(env, family): model for env, model, family in reversed(fixed.MODEL_FAMILIES)}
+    models = ", ".join(f"('{env}', '{model}', '{family}')" for (env, family), model in first.items())
     return _with(
         QUESTION_ROWS, CONTEXTS, SHOT_ROWS,
         f" examples AS ({_shots('2_shot')})",

@@ -21,8 +21,11 @@ from evalspark.streaming.resume import answer_stream
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-# Grid of the registered prompt queries: every model layout.
-GRID_MODELS = [(environment, model) for environment, model, _ in fixed.MODEL_FAMILIES]
+# Grid of the registered prompt queries: one model for each layout of an environment.
+GRID_MODELS = [
+    (environment, model)
+    for (environment, _), model in {(env, family): model for env, model, family in reversed(fixed.MODEL_FAMILIES)}.items()
+]
 # The environments and models of the metric view.
 METRIC_MODELS = [
     ("CodeLlama-34b-Instruct-hf", "self-hosted"),

@@ -68,7 +68,7 @@ def questions_of(documents: DataFrame) -> DataFrame:
         doc.alias("question_id"),
         source.alias("db_id"),
         third("doc_id").alias("difficulty"),
-        F.substring("text", 1, 80).alias("question"),
+        F.col("text").alias("question"),
         F.when(doc % 4 != 0, F.concat(F.lit("hint "), F.col("n_chars").cast("string"))).alias("evidence"),
         F.concat(F.lit("SELECT "), doc.cast("string"), F.lit(" AS v FROM "), source).alias("sql_query"),
         F.when(doc % 11 == 0, F.concat(F.lit("-- phpMyAdmin SQL Dump "), F.col("lang")))
@@ -102,9 +102,9 @@ def shot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(answered, ["conv_id", "turn"]).select(
         F.concat(F.lit("src"), (conv % 20).cast("string")).alias("db_id"),
         (conv * 100 + F.col("turn")).alias("ord"),
-        F.substring("asked", 1, 40).alias("question"),
-        F.substring("answer", 1, 40).alias("sql_query"),
-        F.when(conv % 2 == 0, F.substring("answer", 1, 20)).alias("cot"),
+        F.col("asked").alias("question"),
+        F.col("answer").alias("sql_query"),
+        F.when(conv % 2 == 0, F.col("answer")).alias("cot"),
     )
 
 

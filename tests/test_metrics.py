@@ -102,6 +102,15 @@ def test_pivot_averages_duplicates_and_keeps_unmapped(spark):
     assert {r.model for r in mapped.collect()} == {"gpt-4"}
 
 
+def test_pivot_keeps_further_keys_apart(spark):
+    report = spark.createDataFrame(
+        [("e", "m", 5, s, fixed.INPUT_TOKENS, "total", v) for s, v in (("0_shot", 1.0), ("2_shot", 3.0))],
+        "environment string, model string, instruction int, shot string, metric string, hardness string, value double")
+    assert [r["5_total"] for r in reports.pivot_cost(report).collect()] == [2.0]
+    assert {r.shot: r["5_total"] for r in reports.pivot_cost(report, by=["shot"]).collect()} == {"0_shot": 1.0, "2_shot": 3.0}
+    assert {r.shot: r["5_total"] for r in reports.pivot_metrics(report, by=["shot"]).collect()} == {"0_shot": 1.0, "2_shot": 3.0}
+
+
 def test_accuracy(spark):
     scores = spark.createDataFrame(
         [(1, 1, "simple", "a"), (2, 0, "simple", "a"), (3, 1, "odd", "a"), (4, 1, "moderate", "b"), (5, None, "moderate", "b")],

@@ -100,6 +100,16 @@ def test_line_bundle(spark, tmp_path):
         ("one", 0, "SELECT 1", "SELECT a", "x"), ("one", 2, "I don't know", "SELECT b", "y"), ("two", 0, "SELECT 9", "SELECT a", "x")]
 
 
+def test_catalog_and_accuracy_files(spark, tmp_path):
+    (tmp_path / "catalog.json").write_text('{"db_id":"a","table_ord":2,"ddl":"x"}\n{"db_id":"a","table_ord":1,"ddl":"y"}\n')
+    catalog = readers.read_schema_catalog(spark, str(tmp_path / "catalog.json"))
+    assert [r.schema for r in context.db_context(catalog).collect()] == ["yx"]
+    (tmp_path / "accuracy.csv").write_text(
+        "environment,model,instruction,hardness,shot,dataset_size,metric,value\ne,m,5,simple,0_shot,360,accuracy,51.25\n")
+    assert tuple(readers.read_long_accuracy(spark, str(tmp_path / "accuracy.csv")).first()) == (
+        "e", "m", 5, "simple", "0_shot", 360, "accuracy", 51.25)
+
+
 def test_log_round_trip(spark, tmp_path):
     path = tmp_path / "execution-log.jsonl"
     path.write_text(json.dumps({
