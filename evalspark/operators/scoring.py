@@ -9,6 +9,7 @@ from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from itertools import islice
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from evalspark import fixed_values as fixed
@@ -22,6 +23,7 @@ Signature = list[tuple]
 _BATCH = 1_000
 _KEPT = 10_000
 _SESSIONS = 50
+_ATTEMPTS = 2
 
 
 def use_database(session: SparkSession, db_id: str) -> None:
@@ -104,19 +106,29 @@ class PairScorer:
         context.setJobGroup(group, "score one pair", interruptOnCancel=True)
         watch = threading.Thread(target=stop_late, daemon=True)
         watch.start()
+        outcome = (pair_id, 0, "error")
         try:
-            session = self.session(db_id)
-            predicted = signature_of(session, predicted_sql, self.strict)
-            gold = self.gold_signature(session, db_id, gold_sql)
-            same = predicted == gold
-            outcome = (pair_id, int(same), "match" if same else "mismatch")
-        except Exception:
-            outcome = (pair_id, 0, "error")
+            for _ in range(_ATTEMPTS):
+                try:
+                    same = self.same_result(db_id, predicted_sql, gold_sql)
+                    outcome = (pair_id, int(same), "match" if same else "mismatch")
+                    break
+                except (AnalysisException, ValueError):
+                    break  # the statement itself is wrong
+                except Exception:
+                    # Perhaps lost executors and not the statement: try once more.
+                    if expired.is_set():
+                        break
         finally:
             finished.set()
         watch.join()
         return (pair_id, 0, "timeout") if expired.is_set() else outcome
 
+    def same_result(self, db_id: str, predicted_sql: str, gold_sql: str) -> bool:
+        session = self.session(db_id)
+        predicted = signature_of(session, predicted_sql, self.strict)
+        return predicted == self.gold_signature(session, db_id, gold_sql)
+
 
 def _in_flight(pool: ThreadPoolExecutor, score: Callable, pairs: Iterator, limit: int) -> Iterator[tuple]:
     """Results as they come, with at most ``limit`` pairs handed out at a time."""
