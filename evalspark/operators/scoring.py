@@ -159,12 +159,18 @@ def score_sql(
     Each statement is a Spark job of its own, so the work on its tables is
     distributed; the driver only hands statements out, a few at a time, and
     takes back one signature row per column. Errors and timeouts score 0 and
-    stop nothing else. Scores are appended to a table in batches.
+    stop nothing else. Scores are appended to a table in batches; with a
+    ``path`` of your own, a repeated call scores only what is missing there.
     """
-    path = path or new_table_path(spark, "scores")
     scorer = PairScorer(spark, prepare, timeout, strict_duplicates)
+    if path:
+        parameter_table(spark, [], schemas.SCORE).write.mode("ignore").parquet(path)
+        scored = spark.read.schema(schemas.SCORE).parquet(path).select("pair_id")
+        pairs = pairs.join(scored, "pair_id", "left_anti")
+    else:
+        path = new_table_path(spark, "scores")
+        parameter_table(spark, [], schemas.SCORE).write.parquet(path)
     rows = pairs.select("pair_id", "db_id", "predicted_sql", "gold_sql").toLocalIterator()
-    parameter_table(spark, [], schemas.SCORE).write.mode("append").parquet(path)
     with ThreadPoolExecutor(parallelism) as pool:
         score = inheritable_thread_target(spark)(scorer.score)
         results = _in_flight(pool, score, (tuple(row) for row in rows), parallelism)
