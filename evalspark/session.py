@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -42,20 +45,23 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Only a local session (tests) may fall back to a temporary folder; on a
-    cluster executors could not read it, so there the setting is required.
+    A session that runs in one process (tests) may leave it unset and gets a
+    folder that goes away with the process; on a cluster executors could not
+    read such a folder, so there the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     return _local_folder(spark.sparkContext.applicationId)
 
 
 @cache
 def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"evalspark-{application}-")
+    folder = tempfile.mkdtemp(prefix=f"evalspark-{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,7 @@ import pytest
 from compare import as_frame, database, rows_of, sql_frame
 
 import __spark_entry__ as entry_points
+from evalspark.plans.queries import REGISTRY
 
 ORACLES = entry_points.oracle_sql()
 
@@ -16,10 +17,10 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(ORACLES) == set(entry_points.queries())
+    assert set(ORACLES) >= set(REGISTRY)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_matches_sql(spark, duck, sf_dir, name):
     ours = as_frame(entry_points.queries()[name](spark, sf_dir))
     theirs = sql_frame(duck, ORACLES[name])
