@@ -4,9 +4,9 @@
    Documents with the same set are found by a digest of the set and become one.
 2. Bands of the signature are grouped. Each document is tried with the first
    document of a group it shares most bands with, on the full sets.
-3. Groups that now hold several components are compared by signature, in blocks
-   of bounded size, and pairs of different components that look similar enough are
-   tried on the full sets, too, the most similar ones first, until none is left.
+3. Groups that now hold several components are compared in blocks of bounded size:
+   pairs of different components whose signatures look similar enough are tried
+   on the full sets, too, the most similar ones first. A pair is tried in one group.
 4. Components of the links by alternating large-star and small-star.
 
 So no link between components is lost to the choice of a group's first document,
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import hashed_words, keep_table, mix, slices, sorted_groups
@@ -30,8 +30,7 @@ PERCENT = 80
 BANDS = 24
 ROWS = 5
 _BLOCK = 512
-_TRIES = 3
-_SIGNATURES = "doc_id long, n_shingles long, set1 long, set2 long, signature binary, bands array<long>"
+_SIGNATURES = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"
 
 
 def lowered(text: str) -> list[bytes]:
@@ -94,8 +93,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows:
             offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(set1.view(np.int64)), pa.array(set2.view(np.int64)),
-                pa.array([s.tobytes() for s in signature], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64))),
-            ], names=["doc_id", "n_shingles", "set1", "set2", "signature", "bands"])
+                pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64))),
+            ], names=["doc_id", "n_shingles", "set1", "set2", "bands"])
 
 
 def similar(words_a: list[bytes], words_b: list[bytes], width: int, percent: int) -> bool:
@@ -124,24 +123,57 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def _look_alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block whose components differ and whose signatures agree often enough."""
+def _block_links(batches: Iterator[pa.RecordBatch], width: int, percent: int, bands: int, rows: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Links between components inside a block of a group, as few as join all that are linked.
+
+    Pairs that share an earlier band are left to that band's group. Signatures are
+    compared first; what agrees often enough is confirmed on the full sets.
+    """
+    family = hash_family(bands * rows)
     for table, bounds in sorted_groups(batches, ["band", "key", "i", "j"]):
-        docs, comps = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+        docs, comps, band = (table.column(c).to_numpy() for c in ("doc_id", "component", "band"))
         chunk, i, j = (table.column(c).to_numpy() for c in ("chunk", "i", "j"))
-        raw = table.column("signature").combine_chunks()
-        signature = np.frombuffer(b"".join(raw.to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        texts = table.column("text")
         found = []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            for x in range(a, b - 1):
-                other = np.arange(x + 1, b)
-                other = other[(comps[other] != comps[x]) & ((i[x] == j[x]) | (chunk[other] != chunk[x]))]
-                if len(other):
-                    share = (signature[other] == signature[x]).mean(axis=1)
-                    for y, s in zip(other[share >= least].tolist(), share[share >= least].tolist()):
-                        found.append((min(docs[x], docs[y]), max(docs[x], docs[y]), s))
-        columns = list(zip(*found)) if found else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["a", "b", "share"])
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if len(np.unique(comps[lo:hi])) < 2:
+                continue
+            raw = [(t or "").encode("utf-8") for t in texts.slice(lo, hi - lo).to_pylist()]
+            hashes, counts = hashed_words(raw, lower=True)
+            sets = [shingle_hashes(h, width) for h in np.split(hashes, np.cumsum(counts)[:-1])]
+            sizes = np.array([len(s) for s in sets])
+            signature = np.zeros((hi - lo, bands * rows), np.uint32)
+            signature[sizes > 0] = minima(np.concatenate(sets), (np.cumsum(sizes) - sizes)[sizes > 0], family) if sizes.any() else 0
+            full, root = {}, {int(c): int(c) for c in comps[lo:hi]}
+
+            def find(c, root=root):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            pairs = []
+            for x in range(hi - lo - 1):
+                y = np.arange(x + 1, hi - lo)
+                y = y[(comps[lo + y] != comps[lo + x]) & ((i[lo] == j[lo]) | (chunk[lo + y] != chunk[lo + x]))]
+                y = y[100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x])]
+                if len(y):
+                    same = signature[y] == signature[x]
+                    share = same.mean(axis=1)
+                    earlier = same.reshape(len(y), bands, rows)[:, : band[lo]].all(axis=2).any(axis=1)
+                    pairs.extend((-share[k], x, int(y[k])) for k in np.flatnonzero((share >= least) & ~earlier))
+            for _, x, y in sorted(pairs):
+                one, other = find(int(comps[lo + x])), find(int(comps[lo + y]))
+                if one == other:
+                    continue
+                for k in (x, y):
+                    if k not in full:
+                        full[k] = _shingles(raw[k].lower().split(), width)
+                common = len(full[x] & full[y])
+                if 100 * common >= percent * (len(full[x]) + len(full[y]) - common):
+                    root[max(one, other)] = min(one, other)
+                    found.append((docs[lo + x], docs[lo + y]))
+        columns = list(zip(*found)) if found else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], names=["a", "b"])
 
 
 def near_duplicates(
@@ -161,7 +193,6 @@ def near_duplicates(
     A pair at 80 % is found by at least one of 24 bands of 5 with probability
     0.9999; signatures rule pairs out only four standard deviations below.
     """
-    spark = docs.sparkSession
     ids, value = F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
     plain = docs.select(ids, value)
 
@@ -194,25 +225,11 @@ def near_duplicates(
     open_rows = open_rows.withColumn("chunk", F.pmod(F.hash("doc_id"), F.col("chunks")).cast("int"))
     blocks = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = blocks.select("band", "key", "doc_id", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    signatures = filled.join(one_each, ["doc_id", "set1", "set2"]).select("doc_id", "signature").dropDuplicates(["doc_id"])
     deviation = (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
     least = percent / 100 - 4 * deviation
-    dealt = blocks.join(signatures, "doc_id").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    pairs = dealt.mapInArrow(lambda batches: _look_alike(batches, least), "a long, b long, share double")
-    pairs = keep_table(pairs.groupBy("a", "b").agg(F.max("share").alias("share")), "look-alikes")
-    while True:
-        where_a, where_b = found.toDF("a", "comp_a"), found.toDF("b", "comp_b")
-        apart = pairs.join(where_a, "a", "left").join(where_b, "b", "left")
-        apart = apart.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("share"), "b"))
-        now = keep_table(apart.withColumn("rank", rank).filter(F.col("rank") <= _TRIES).select("a", "b"), "pairs")
-        if now.isEmpty():
-            break
-        new = keep_table(confirmed(now, texts, width, percent), "links")
-        tried = tried.unionByName(now)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = keep_table(connected_components(links), "components")
+    dealt = blocks.join(texts, "doc_id").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    more = keep_table(dealt.mapInArrow(lambda batches: _block_links(batches, width, percent, bands, rows, least), "a long, b long"), "links")
+    found = keep_table(connected_components(links.unionByName(more)), "components")
     ends = found.toDF("e_id", "e")
     out = signed.select("doc_id", "n_shingles").join(ends, F.col("doc_id") == F.col("e_id"), "left")
     component = F.coalesce("e", "doc_id")
