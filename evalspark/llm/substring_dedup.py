@@ -234,11 +234,12 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     """doc_id, tag, places: window starts (start, n following ones) that repeat an earlier document."""
     named = docs.filter("doc_id is not null")
     marks = keep_table(named.mapInArrow(lambda b: _marks(b, window, rounds), _MARKS), "marks")
-    spans = marks.groupBy("name", "span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    spans = keep_table(spans, "spans")
-    shared = spans.groupBy("name").agg(F.count("*").alias("spans"), F.min("first").alias("lo"), F.max("last").alias("hi")).filter("lo < hi").select("name", "spans")
-    spans = spans.join(shared, "name").select("name", "span", "first", "spans")
-    placed = keep_table(marks.join(spans, ["name", "span"]).filter("first < doc_id or spans > 1").select("doc_id", "tag", "start", "n", (F.col("first") < F.col("doc_id")).alias("settled")), "shared-marks")
+    shared = marks.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("name")
+    some = keep_table(marks.join(shared, "name", "left_semi"), "shared-marks")
+    spans = keep_table(some.groupBy("name", "span").agg(F.min("doc_id").alias("first")), "spans")
+    counts = spans.groupBy("name").agg(F.count("*").alias("spans"))
+    spans = spans.join(counts, "name")
+    placed = keep_table(some.join(spans, ["name", "span"]).filter("first < doc_id or spans > 1").select("doc_id", "tag", "start", "n", (F.col("first") < F.col("doc_id")).alias("settled")), "placed-marks")
     place = F.struct("start", "n").alias("place")
     ask = placed.filter("not settled").groupBy("doc_id", "tag").agg(F.collect_list(place).alias("places"))
     single = named.join(ask, "doc_id").select("doc_id", "tag", "places", "text").mapInArrow(lambda b: _single_windows(b, window), _WINDOWS)
