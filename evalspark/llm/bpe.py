@@ -42,6 +42,8 @@ from evalspark.llm.common import Memory, slices
 CONTRACTIONS = [b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d"]
 SPACES = b" \t\n\r\x0b\x0c"
 
+PLAIN = re.compile("[ ]?[A-Za-z]+")  # one pre-token whatever stands around it
+
 OUTPUTS = {
     "n_tokens": T.LongType(),
     "ids": T.ArrayType(T.IntegerType()),
@@ -94,9 +96,22 @@ class ForcedBoundaryBpe:
         self.special = {t.encode(): np.array([i], np.uint32).tobytes() for t, i in added.items()}
         self.special_pattern = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
         self.fragment_pattern = re.compile(self._coarse_pattern(), re.DOTALL)
+        self.by_rank = self._ranked(spec["model"], added)
         self.fragments = Memory(self._encode_fragment)
         self.parts = Memory(lambda part: self._encode_parts([part])[0])
 
+    def _ranked(self, model: dict, added: dict):
+        """Merging by rank for single pre-tokens of ASCII letters: only if ids are in merge order and
+        every token encodes to itself; otherwise, and for all other parts, the library encodes."""
+        import tiktoken
+
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if merged != sorted(set(merged)):
+            return None
+        ranks = {self.token_bytes[i]: i for token, i in model["vocab"].items() if token not in added}
+        encode = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        return encode if all(encode(raw) == [i] for raw, i in ranks.items()) else None
+
     def _note(self, raw: bytes) -> None:
         codes = np.frombuffer(raw, np.uint8)
         self.seen[codes[:-1], codes[1:]] = True
@@ -136,8 +151,9 @@ class ForcedBoundaryBpe:
         return [text[a:b] for a, b in zip(at, at[1:])]
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(parts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in found]
+        plain = [self.by_rank is not None and bool(PLAIN.fullmatch(p)) for p in parts]
+        found = iter(self.library.encode_batch([p for p, quick in zip(parts, plain) if not quick], add_special_tokens=False))
+        return [np.array(self.by_rank(p.encode()) if quick else next(found).ids, np.uint32).tobytes() for p, quick in zip(parts, plain)]
 
     def _encode_fragment(self, fragment: bytes) -> bytes:
         return b"".join(map(self.parts.__getitem__, self._split(fragment)))

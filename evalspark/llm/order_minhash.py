@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.llm.common import mix, slices
+from evalspark.tables import parameter_table
 
 K = 6
 SKETCHES = 64
@@ -142,17 +144,16 @@ def edit_probe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = rows.select("doc_id")
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    # A few ranges per partition, so that their sizes even out.
+    cuts = sorted(set(ids.approxQuantile("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 0.1 / n)))
     # Ranges in descending order of ids; the last one is for rows without an id.
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>"), lambda c: c >= F.col("doc_id"))))
-    heads = {r.part: r.head for r in ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("head")).collect()}
-    used = sorted(heads)
-    in_front = {p: used[i - 1] for i, p in enumerate(used)}
-    lend = F.lit(None).cast("int")
-    for p in used:
-        head = F.lit(heads[p]).cast("long")
-        lend = F.when((F.col("part") == p) & F.col("doc_id").eqNullSafe(head), F.lit(in_front[p])).otherwise(lend)
-    dealt = rows.withColumn("part", part).withColumn("lend", lend if used else F.lit(None).cast("int"))
+    above = F.filter(F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>"), lambda c: c >= F.col("doc_id"))
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(above))
+    heads = sorted((r.part, r.head) for r in ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("head")).collect())
+    lenders = [(p, head, heads[i - 1][0]) for i, (p, head) in enumerate(heads)]
+    lenders = parameter_table(spark, lenders, T.StructType([T.StructField("l_part", T.IntegerType()), T.StructField("head", T.LongType()), T.StructField("front", T.IntegerType())]))
+    dealt = rows.withColumn("part", part).join(lenders, F.col("part") == F.col("l_part"))
+    dealt = dealt.withColumn("lend", F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.col("front")))
     own, lent = F.struct(F.col("part").alias("to"), F.lit(0).alias("guest")), F.struct(F.col("lend").alias("to"), F.lit(1).alias("guest"))
     dealt = dealt.withColumn("place", F.explode(F.when(F.col("lend").isNull(), F.array(own)).otherwise(F.array(own, lent))))
     dealt = dealt.select("place.to", "place.guest", "doc_id", "text").repartition(n, "to")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.bpe import ForcedBoundaryBpe
+from evalspark.llm.bpe import PLAIN, ForcedBoundaryBpe
 from evalspark.llm.common import Memory, slices
 
 RULES = ("first", "last")
@@ -39,6 +39,12 @@ class SpanEncoder(ForcedBoundaryBpe):
     def _spans_of(self, text: str) -> tuple[int, int, bytes, bytes]:
         return self._measured(text, self.library.encode(text, add_special_tokens=False))
 
+    def _by_length(self, fragment: bytes) -> tuple[int, int, bytes, bytes]:
+        """Spans in ASCII, where a token has as many characters as bytes."""
+        ids = self.by_rank(fragment)
+        stops = np.cumsum([len(self.token_bytes[i]) for i in ids])
+        return len(ids), len(fragment), np.concatenate([[0], stops[:-1]]).astype(np.uint32).tobytes(), stops.astype(np.uint32).tobytes()
+
     @staticmethod
     def _measured(text: str, encoding) -> tuple[int, int, bytes, bytes]:
         spans = np.array(encoding.offsets, np.uint32).reshape(-1, 2)
@@ -49,8 +55,10 @@ class SpanEncoder(ForcedBoundaryBpe):
         split = [self._stretches(t.encode("utf-8")) for t in texts]
         unknown = [f for f in self.fragments.unknown(f for s in split for f in s) if f not in self.special]
         decoded = [f.decode("utf-8") for f in unknown]
-        for fragment, text, found in zip(unknown, decoded, self.library.encode_batch(decoded, add_special_tokens=False)):
-            self.fragments.put(fragment, self._measured(text, found))
+        plain = [self.by_rank is not None and bool(PLAIN.fullmatch(t)) for t in decoded]
+        found = iter(self.library.encode_batch([t for t, quick in zip(decoded, plain) if not quick], add_special_tokens=False))
+        for fragment, text, quick in zip(unknown, decoded, plain):
+            self.fragments.put(fragment, self._by_length(fragment) if quick else self._measured(text, next(found)))
         self.fragments.update(self.special)
         out = []
         for stretches in split:
