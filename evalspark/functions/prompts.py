@@ -22,6 +22,11 @@ def path_safe(model: Column) -> Column:
     return F.translate(model, ":", "_")
 
 
+def report_model(model: Column) -> Column:
+    """The name that reports and price lists use: the last part of the path, safe as a path segment."""
+    return path_safe(F.substring_index(model, "/", -1))
+
+
 def instructions(instruction_size: Column) -> Column:
     """The system prompt up to its placeholders, with every instruction block the size includes."""
     text = fixed.SYSTEM_PROMPT_HEAD + "".join(block for _, block in fixed.INSTRUCTION_BLOCKS)

@@ -31,7 +31,9 @@ def first_statement(line: Column, keep_with: bool = False) -> Column:
     """
     pattern = fixed.STATEMENT_PATTERN
     if keep_with:
-        pattern = rf"(?:\bWITH\b[^;]*?\bAS\b[^;]*?)?{pattern}"
+        name = r"""(?:\w+|"[^"]*"|`[^`]*`|\[[^\]]*\])"""
+        head = rf"WITH\s+(?:RECURSIVE\s+)?{name}\s*(?:\([^()]*\)\s*)?AS\s*\("
+        pattern = rf"(?:\b{head}[^;]+|{pattern})"
     # One replacement for both cases, so that the search runs once per reply.
     return F.regexp_replace(line, rf"(?isU)\A(?:.*?({pattern}).*|(.*))\z", "$1$2")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark import fixed_values as fixed
 from evalspark import schemas
-from evalspark.functions import durations
+from evalspark.functions import durations, prompts
 from evalspark.tables import parameter_table
 
 RUN_KEYS = ["environment", "model", "instruction"]
@@ -100,7 +100,10 @@ def cost_api(by_hardness: DataFrame, prices: DataFrame) -> DataFrame:
     dollars = (
         F.col("input_tokens") * F.col("input_cost") + F.col("output_tokens") * F.col("output_cost")
     ) / F.col("per_tokens")
-    joined = by_hardness.join(prices, ["environment", "model"], "left")
+    priced = prices.withColumnsRenamed({"environment": "_environment", "model": "_model"})
+    priced = priced.withColumn("_model", prompts.report_model(F.col("_model")))
+    named = (F.col("environment") == F.col("_environment")) & (prompts.report_model(F.col("model")) == F.col("_model"))
+    joined = by_hardness.join(priced, named, "left")
     return joined.select(*by_hardness.columns, dollars.alias("api_cost"))
 
 

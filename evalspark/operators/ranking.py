@@ -7,25 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark limits groups before the shuffle up to this rank
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-SMALL_K = 1000
 # Ids per block when rows are numbered by a dense integer id.
 ID_BLOCK = 100_000
 _SALTS = 512
 
 
 def first_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "position") -> DataFrame:
-    """The first ``k`` rows of each group with their 1-based position; ``k`` at most SMALL_K.
+    """The first ``k`` rows of each group with their 1-based position.
 
     Two rounds of row_number: input partitions are folded into salted groups,
     then the survivors are ranked. Spark's group limit cuts each map task to
-    ``k`` rows per group before either shuffle, so a group of any size reaches
+    ``k`` rows per group before either shuffle (up to the rank in
+    spark.sql.optimizer.windowGroupLimitThreshold), so a group of any size reaches
     the last task as at most ``k`` rows per salt. The salt decides only where
     a row is compared, not whether it is kept.
     """
-    if k > SMALL_K:
-        raise ValueError(f"first_per_group handles up to {SMALL_K} rows per group; use first_by_block")
     salted = Window.partitionBy(*by, "_salt").orderBy(*order)
     final = Window.partitionBy(*by).orderBy(*order)
     return (
@@ -48,16 +44,14 @@ def block_offsets(df: DataFrame, by: list[str], block: Column) -> DataFrame:
     )
 
 
-def first_by_block(df: DataFrame, by: list[str], order: list[Column], block: Column, k: int, groups: int) -> DataFrame:
+def first_by_block(df: DataFrame, by: list[str], order: list[Column], block: Column, k: int) -> DataFrame:
     """The first ``k`` rows of each group for any ``k``.
 
     ``block`` is an integer that rises with ``order``. Blocks are counted, the
     block where each group reaches ``k`` is found, and only rows up to it are
-    shuffled, by (group, block). ``groups`` is the number of groups the caller
-    has filtered to: the broadcast table has one row for each.
+    shuffled, by (group, block). The cuts, one row per group, are joined the way
+    their size suggests to Spark.
     """
-    if groups > 10_000:
-        raise ValueError("too many groups to broadcast one row for each")
     cut = (
         block_offsets(df, by, block)
         .filter(F.col("_before") < k)
@@ -69,7 +63,7 @@ def first_by_block(df: DataFrame, by: list[str], order: list[Column], block: Col
     in_block = Window.partitionBy(*by, "_block").orderBy(*order)
     return (
         df.withColumn("_block", block)
-        .join(F.broadcast(renamed), matches & (F.col("_block") <= F.col("_cut")))
+        .join(renamed, matches & (F.col("_block") <= F.col("_cut")))
         .withColumn("_in_block", F.row_number().over(in_block))
         .filter((F.col("_block") < F.col("_cut")) | (F.col("_in_block") <= k - F.col("_cut_before")))
         .select(*df.columns)

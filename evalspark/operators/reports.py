@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark import fixed_values as fixed
 from evalspark import schemas
+from evalspark.functions import prompts
 from evalspark.tables import parameter_table
 
 # Column of the wide metrics table -> metric name in the report.
@@ -38,7 +39,8 @@ def model_names(report: DataFrame, names: DataFrame, drop_unmapped: bool = False
 
     A model without one keeps its own name, or is left out with ``drop_unmapped``.
     """
-    joined = report.join(names, "model", "inner" if drop_unmapped else "left")
+    named = names.select(prompts.report_model(F.col("model")).alias("_name"), "short_name")
+    joined = report.join(named, prompts.report_model(F.col("model")) == F.col("_name"), "inner" if drop_unmapped else "left")
     return joined.withColumn("model", F.coalesce("short_name", "model")).select(*report.columns)
 
 
@@ -63,34 +65,47 @@ def report_rows(
     return report
 
 
+def _shown(report: DataFrame, columns: list[str], given: list | None) -> list[tuple]:
+    """The values to show: all there are, or those given, if they cover the rows.
+
+    Reports are reduced already, and each value becomes a column of the result.
+    """
+    there = sorted(tuple(r) for r in report.select(*columns).distinct().collect() if None not in tuple(r))
+    if given is None:
+        return there
+    given = [value if isinstance(value, tuple) else (value,) for value in given]
+    if missing := sorted(set(there) - set(given)):
+        raise ValueError(f"the report also has {missing} in {columns}")
+    return given
+
+
 def pivot_mean(report: DataFrame, index: list[str], columns: list[str], values: list[tuple]) -> DataFrame:
     """Mean value per index row and column combination.
 
-    ``values`` lists the combinations to show, so no job is needed to find
-    them; their parts joined by ``_`` name the columns.
+    ``values`` lists the combinations to show; their parts joined by ``_`` name
+    the columns.
     """
     labels = ["_".join(str(part) for part in value) for value in values]
     key = F.concat_ws("_", *[F.col(column).cast("string") for column in columns])
     return report.withColumn("_column", key).groupBy(*index).pivot("_column", labels).agg(F.avg("value"))
 
 
-def pivot_metrics(
-    report: DataFrame, instructions: list[int] = fixed.INSTRUCTION_SIZES, by: list[str] = ()
-) -> DataFrame:
+def pivot_metrics(report: DataFrame, instructions: list[int] | None = None, by: list[str] = ()) -> DataFrame:
     """Throughput and token counts: a row per model, metric and environment, a column per instruction size and hardness.
 
     ``by`` keeps further keys apart, such as ``shot``; cells are averaged over the rest.
     """
     rows = report_rows(rounded(report), without=[fixed.COST, fixed.PSR, fixed.LATENCY])
-    values = [(size, level) for size in instructions for level in [*fixed.LEVELS, fixed.TOTAL]]
+    sizes = _shown(rows, ["instruction"], instructions)
+    values = [(size, level) for (size,) in sizes for level in [*fixed.LEVELS, fixed.TOTAL]]
     return pivot_mean(rows, ["model", "metric", "environment", *by], ["instruction", "hardness"], values)
 
 
-def pivot_metrics_transposed(report: DataFrame, models: list[tuple[str, str]]) -> DataFrame:
+def pivot_metrics_transposed(report: DataFrame, models: list[tuple[str, str]] | None = None) -> DataFrame:
     """The same figures the other way round; ``models`` lists (model, environment)."""
     rows = report_rows(rounded(report), without=[fixed.COST, fixed.PSR, fixed.LATENCY])
     metrics = [fixed.OUTPUT_TOKENS, fixed.INPUT_TOKENS, fixed.THROUGHPUT]
-    values = [(model, metric, environment) for model, environment in models for metric in metrics]
+    values = [(model, metric, environment) for model, environment in _shown(rows, ["model", "environment"], models) for metric in metrics]
     return pivot_mean(rows, ["instruction", "hardness"], ["model", "metric", "environment"], values)
 
 
@@ -101,12 +116,11 @@ def cost_rows(report: DataFrame) -> DataFrame:
     )
 
 
-def pivot_cost(
-    report: DataFrame, instructions: list[int] = fixed.INSTRUCTION_SIZES, by: list[str] = ()
-) -> DataFrame:
+def pivot_cost(report: DataFrame, instructions: list[int] | None = None, by: list[str] = ()) -> DataFrame:
     """Cost and token totals: a column per instruction size."""
-    values = [(size, fixed.TOTAL) for size in instructions]
-    return pivot_mean(cost_rows(report), ["model", "metric", "environment", *by], ["instruction", "hardness"], values)
+    rows = cost_rows(report)
+    values = [(size, fixed.TOTAL) for (size,) in _shown(rows, ["instruction"], instructions)]
+    return pivot_mean(rows, ["model", "metric", "environment", *by], ["instruction", "hardness"], values)
 
 
 def cost_total(report: DataFrame) -> DataFrame:

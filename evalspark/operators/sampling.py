@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark import fixed_values as fixed
@@ -38,13 +38,14 @@ def _take_per_difficulty(
     questions: DataFrame, k: int, order: list[Column], block: Column, levels: list[str]
 ) -> DataFrame:
     kept = keep_levels(questions, levels)
-    if k > ranking.SMALL_K:
-        return ranking.first_by_block(kept, ["difficulty"], order, block, k, groups=len(levels))
-    # Only ids are ranked; the texts are read once more for the chosen few, at
-    # most SMALL_K for each level, so their ids are safe to broadcast.
+    # Only ids are ranked; the texts are read once more for the chosen ones. An id
+    # that several rows have is taken as often as it was chosen.
     narrow = kept.select("question_id", "difficulty")
-    chosen = ranking.first_per_group(narrow, ["difficulty"], order, k).select("question_id")
-    return kept.join(F.broadcast(chosen), "question_id", "left_semi")
+    chosen = ranking.first_by_block(narrow, ["difficulty"], order, block, k)
+    times = chosen.groupBy("difficulty", "question_id").agg(F.count("*").alias("_times"))
+    repeat = Window.partitionBy("difficulty", "question_id").orderBy(F.lit(0))
+    found = kept.join(times, ["difficulty", "question_id"]).withColumn("_repeat", F.row_number().over(repeat))
+    return found.filter(F.col("_repeat") <= F.col("_times")).select(*questions.columns)
 
 
 def head_per_difficulty(questions: DataFrame, size: int, levels: list[str] = fixed.LEVELS) -> DataFrame:
@@ -81,13 +82,12 @@ def bucket_level(difficulty: Column) -> Column:
 def question_buckets(questions: DataFrame, difficulty: str = "difficulty") -> DataFrame:
     """``(question_id, dataset_size)`` of the questions in the small buckets.
 
-    At most 120 positions in each of three levels: never more than 360 rows.
+    At most 120 positions in each of three levels: never more than 360 rows. A
+    question counts once, however many rows (runs) it has.
     """
     last = max(end for _, _, end in fixed.BUCKETS)
-    ranked = ranking.first_per_group(
-        questions.select("question_id", bucket_level(F.col(difficulty)).alias("_level")),
-        ["_level"], [F.col("question_id")], last,
-    )
+    once = questions.groupBy("question_id").agg(F.min(bucket_level(F.col(difficulty))).alias("_level"))
+    ranked = ranking.first_per_group(once, ["_level"], [F.col("question_id")], last)
     size = None
     for label, start, end in fixed.BUCKETS:
         inside = (F.col("position") > start) & (F.col("position") <= end)

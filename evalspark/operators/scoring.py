@@ -96,6 +96,10 @@ class PairScorer:
         finished, expired = threading.Event(), threading.Event()
 
         def stop_late() -> None:
+            # The time a pair waits for its neighbours is not its own.
+            while not self._runs(group):
+                if finished.wait(0.1):
+                    return
             if finished.wait(self.timeout):
                 return
             expired.set()
@@ -104,6 +108,7 @@ class PairScorer:
                 context.cancelJobGroup(group)
 
         context.setJobGroup(group, "score one pair", interruptOnCancel=True)
+        context.setLocalProperty("spark.scheduler.pool", group)  # cores are shared evenly among pairs
         watch = threading.Thread(target=stop_late, daemon=True)
         watch.start()
         outcome = (pair_id, 0, "error")
@@ -124,6 +129,13 @@ class PairScorer:
         watch.join()
         return (pair_id, 0, "timeout") if expired.is_set() else outcome
 
+    def _runs(self, group: str) -> bool:
+        """Whether a task of the group has started."""
+        tracker = self.spark.sparkContext.statusTracker()
+        jobs = filter(None, map(tracker.getJobInfo, tracker.getJobIdsForGroup(group)))
+        stages = filter(None, (tracker.getStageInfo(s) for job in jobs for s in job.stageIds))
+        return any(stage.numActiveTasks or stage.numCompletedTasks or stage.numFailedTasks for stage in stages)
+
     def same_result(self, db_id: str, predicted_sql: str, gold_sql: str) -> bool:
         session = self.session(db_id)
         predicted = signature_of(session, predicted_sql, self.strict)

@@ -20,6 +20,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Scored statements share the cores instead of queueing behind one another.
+    "spark.scheduler.mode": "FAIR",
     # A statement that is stopped but does not react loses its executor, not its cores for good.
     "spark.task.reaper.enabled": "true",
     "spark.task.reaper.killTimeout": "120s",

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import lines
 
-# Entries in one prediction map; a run up to this size is one JSON object.
-MAP_ENTRIES = 1_000
-
 
 def _csv(writer, path: str) -> None:
     # By default the writer would cut blanks at both ends of a text.
@@ -44,16 +41,16 @@ def write_gold_lines(pairs: DataFrame, path: str) -> None:
     pairs.select(lines.gold_line(flat, F.col("db_id")).alias("value")).write.mode("overwrite").text(path)
 
 
-def prediction_maps(predictions: DataFrame, run: str = "run_id") -> DataFrame:
+def prediction_maps(predictions: DataFrame, run: str = "run_id", single_map: bool = False) -> DataFrame:
     """``(run, part, value)``: prediction maps as JSON text, keyed by ``pair_index``.
 
-    Maps are cut every MAP_ENTRIES entries, so the largest run makes many
-    small rows and never one large one.
+    Each entry is a map of its own, at any number of entries. ``single_map``
+    exports a run as one map, in one row, for consumers that read a whole object.
     """
     entry = F.struct(
         "pair_index", lines.prediction_text(F.col("predicted_sql"), F.col("db_id")).alias("text")
     )
-    part = F.floor(F.col("pair_index") / MAP_ENTRIES)
+    part = F.lit(0) if single_map else F.col("pair_index")
     entries = F.transform(
         F.array_sort("_entries"), lambda e: F.struct(e["pair_index"].cast("string").alias("key"), e["text"].alias("value"))
     )
@@ -64,9 +61,9 @@ def prediction_maps(predictions: DataFrame, run: str = "run_id") -> DataFrame:
     )
 
 
-def write_prediction_maps(predictions: DataFrame, path: str, run: str = "run_id") -> None:
+def write_prediction_maps(predictions: DataFrame, path: str, run: str = "run_id", single_map: bool = False) -> None:
     """Prediction maps, a folder per run and a map per line."""
-    maps = prediction_maps(predictions, run)
+    maps = prediction_maps(predictions, run, single_map)
     _partitioned(maps.select(run, "value"), [run]).mode("overwrite").text(path)
 
 

@@ -42,9 +42,11 @@ def test_first_per_group(questions, data):
         (d, i, p + 1) for d, ids in grouped(data).items() for p, i in enumerate(ids[:50])}
 
 
-def test_first_per_group_refuses_large_k(questions):
-    with pytest.raises(ValueError):
-        ranking.first_per_group(questions, ["difficulty"], [F.col("question_id")], ranking.SMALL_K + 1)
+@pytest.mark.parametrize("k", [5, 999, 1_000, 1_001, 1_500])
+def test_heads_are_exact_with_repeated_ids(spark, k):
+    rows = spark.range(2_000).selectExpr("id div 3 as question_id", "'simple' as difficulty", "id as text")
+    found = sampling.head_per_difficulty(rows, k, ["simple"])
+    assert sorted(r.question_id for r in found.collect()) == sorted(i // 3 for i in range(2_000))[:k]
 
 
 @pytest.mark.parametrize("block", [1_000, 100_000, 10_000_000])

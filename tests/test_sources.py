@@ -63,11 +63,12 @@ def test_prediction_map(spark, tmp_path, per_line):
     assert sorted(map(tuple, rows.collect())) == [(0, "SELECT 1", "a"), (1, " ", "financial"), (2, "SELECT 'x'", "b")]
 
 
-def test_prediction_maps_are_cut(spark, tmp_path):
+def test_prediction_maps_have_one_form(spark, tmp_path):
     rows = spark.createDataFrame([("r", i, f"SELECT {i}", "a") for i in range(2_500)], "run_id string, pair_index bigint, predicted_sql string, db_id string")
     maps = writers.prediction_maps(rows).collect()
-    assert sorted(len(json.loads(m.value)) for m in maps) == [500, 1000, 1000]
-    assert list(json.loads(next(m.value for m in maps if m.part == 0)))[:12] == [str(i) for i in range(12)]
+    assert sorted(int(key) for m in maps for key in json.loads(m.value)) == list(range(2_500)) and len(maps) == 2_500
+    whole, = writers.prediction_maps(rows, single_map=True).collect()
+    assert list(json.loads(whole.value)) == [str(i) for i in range(2_500)]
 
 
 def test_results_tree(spark, tmp_path):
