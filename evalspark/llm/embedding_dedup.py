@@ -127,7 +127,7 @@ def near_vectors(
     good = rows.filter(usable).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 becomes 0.0
     good = keep_table(good.withColumn("width", F.size("v")).withColumn("h", F.xxhash64("v")), "vectors")
     equal = good.groupBy("width", "h", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    equal = keep_table(equal.withColumn("copy", F.monotonically_increasing_id()), "distinct-vectors")
+    equal = keep_table(equal, "distinct-vectors")
     n = equal.count()
     bits, tables = plan_tables(n, threshold, recall)
     membership = keep_table(good.join(equal.select("width", "h", F.col("v").alias("w"), "rep", "copies"), ["width", "h"]).filter("v = w").select("vec_id", "rep", "copies"), "vector-copies")
