@@ -26,7 +26,9 @@ def split_gold_line(line: Column) -> dict[str, Column]:
 
 def prediction_text(sql: Column, db_id: Column) -> Column:
     """Statement and database in the prediction map's value format."""
-    return F.concat(strip(sql), F.lit(fixed.PREDICTION_DELIMITER), db_id)
+    # The text of a missing prediction is a blank, which must come back.
+    kept = F.when(sql == fixed.MISSING_PREDICTION, sql).otherwise(strip(sql))
+    return F.concat(kept, F.lit(fixed.PREDICTION_DELIMITER), db_id)
 
 
 def split_prediction(text: Column, default_db: str = fixed.DEFAULT_DB) -> dict[str, Column]:

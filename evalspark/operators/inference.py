@@ -80,11 +80,13 @@ def infer(
     Calls are costly and not repeatable: write the result once (see
     :func:`infer_into`) before deriving anything from it, and leave
     speculation off. A lost task asks its partition again, so take many
-    ``partitions``; the cores limit how many clients work at once.
+    ``partitions``; the cores limit how many clients work at once. Without a
+    number, the prompts are spread over ``spark.sql.shuffle.partitions`` tasks.
     """
     rows = prompts.select("run_id", "question_id", request)
-    if partitions:
-        rows = rows.repartition(partitions, "run_id", "question_id")
+    # A given number of partitions is one that adaptive execution leaves alone.
+    tasks = partitions or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "run_id", "question_id")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
@@ -100,7 +102,17 @@ def infer(
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
     """The written replies, one per (run, question)."""
-    return latest_replies(spark.read.schema(schemas.RAW_REPLY).parquet(path))
+    return latest_replies(spark.read.schema(schemas.RAW_REPLY).parquet(path).select(*_COLUMNS))
+
+
+def append_replies(
+    prompts: DataFrame, client_factory: ClientFactory, path: str, retry_errors: bool = False, **options: Any
+) -> None:
+    """Ask for what the table at ``path`` does not answer yet, and append the replies."""
+    spark = prompts.sparkSession
+    parameter_table(spark, [], schemas.RAW_REPLY).write.mode("ignore").parquet(path)
+    todo = pending(prompts, spark.read.schema(schemas.RAW_REPLY).parquet(path), retry_errors)
+    infer(todo, client_factory, **options).write.mode("append").parquet(path)
 
 
 def infer_into(
@@ -110,12 +122,9 @@ def infer_into(
     retry_errors: bool = False,
     **options: Any,
 ) -> DataFrame:
-    """Ask for what the table at ``path`` does not answer yet, append, and read it back.
+    """As :func:`append_replies`, and read the table back.
 
     A repeated call goes on where the last one stopped.
     """
-    spark = prompts.sparkSession
-    parameter_table(spark, [], schemas.RAW_REPLY).write.mode("ignore").parquet(path)
-    todo = pending(prompts, spark.read.schema(schemas.RAW_REPLY).parquet(path), retry_errors)
-    infer(todo, client_factory, **options).write.mode("append").parquet(path)
-    return read_replies(spark, path)
+    append_replies(prompts, client_factory, path, retry_errors, **options)
+    return read_replies(prompts.sparkSession, path)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark import fixed_values as fixed
@@ -76,6 +77,23 @@ def with_runs(questions: DataFrame, runs: list[tuple], partitions: int | None =
     return unfolded.withColumns({"shot": shot, "run_id": run_id}).drop("shots")
 
 
+def with_sized_runs(sets: dict[int, DataFrame], runs: list[tuple], partitions: int | None = None) -> DataFrame:
+    """As :func:`with_runs`, with a question set per length: a run asks the set of its own length."""
+    if missing := sorted({run[-1] for run in runs} - set(sets)):
+        raise ValueError(f"no question set of length {missing}")
+    parts = [
+        with_runs(questions, [run for run in runs if run[-1] == length], partitions)
+        for length, questions in sets.items()
+        if any(run[-1] == length for run in runs)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def run_table(spark: SparkSession, runs: list[tuple]) -> DataFrame:
+    """The grid as a table ``(environment, model, instruction, dataset_length, shot, run_id)``."""
+    return with_runs(spark.range(1).toDF("_one"), runs).drop("_one")
+
+
 def take_shots(pool: DataFrame, shots: list[str]) -> DataFrame:
     """The samples of some shot labels out of a pool: the first n per database, as each label says.
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark import fixed_values as fixed
-from evalspark.functions import durations, lines, replies
+from evalspark.functions import durations, lines, prompts, replies
 from evalspark.operators import ranking
 
 REPLY_KEYS = ["run_id", "question_id"]
+RUN_COLUMNS = ["environment", "model", "instruction", "shot", "dataset_length"]
 
 
 def latest_replies(raw: DataFrame) -> DataFrame:
@@ -40,11 +41,13 @@ def with_provider_reply(bodies: DataFrame, shape: str = "shape", body: str = "bo
     return bodies.withColumns(replies.provider_reply(F.col(shape), F.col(body)))
 
 
-def metric_rows(outcomes: DataFrame, hardness: str = "difficulty") -> DataFrame:
+def metric_rows(outcomes: DataFrame, hardness: str = "difficulty", with_run: bool = False) -> DataFrame:
     """The per-inference metric: response time (``0`` without an answer), tokens, hardness.
 
-    Errors count no tokens; a reply without SQL keeps its tokens.
+    Errors count no tokens; a reply without SQL keeps its tokens. With
+    ``with_run`` the run's columns come along, the model under its report name.
     """
+    named = [prompts.report_model(F.col(n)).alias(n) if n == "model" else F.col(n) for n in RUN_COLUMNS]
     failed = F.col("severity") == "error"
 
     def tokens(name: str) -> Column:
@@ -57,6 +60,7 @@ def metric_rows(outcomes: DataFrame, hardness: str = "difficulty") -> DataFrame:
         tokens("prompt_tokens").alias("llm_prompt_tokens"),
         tokens("response_tokens").alias("llm_response_tokens"),
         F.col(hardness).alias("hardness"),
+        *(named if with_run else []),
     )
 
 

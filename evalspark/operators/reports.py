@@ -136,6 +136,13 @@ def cost_total(report: DataFrame) -> DataFrame:
     )
 
 
+def pivot_cost_total(report: DataFrame) -> DataFrame:
+    """Cost and token totals over all instruction sizes: a column per metric."""
+    return pivot_mean(cost_total(report), ["model", "environment"], ["instruction", "metric"], [
+        (fixed.ALL_INSTRUCTIONS, metric) for metric in (fixed.COST, fixed.OUTPUT_TOKENS, fixed.INPUT_TOKENS)
+    ])
+
+
 def distinct_dims(metrics: DataFrame) -> DataFrame:
     """``(dim, value)``: the distinct environments, models per environment, instructions and hardness values.
 

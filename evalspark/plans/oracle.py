@@ -242,6 +242,17 @@ def _transposed_columns() -> list[tuple[str, str]]:
     ]
 
 
+PROMPTED = """
+prompted AS (
+  SELECT *,
+         replace(replace(replace(replace(template, '[context]', ''), '[question]', ''), '[hint]', ''), '[examples]', '') AS blanked,
+         replace(replace(replace(replace(template, '[question]', ''), '[hint]', ''), '[examples]', ''), '[context]', context) AS schema_only,
+         replace(replace(replace(replace(template,
+           '[context]', 'Here is the schema of the tables which are needed for the SQL generation: ' || chr(10) || context),
+           '[question]', 'Question: ' || question), '[hint]', 'Hint: ' || hint), '[examples]', examples) AS whole
+  FROM filled)"""
+
+
 def _prompt_rows() -> str:
     first = {(env, family): model for env, model, family in reversed(fixed.MODEL_FAMILIES)}
     models = ", ".join(f"('{env}', '{model}', '{family}')" for (env, family), model in first.items())
@@ -255,14 +266,7 @@ def _prompt_rows() -> str:
          {_system("(CASE q.question_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 9 ELSE 11 END)")} AS template
   FROM question_rows q CROSS JOIN models m
   LEFT JOIN contexts c ON c.db_id = q.db_id LEFT JOIN examples e ON e.db_id = q.db_id)""",
-        """ prompted AS (
-  SELECT *,
-         replace(replace(replace(replace(template, '[context]', ''), '[question]', ''), '[hint]', ''), '[examples]', '') AS blanked,
-         replace(replace(replace(replace(template, '[question]', ''), '[hint]', ''), '[examples]', ''), '[context]', context) AS schema_only,
-         replace(replace(replace(replace(template,
-           '[context]', 'Here is the schema of the tables which are needed for the SQL generation: ' || chr(10) || context),
-           '[question]', 'Question: ' || question), '[hint]', 'Hint: ' || hint), '[examples]', examples) AS whole
-  FROM filled)""",
+        PROMPTED,
     )
 
 
@@ -443,7 +447,7 @@ UNION ALL SELECT NULL, model, NULL, hardness, 'accuracy', round_even(accuracy, 6
         "gold_file": f"{_with(QUESTION_ROWS)} SELECT sql_query AS gold_sql, db_id FROM question_rows",
         "prediction_file": f"""{_with(QUESTION_ROWS)}
 SELECT CAST(question_id % 3 AS VARCHAR) AS run_id,
-       CASE WHEN question_id % 7 = 6 THEN '' ELSE sql_query END AS predicted_sql,
+       CASE WHEN question_id % 7 = 6 THEN ' ' ELSE sql_query END AS predicted_sql,
        CASE WHEN question_id % 7 = 6 THEN 'financial' ELSE db_id END AS db_id,
        row_number() OVER (PARTITION BY question_id % 3 ORDER BY question_id) - 1 AS pair_index
 FROM question_rows WHERE question_id % 7 <> 0""",

@@ -532,7 +532,7 @@ def _simple_prompts(questions: DataFrame) -> DataFrame:
 
 @registered
 def infer_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = inference.infer(_simple_prompts(views.question_rows(spark, sf_dir)), _client, partitions=8)
+    raw = inference.infer(_simple_prompts(views.question_rows(spark, sf_dir)), _client)
     return raw.select("run_id", "question_id", "text", "prompt_tokens", "response_tokens", "error")
 
 
@@ -542,7 +542,7 @@ def stream_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.readStream.schema(views.SCHEMAS["documents"]).parquet(f"{sf_dir}/documents.parquet*")
     path = new_table_path(spark, "replies")
     query = answer_stream(
-        _simple_prompts(views.questions_of(documents)), _client, path, new_table_path(spark, "replies-checkpoint")
+        _simple_prompts(views.questions_of(documents)), _client, path, new_table_path(spark, "replies-checkpoint"), by_batch=True
     )
     query.awaitTermination()
     return inference.read_replies(spark, path).select(

@@ -1,0 +1,143 @@
+"""Registered queries over whole runs, from grid to report, and over the files of a run."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalspark import fixed_values as fixed
+from evalspark import schemas
+from evalspark.functions import lines, replies as reply_functions
+from evalspark.operators import accuracy, context, inference, metrics, prompts, replies, reports, sampling
+from evalspark.plans import queries, views
+from evalspark.plans.queries import registered
+from evalspark.session import new_table_path
+from evalspark.sources import readers, writers
+
+ALL_MODELS = [(environment, model) for environment, model, _ in fixed.MODEL_FAMILIES]
+RUN = ["environment", "model", "instruction", "shot", "dataset_length"]
+ACCURACY_KEYS = ["environment", "model", "instruction", "shot", "dataset_size"]
+
+
+@registered
+def pipeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid, prompts, replies, outcomes, metrics, cost and short names of every model over the benchmark."""
+    runs = prompts.grid(ALL_MODELS, fixed.INSTRUCTION_SIZES, ["2", "4-cot"])
+    asked = prompts.with_runs(views.benchmark_questions(spark, sf_dir), runs)
+    asked = context.with_context(asked, context.db_context(views.schema_catalog(spark, sf_dir)))
+    asked = prompts.with_prompts(prompts.with_examples(asked, queries._examples(spark, sf_dir)))
+    path = new_table_path(spark, "pipeline-replies")
+    answered = inference.infer_into(asked, queries._client, path)
+    # The stand-in client answers at once; a reply takes a time that its prompt gives.
+    answered = answered.withColumns({
+        "started": F.timestamp_seconds(F.lit(0)), "stopped": F.timestamp_micros(F.col("prompt_tokens") % 97 * 250_000),
+    })
+    questions = views.benchmark_questions(spark, sf_dir).select("question_id", "difficulty")
+    outcomes = replies.with_outcome(answered, "text").join(prompts.run_table(spark, runs), "run_id").join(questions, "question_id")
+    wide = metrics.metrics_by_hardness(replies.metric_rows(outcomes, with_run=True), RUN)
+    named = reports.model_names(metrics.with_cost(wide, metrics.price_list(spark)), reports.short_names(spark))
+    return named.withColumns(queries._round("usable_seconds", "latency", "throughput", "psr", "cost"))
+
+
+@registered
+def run_grid_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two lengths, each over the question set of its length."""
+    questions = views.question_rows(spark, sf_dir)
+    sets = {size: sampling.head_per_difficulty(questions, size).select("question_id") for size in (60, 360)}
+    runs = prompts.grid([("open-ai", "gpt-4-turbo-preview")], [0, 11], ["0"], [60, 360])
+    return prompts.with_sized_runs(sets, runs)
+
+
+@registered
+def head_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.head_per_difficulty(views.question_rows(spark, sf_dir), 4500).select("question_id", "difficulty", "question")
+
+
+@registered
+def pivot_all_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report with every instruction size from 0 to 11."""
+    rows = views.metric_rows(spark, sf_dir).withColumn("instruction", (F.col("question_id") % 12).cast("int"))
+    wide = metrics.with_cost(metrics.metrics_by_hardness(rows), metrics.price_list(spark))
+    long = reports.metrics_long(wide.withColumn("dataset_size", F.lit(fixed.FULL_SIZE)), queries.SIZED_KEYS)
+    return reports.pivot_metrics(long)
+
+
+@registered
+def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements in replies that hold whole documents before, between and behind them."""
+    rows = views.long_replies(spark, sf_dir)
+    return rows.select("question_id", reply_functions.sql_extract(F.col("reply")).alias("sql_text"),
+                       reply_functions.mentions_select(F.col("reply")).alias("answered"))
+
+
+@registered
+def database_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.question_rows(spark, sf_dir)
+    return rows.select("question_id", lines.database_name(F.col("db_id"), "eval_").alias("database"))
+
+
+# --- files -------------------------------------------------------------------
+
+
+@registered
+def question_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "question-arrays")
+    rows = views.question_rows(spark, sf_dir).withColumnRenamed("sql_query", "SQL").drop("schema")
+    writers.write_question_arrays(rows, path, 64)
+    return readers.read_questions(spark, f"{path}/part=*")
+
+
+@registered
+def shot_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "shots")
+    samples = prompts.take_shots(views.shot_rows(spark, sf_dir), ["2_shot", "4_shot_cot"])
+    writers.write_shot_samples(samples, path)
+    return readers.read_shot_samples(spark, path, per_line=True)
+
+
+@registered
+def log_record_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full log record, with whole documents as requests."""
+    path = new_table_path(spark, "log-records")
+    started = F.col("question_id") * 60
+    asked = views.question_rows(spark, sf_dir).select("question_id", F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"))).alias("messages"))
+    rows = views.reply_rows(spark, sf_dir).join(asked, "question_id").withColumns({
+        "environment": F.lit("open-ai"), "model": F.lit("gpt-4-turbo-preview"), "instruction": F.lit(5), "dataset_length": F.lit(fixed.FULL_SIZE),
+        "started": F.timestamp_seconds(started), "stopped": F.timestamp_seconds(started + 5), "text": F.col("reply"),
+    })
+    writers.append_log(replies.log_records(replies.with_outcome(rows)), path)
+    request = F.concat_ws("\n", F.transform("request", lambda m: F.concat(m["role"], F.lit(": "), m["content"])))
+    return readers.read_log(spark, path).withColumn("request", request)
+
+
+def _accuracy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of runs at every data set size, in the columns of the consolidated report."""
+    questions = views.question_rows(spark, sf_dir)
+    scores = accuracy.with_difficulty(views.run_scores(spark, sf_dir), questions)
+    sized = sampling.bucket_rows(scores, sampling.question_buckets(questions))
+    found = accuracy.accuracy_report(accuracy.accuracy_by_difficulty(sized, ACCURACY_KEYS), ACCURACY_KEYS)
+    return found.select(*schemas.LONG_ACCURACY.fieldNames())
+
+
+@registered
+def accuracy_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "accuracy")
+    writers.write_report(_accuracy_rows(spark, sf_dir), path, order=[*ACCURACY_KEYS, "hardness"])
+    return readers.read_long_accuracy(spark, path).withColumns(queries._round("value"))
+
+
+def _pivot_file(spark: SparkSession, pivot: DataFrame, name: str) -> DataFrame:
+    path = new_table_path(spark, name)
+    writers.write_report(pivot, path, order=["model", "environment"])
+    return readers.read_pivot(spark, path, pivot.schema)
+
+
+@registered
+def pivot_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pivot_file(spark, reports.pivot_metrics(queries._long_report(spark, sf_dir)), "pivot")
+
+
+@registered
+def pivot_cost_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pivot = _pivot_file(spark, reports.pivot_cost_total(queries._long_report(spark, sf_dir)), "pivot-cost")
+    return pivot.withColumns(queries._round(*[name for name, kind in pivot.dtypes if kind == "double"]))

@@ -160,3 +160,40 @@ def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("question_id"), F.concat(F.lit("model-"), F.col("lang")).alias("model")
     )
     return labels.join(models, "question_id")
+
+
+def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question set out of ``benchmark``."""
+    item = F.col("item_id")
+    return table(spark, sf_dir, "benchmark").select(
+        item.alias("question_id"), F.concat(F.lit("src"), (item % 20).cast("string")).alias("db_id"),
+        third("item_id").alias("difficulty"), F.col("text").alias("question"),
+        F.when(item % 4 != 0, F.concat(F.lit("hint "), item.cast("string"))).alias("evidence"),
+    )
+
+
+def long_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that hold whole texts of ``documents`` around the statement, or nothing else."""
+    doc, text, source = F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")), F.col("source")
+    statement = F.concat(F.lit("SELECT "), doc.cast("string"), F.lit(" AS v FROM "), source)
+    reply = (
+        F.when(doc % 4 == 0, text)
+        .when(doc % 4 == 1, F.concat(text, F.lit("\n```sql\n"), statement, F.lit(";\n```\n"), text))
+        .when(doc % 4 == 2, F.concat(F.lit("WITH q AS (SELECT 1) SELECT v\tFROM "), source, F.lit("  Explanation: "), text))
+        .otherwise(F.concat(statement, F.lit(" WHERE t = 'it''s \"so\"'\r\nAND u IS NULL; "), text))
+    )
+    return table(spark, sf_dir, "documents").select(doc.alias("question_id"), reply.alias("reply"))
+
+
+def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two runs over the labelled documents: one by quality, one by toxicity."""
+    labels = table(spark, sf_dir, "labels")
+
+    def run(environment: str, model: str, size: int, shot: str, res: str) -> Column:
+        return F.struct(
+            F.lit(environment).alias("environment"), F.lit(model).alias("model"), F.lit(size).alias("instruction"),
+            F.lit(shot).alias("shot"), F.col(res).alias("res"),
+        )
+
+    runs = F.array(run("open-ai", "gpt-4-turbo-preview", 5, "0_shot", "quality"), run("anthropic", "claude-3-haiku-20240307", 11, "4_shot_cot", "toxic"))
+    return labels.select(F.col("doc_id").alias("question_id"), F.explode(runs).alias("r")).select("question_id", "r.*")

@@ -61,6 +61,11 @@ def read_long_accuracy(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, schemas.LONG_ACCURACY).csv(path)
 
 
+def read_pivot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A pivoted report; its columns go by the values it shows, so the schema is the caller's."""
+    return _csv(spark, schema).csv(path)
+
+
 def _whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     reader = spark.read
     if glob:
@@ -68,15 +73,18 @@ def _whole_files(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     return reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def read_shot_samples(spark: SparkSession, path: str) -> DataFrame:
+def read_shot_samples(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """Few-shot samples ``(shot, db_id, ord, question, sql_query, cot)``.
 
-    One JSON object per shot label, in a file whose name holds the label.
+    One JSON object per shot label, in a file whose name holds the label. With
+    ``per_line`` a folder ``shot=label`` has one object per line, for any number
+    of databases.
     """
-    files = _whole_files(spark, path).select(
-        F.regexp_extract("path", r"(\d+_shot(?:_cot)?)[^/]*$", 1).alias("shot"),
-        F.from_json("value", schemas.SHOT_FILE).alias("samples"),
-    )
+    if per_line:
+        texts = spark.read.schema("value string, shot string").text(path)
+    else:
+        texts = _whole_files(spark, path).withColumn("shot", F.regexp_extract("path", r"(\d+_shot(?:_cot)?)[^/]*$", 1))
+    files = texts.select("shot", F.from_json("value", schemas.SHOT_FILE).alias("samples"))
     databases = files.select("shot", F.explode("samples").alias("db_id", "list"))
     return databases.select("shot", "db_id", F.posexplode("list").alias("ord", "sample")).select(
         "shot", "db_id", "ord", "sample.*"

@@ -35,6 +35,26 @@ def write_questions(questions: DataFrame, path: str) -> None:
     questions.write.mode("overwrite").json(path)
 
 
+def write_question_arrays(questions: DataFrame, path: str, parts: int) -> None:
+    """Questions as JSON arrays, at most ``parts`` of them, in a folder each; an export for tools that read whole arrays."""
+    part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
+    whole = questions.groupBy(part.alias("part")).agg(
+        F.to_json(F.collect_list(F.struct(*questions.columns))).alias("value")
+    )
+    whole.write.partitionBy("part").mode("overwrite").text(path)
+
+
+def write_shot_samples(samples: DataFrame, path: str) -> None:
+    """Few-shot samples in a folder per shot label, one object ``{db_id: [sample, ...]}`` per line.
+
+    A label names how many samples a database has, so a line is as long as the prompt block it becomes.
+    """
+    entry = F.struct("ord", F.struct("question", "sql_query", "cot").alias("sample"))
+    listed = samples.groupBy("shot", "db_id").agg(F.array_sort(F.collect_list(entry)).alias("_list"))
+    line = F.to_json(F.create_map("db_id", F.transform("_list", lambda e: e["sample"])))
+    _partitioned(listed.select("shot", line.alias("value")), ["shot"]).mode("overwrite").text(path)
+
+
 def write_gold_lines(pairs: DataFrame, path: str) -> None:
     """Lines ``sql <tab> db_id``; an export, so line breaks and tabs in a statement become blanks."""
     flat = F.translate("gold_sql", "\n\r\t", "   ")
@@ -77,9 +97,9 @@ def append_log(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """A long or pivoted report as CSV."""
-    _csv(report.write.mode("overwrite"), path)
+def write_report(report: DataFrame, path: str, order: list[str] = ()) -> None:
+    """A long or pivoted report as CSV, range-sorted by ``order`` if given: files in name order hold rows in order."""
+    _csv((report.orderBy(*order) if order else report).write.mode("overwrite"), path)
 
 
 def write_buckets(rows: DataFrame, path: str) -> None:

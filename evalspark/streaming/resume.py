@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from evalspark.operators.inference import ClientFactory, infer_into
+from evalspark.operators.inference import ClientFactory, append_replies
 
 
 def answer_stream(
@@ -17,17 +17,22 @@ def answer_stream(
     checkpoint: str,
     available_now: bool = True,
     retry_errors: bool = False,
+    by_batch: bool = False,
     **options: Any,
 ) -> StreamingQuery:
     """Append the replies to a stream of prompts ``(run_id, question_id, prompt)``.
 
     The checkpoint remembers which input was handled; a batch that is replayed
     after a failure leaves out what it has already answered, so no prompt is
-    asked or stored twice.
+    asked or stored twice. By default that holds against everything at ``path``,
+    also after a lost checkpoint, and each batch reads the keys stored so far.
+    With ``by_batch`` a batch is stored in a folder of its own and compared
+    with that folder only, so its cost does not grow with the history.
     """
 
-    def answer(batch: DataFrame, _: int) -> None:
-        infer_into(batch, client_factory, path, retry_errors, **options)
+    def answer(batch: DataFrame, number: int) -> None:
+        part = f"{path}/batch={number}" if by_batch else path
+        append_replies(batch, client_factory, part, retry_errors, **options)
 
     writer = prompts.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
     if available_now:

@@ -150,3 +150,59 @@ def test_pending(spark, retry, wanted):
     asked = spark.createDataFrame([("r", i) for i in (1, 2, 3)], "run_id string, question_id bigint")
     done = spark.createDataFrame([("r", 1, None), ("r", 2, "e"), ("s", 3, None)], "run_id string, question_id bigint, error string")
     assert {r.question_id for r in replies.pending(asked, done, retry).collect()} == wanted
+
+
+class Where:
+    """Answers with the number of its task."""
+
+    def complete(self, request, max_tokens):
+        from pyspark import TaskContext
+
+        return {"text": str(TaskContext.get().partitionId())}
+
+
+def test_prompts_are_spread_without_being_told(spark):
+    rows = prompts(spark, [str(i) for i in range(200)]).coalesce(1)
+    assert len({r.text for r in inference.infer(rows, Where).collect()}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_batch_looks_at_its_own_folder_only(spark, tmp_path):
+    notes, source, table = (tmp_path / name for name in ("notes", "source", "table"))
+    notes.mkdir()
+    folder = str(notes)
+
+    def run():
+        stream = spark.readStream.schema("run_id string, question_id bigint, prompt string").parquet(str(source))
+        answer_stream(stream, lambda: Echo(folder), str(table), str(tmp_path / "state"), by_batch=True).awaitTermination()
+
+    prompts(spark, ["a", "bad"]).write.parquet(str(source))
+    run()
+    for part in (table / "batch=0").glob("*.parquet"):
+        part.write_bytes(b"no parquet")  # reading the first batch again would fail
+    prompts(spark, ["c"], start=2).write.mode("append").parquet(str(source))
+    run()
+    assert calls(notes) == {"a": 1, "bad": 1, "c": 1}
+    assert [r.text for r in inference.read_replies(spark, str(table / "batch=1")).collect()] == ["SELECT c"]
+
+
+def test_metric_rows_carry_the_run(spark):
+    from evalspark.operators import prompts as grids
+
+    runs = grids.grid([("amazon-bedrock", "org/a.b-v1:0")], [5], ["4-cot"], [60])
+    rows = grids.with_runs(spark.range(1).selectExpr("id AS question_id", "'simple' AS difficulty"), runs).withColumns({
+        "severity": F.lit("info"), "started": F.timestamp_seconds(F.lit(0)), "stopped": F.timestamp_seconds(F.lit(2)),
+        "prompt_tokens": F.lit(3), "response_tokens": F.lit(4),
+    })
+    assert tuple(replies.metric_rows(rows, with_run=True).first())[2:] == (
+        "0:00:02", 3, 4, "simple", "amazon-bedrock", "a.b-v1_0", 5, "4_shot_cot", 60)
+
+
+def test_each_length_has_its_own_questions(spark):
+    from evalspark.operators import prompts as grids
+
+    runs = grids.grid([("e", "m")], [0], ["0"], [60, 360])
+    sets = {60: spark.range(2).toDF("question_id"), 360: spark.range(5).toDF("question_id")}
+    counts = grids.with_sized_runs(sets, runs).groupBy("dataset_length").count().collect()
+    assert {tuple(r) for r in counts} == {(60, 2), (360, 5)}
+    with pytest.raises(ValueError):
+        grids.with_sized_runs({60: sets[60]}, runs)
