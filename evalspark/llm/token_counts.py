@@ -7,7 +7,9 @@ characters it stands for, and the tokens are joined to the sections by interval.
 
 from __future__ import annotations
 
+from array import array
 from functools import cache, reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +43,13 @@ class SpanEncoder(ForcedBoundaryBpe):
 
     def _by_length(self, fragment: bytes) -> tuple[int, int, bytes, bytes]:
         """Spans in ASCII, where a token has as many characters as bytes."""
-        ids = self.by_rank(fragment)
-        stops = np.cumsum([len(self.token_bytes[i]) for i in ids])
-        return len(ids), len(fragment), np.concatenate([[0], stops[:-1]]).astype(np.uint32).tobytes(), stops.astype(np.uint32).tobytes()
+        ends = [0, *accumulate(map(len, map(self.token_bytes.__getitem__, self.by_rank(fragment))))]
+        return len(ends) - 1, len(fragment), array("I", ends[:-1]).tobytes(), array("I", ends[1:]).tobytes()
 
     @staticmethod
     def _measured(text: str, encoding) -> tuple[int, int, bytes, bytes]:
-        spans = np.array(encoding.offsets, np.uint32).reshape(-1, 2)
-        return len(spans), len(text), spans[:, 0].tobytes(), spans[:, 1].tobytes()
+        starts, stops = zip(*encoding.offsets) if len(encoding) else ((), ())
+        return len(starts), len(text), array("I", starts).tobytes(), array("I", stops).tobytes()
 
     def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """First character and end of every token, per text."""
