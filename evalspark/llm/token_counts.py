@@ -7,9 +7,7 @@ characters it stands for, and the tokens are joined to the sections by interval.
 
 from __future__ import annotations
 
-from array import array
 from functools import cache, reduce
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.bpe import PLAIN, ForcedBoundaryBpe
-from evalspark.llm.common import Memory, slices
+from evalspark.llm.bpe import ForcedBoundaryBpe
+from evalspark.llm.common import slices
 
 RULES = ("first", "last")
 SECTION = T.ArrayType(T.StructType([T.StructField("section", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 
 
 class SpanEncoder(ForcedBoundaryBpe):
-    """Gives the character span of each token instead of its id.
+    """Gives the character span of each token instead of its id; texts are encoded whole.
 
     Tokens tile the text; when several tokens share the bytes of one character,
     each of them spans that character.
@@ -33,41 +31,20 @@ class SpanEncoder(ForcedBoundaryBpe):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.fragments = Memory(lambda f: self._spans_of(f.decode("utf-8")))
-        for token in self.special:
-            n = len(token.decode())
-            self.special[token] = (1, n, np.array([0], np.uint32).tobytes(), np.array([n], np.uint32).tobytes())
-
-    def _spans_of(self, text: str) -> tuple[int, int, bytes, bytes]:
-        return self._measured(text, self.library.encode(text, add_special_tokens=False))
-
-    def _by_length(self, fragment: bytes) -> tuple[int, int, bytes, bytes]:
-        """Spans in ASCII, where a token has as many characters as bytes."""
-        ends = [0, *accumulate(map(len, map(self.token_bytes.__getitem__, self.by_rank(fragment))))]
-        return len(ends) - 1, len(fragment), array("I", ends[:-1]).tobytes(), array("I", ends[1:]).tobytes()
-
-    @staticmethod
-    def _measured(text: str, encoding) -> tuple[int, int, bytes, bytes]:
-        starts, stops = zip(*encoding.offsets) if len(encoding) else ((), ())
-        return len(starts), len(text), array("I", starts).tobytes(), array("I", stops).tobytes()
-
-    def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """First character and end of every token, per text."""
-        split = [self._stretches(t.encode("utf-8")) for t in texts]
-        unknown = [f for f in self.fragments.unknown(f for s in split for f in s) if f not in self.special]
-        decoded = [f.decode("utf-8") for f in unknown]
-        plain = [self.by_rank is not None and bool(PLAIN.fullmatch(t)) for t in decoded]
-        found = iter(self.library.encode_batch([t for t, quick in zip(decoded, plain) if not quick], add_special_tokens=False))
-        for fragment, text, quick in zip(unknown, decoded, plain):
-            self.fragments.put(fragment, self._by_length(fragment) if quick else self._measured(text, next(found)))
-        self.fragments.update(self.special)
-        out = []
-        for stretches in split:
-            counts, lengths, starts, stops = zip(*map(self.fragments.__getitem__, stretches)) if stretches else ((), (), (), ())
-            at = np.cumsum([0, *lengths[:-1]])[: len(lengths)].astype(np.int64)
-            base = np.repeat(at, counts) if counts else np.zeros(0, np.int64)
-            out.append((np.frombuffer(b"".join(starts), np.uint32) + base, np.frombuffer(b"".join(stops), np.uint32) + base))
-        return out
+        self.sizes = np.array([len(raw) for raw in self.token_bytes], np.int64)
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """First character and end of every token."""
+        raw = text.encode("utf-8")
+        if not self.goes_by_rank(text) or any(token in raw for token in self.special):
+            offsets = np.array(self.library.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+            return offsets[:, 0], offsets[:, 1]
+        stops = np.cumsum(self.sizes[self.by_rank(text)])
+        starts = np.concatenate([[0], stops[:-1]])[: len(stops)]
+        if len(raw) > len(text):  # bytes to characters
+            upto = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+            starts, stops = upto[starts] - 1, upto[stops - 1]
+        return starts, stops
 
 
 @cache
@@ -144,7 +121,7 @@ def section_tokens(
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 given = batch.column("sections").to_pylist() if sections else [None] * len(texts)
                 rows, parts = [], []
-                for i, (value, spans, places) in enumerate(zip(texts, model.spans(texts), given)):
+                for i, (value, spans, places) in enumerate(zip(texts, map(model.spans, texts), given)):
                     if sections:
                         places = [p for p in places or [] if p is not None]
                         names = [p["section"] for p in places]
