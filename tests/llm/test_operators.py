@@ -48,6 +48,24 @@ def test_encoding_equals_the_library(docs):
         assert r.sha == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def test_latin_characters_and_long_runs_equal_the_library():
+    library, model = tokenizers.Tokenizer.from_file(BYTES), token_counts.span_encoder(BYTES)
+    odd = [form.replace("?", chr(c)) for c in range(0x250) for form in ("a?b", " ? x", "??1", "'?'s", "  ?\n?", "!?!")]
+    odd += [" " * 30_000 + "x", "!" * 30_000, "\n" * 20_001, "日" * 500, "x<|endoftext|>" * 3]
+    for text, ids in zip(odd, model.encode(odd)):
+        want = library.encode(text, add_special_tokens=False)
+        assert ids == np.array(want.ids, "<u4").tobytes() and model.decode(ids) == text
+        assert list(zip(*[x.tolist() for x in model.spans(text)])) == want.offsets
+
+
+def test_cuts_keep_the_ids():
+    library, model = tokenizers.Tokenizer.from_file(BYTES), bpe.encoder(BYTES)
+    text = " ".join(t or "" for t in texts() if "<|" not in (t or ""))
+    at = [0, *model.cuts(text).tolist(), len(text)]
+    parts = [text[a:b] for a, b in zip(at, at[1:])]
+    assert len(parts) > 1000 and [i for p in parts for i in library.encode(p, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
+
+
 def test_sections_add_up_and_follow_their_rule(docs):
     library = tokenizers.Tokenizer.from_file(BYTES)
     rows = token_counts.section_tokens(docs.dropDuplicates(["doc_id"]), BYTES, ["doc_id"]).collect()
