@@ -27,7 +27,6 @@ import json
 import os
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,11 +42,7 @@ from evalspark.llm.common import Memory, slices
 CONTRACTIONS = [b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d"]
 SPACES = b" \t\n\r\x0b\x0c"
 
-# Fixed value: the pattern that splits text into pre-tokens.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# What is left to the library: characters outside the Latin blocks, whose kind may differ between
-# Unicode versions, and very long white space, which the pattern matcher of the rank encoder refuses.
-OTHER = re.compile("[^\x00-\u024f]|\\s{10000}")
+PLAIN = re.compile("[ ]?[A-Za-z]+")  # one pre-token whatever stands around it
 
 OUTPUTS = {
     "n_tokens": T.LongType(),
@@ -106,21 +101,16 @@ class ForcedBoundaryBpe:
         self.parts = Memory(lambda part: self._encode_parts([part])[0])
 
     def _ranked(self, model: dict, added: dict):
-        """Encoding by rank, ids as a list: only if ids are in merge order and every token encodes
-        to itself. Then each token forms by the same merges in both encoders, wherever it stands."""
+        """Merging by rank for single pre-tokens of ASCII letters: only if ids are in merge order and
+        every token encodes to itself; otherwise, and for all other parts, the library encodes."""
         import tiktoken
 
         merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         if merged != sorted(set(merged)):
             return None
         ranks = {self.token_bytes[i]: i for token, i in model["vocab"].items() if token not in added}
-        encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        whole = encoding._encode_single_piece
-        return encoding.encode_ordinary if all(whole(raw) == [i] for raw, i in ranks.items()) else None
-
-    def goes_by_rank(self, text: str) -> bool:
-        """Whether ``text``, which holds no special token, can be encoded by rank."""
-        return self.by_rank is not None and not OTHER.search(text)
+        encode = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        return encode if all(encode(raw) == [i] for raw, i in ranks.items()) else None
 
     def _note(self, raw: bytes) -> None:
         codes = np.frombuffer(raw, np.uint8)
@@ -138,40 +128,35 @@ class ForcedBoundaryBpe:
                 cuts.append(b"(?<=" + of(free) + b")(?=" + of([space]) + b")")
         return b".+?(?:" + b"|".join([*cuts, rb"\Z"]) + b")"
 
-    def cuts(self, text: str) -> np.ndarray:
+    def cuts(self, text: str) -> list[int]:
         """Every position of ``text`` at which it may be cut."""
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        ends = np.where(codes < 0x80, codes, 0x80 | (codes & 0x3F))[:-1]
-        heads = np.select([codes < 0x80, codes < 0x800, codes < 0x10000], [codes, 0xC0 | (codes >> 6), 0xE0 | (codes >> 12)], 0xF0 | (codes >> 18))[1:]
-        kinds = _kinds()[np.minimum(codes, 0x250)]
-        before, after = kinds[:-1], kinds[1:]
-        quoted, quotes = codes[:-1] == ord("'"), codes[1:] == ord("'")
-        word = (after == LETTER) | (after == DIGIT)
-        free = (after == SPACE) | (before == LETTER) | (before == DIGIT)
-        free |= (before == SIGN) & (~quoted & word | ~quotes & (after == SIGN))
-        return np.flatnonzero(free & ~self.seen[ends, heads]) + 1
-
-    def _split(self, texts: list[str]) -> list[list[str]]:
-        """The parts of each text, cut wherever it may be; all texts are looked at together."""
-        stops = np.cumsum([len(t) for t in texts])
-        found = self.cuts("".join(texts))
-        found = found[~np.isin(found, stops)]
-        owner = np.searchsorted(stops, found, "right")
-        parts = [[t] for t in texts]
-        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-        for k in np.unique(owner).tolist():
-            text = texts[k]
-            at = [0, *(found[bounds[k] : bounds[k + 1]] - (stops[k] - len(text))).tolist(), len(text)]
-            parts[k] = [text[a:b] for a, b in zip(at, at[1:])]
-        return parts
+        kinds = [_kind(c) for c in text]
+        raw = [c.encode("utf-8", "surrogatepass") for c in text]
+        found = []
+        for i in range(1, len(text)):
+            before, after = kinds[i - 1], kinds[i]
+            if self.seen[raw[i - 1][-1], raw[i][0]]:
+                continue
+            if (
+                after == "space" or before in ("letter", "digit")
+                or before == "sign" and text[i - 1] != "'" and after in ("letter", "digit")
+                or before == "sign" and after == "sign" and text[i] != "'"
+            ):
+                found.append(i)
+        return found
+
+    def _split(self, fragment: bytes) -> list[str]:
+        text = fragment.decode("utf-8")
+        at = [0, *self.cuts(text), len(text)]
+        return [text[a:b] for a, b in zip(at, at[1:])]
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        ranked = [self.goes_by_rank(p) for p in parts]
-        found = iter(self.library.encode_batch([p for p, quick in zip(parts, ranked) if not quick], add_special_tokens=False))
-        return [array("I", self.by_rank(p) if quick else next(found).ids).tobytes() for p, quick in zip(parts, ranked)]
+        plain = [self.by_rank is not None and bool(PLAIN.fullmatch(p)) for p in parts]
+        found = iter(self.library.encode_batch([p for p, quick in zip(parts, plain) if not quick], add_special_tokens=False))
+        return [np.array(self.by_rank(p.encode()) if quick else next(found).ids, np.uint32).tobytes() for p, quick in zip(parts, plain)]
 
     def _encode_fragment(self, fragment: bytes) -> bytes:
-        return b"".join(map(self.parts.__getitem__, self._split([fragment.decode("utf-8")])[0]))
+        return b"".join(map(self.parts.__getitem__, self._split(fragment)))
 
     def _stretches(self, raw: bytes) -> list[bytes]:
         if self.special_pattern is None or not self.special_pattern.search(raw):
@@ -185,7 +170,7 @@ class ForcedBoundaryBpe:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self._stretches(t.encode("utf-8")) for t in texts]
         unknown = [f for f in self.fragments.unknown(f for s in split for f in s) if f not in self.special]
-        fine = self._split([f.decode("utf-8") for f in unknown]) if unknown else []
+        fine = [self._split(f) for f in unknown]
         parts = self.parts.unknown(p for s in fine for p in s)
         for part, ids in zip(parts, self._encode_parts(parts)):
             self.parts.put(part, ids)
@@ -200,22 +185,15 @@ class ForcedBoundaryBpe:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-LETTER, DIGIT, SPACE, SIGN, NEITHER = range(5)
-
-
 @cache
-def _kinds() -> np.ndarray:
-    """The kind of each Latin character; the last entry is for all others."""
-    def kind(c: str) -> int:
-        if c in " \t\n\r\x0b\x0c":
-            return SPACE
-        if unicodedata.category(c)[0] == "L":
-            return LETTER
-        if "0" <= c <= "9":
-            return DIGIT
-        return SIGN if " " < c < "\x7f" else NEITHER
-
-    return np.array([*[kind(chr(i)) for i in range(0x250)], NEITHER], np.uint8)
+def _kind(c: str) -> str:
+    if c in " \t\n\r\x0b\x0c":
+        return "space"
+    if c < "ɐ" and unicodedata.category(c)[0] == "L":
+        return "letter"
+    if "0" <= c <= "9":
+        return "digit"
+    return "sign" if " " < c < "\x7f" else "other"
 
 
 @cache

@@ -7,6 +7,7 @@ characters it stands for, and the tokens are joined to the sections by interval.
 
 from __future__ import annotations
 
+import re
 from functools import cache, reduce
 
 import numpy as np
@@ -19,6 +20,11 @@ from evalspark.llm.bpe import ForcedBoundaryBpe
 from evalspark.llm.common import slices
 
 RULES = ("first", "last")
+# Fixed value: the pattern that splits text into pre-tokens.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# What is left to the library: characters outside the Latin blocks, whose kind may differ between
+# Unicode versions, and very long white space, which the pattern matcher of the rank encoder refuses.
+OTHER = re.compile("[^\x00-\u024f]|\\s{10000}")
 SECTION = T.ArrayType(T.StructType([T.StructField("section", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 
 
@@ -31,15 +37,22 @@ class SpanEncoder(ForcedBoundaryBpe):
 
     def __init__(self, path: str):
         super().__init__(path)
+        self.whole = None
+        if self.by_rank is not None:  # then each token forms by the same merges in both encoders, wherever it stands
+            import tiktoken
+
+            special = {int(np.frombuffer(i, np.uint32)[0]) for i in self.special.values()}
+            ranks = {raw: i for i, raw in enumerate(self.token_bytes) if raw and i not in special}
+            self.whole = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.sizes = np.array([len(raw) for raw in self.token_bytes], np.int64)
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of every token."""
         raw = text.encode("utf-8")
-        if not self.goes_by_rank(text) or any(token in raw for token in self.special):
+        if self.whole is None or OTHER.search(text) or any(token in raw for token in self.special):
             offsets = np.array(self.library.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
             return offsets[:, 0], offsets[:, 1]
-        stops = np.cumsum(self.sizes[self.by_rank(text)])
+        stops = np.cumsum(self.sizes[self.whole(text)])
         starts = np.concatenate([[0], stops[:-1]])[: len(stops)]
         if len(raw) > len(text):  # bytes to characters
             upto = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
