@@ -12,6 +12,10 @@ The posterior of a language multiplies
 
 Counts are grouped sums of the text posteriors, so a host with a third of all rows
 is combined before the shuffle like any other.
+
+Labels and declared languages are compared by ``language_code``. There may be any
+number of labels: the driver holds the pairs of label and triple, and of declared and
+found language, that occur, and rows hold the languages that can still matter.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +34,9 @@ TRAIN_ROWS = 1000  # labelled rows per language that the text model is fitted on
 BUCKETS = 1 << 15
 HOST_WEIGHT = 5.0
 _TRIPLE_WEIGHT = 1 / 3  # neighbouring triples share letters
-_MAX_LANGUAGES = 64
+_SMOOTH = 0.1
+_FAR = 1000.0  # exp(-1000) is 0 in double precision, also after any prior
+_CELLS = 1_000_000
 
 
 def triples(text: str) -> np.ndarray:
@@ -46,56 +53,73 @@ def triples(text: str) -> np.ndarray:
 
 
 class TextModel:
-    """log P(triple | language), add-one smoothed."""
+    """log P(triple | language), smoothed; only the pairs of bucket and language that occur are held."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], language: np.ndarray, bucket: np.ndarray, n: np.ndarray):
         self.languages = languages
-        smooth = counts + 0.1
-        self.log_likelihood = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32)
+        order = np.lexsort((language, bucket))
+        self.language, self.n = language[order].astype(np.int32), n[order].astype(np.float64)
+        self.starts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        self.gain = np.log1p(self.n / _SMOOTH)
+        self.total = np.bincount(self.language, self.n, minlength=len(languages))
+        self.unseen = np.log(_SMOOTH / (self.total + _SMOOTH * BUCKETS))
 
     def score(self, text: str) -> tuple[np.ndarray, int]:
         """Log likelihood of the text per language, and its number of triples."""
         found = triples(text)
         if not len(found):
             return np.zeros(len(self.languages)), 0
-        seen = np.bincount(found, minlength=BUCKETS)
-        used = np.flatnonzero(seen) if len(found) > 2000 else None
-        if used is not None:
-            return seen[used] @ self.log_likelihood[used].astype(np.float64), len(found)
-        return self.log_likelihood[found].sum(axis=0, dtype=np.float64), len(found)
+        used, times = _counted(found)
+        at, reach = self.places(used)
+        return len(found) * self.unseen + np.bincount(self.language[at], self.gain[at] * np.repeat(times, reach), minlength=len(self.languages)), len(found)
+
+    def places(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pairs of these buckets are, one bucket after the other, and how many each has."""
+        reach = self.starts[buckets + 1] - self.starts[buckets]
+        return np.repeat(self.starts[buckets] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum()), reach
+
+
+def _counted(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets and how often each occurs."""
+    if len(found) <= 2000:
+        return np.unique(found, return_counts=True)
+    seen = np.bincount(found, minlength=BUCKETS)
+    used = np.flatnonzero(seen)
+    return used, seen[used]
+
+
+def language_code(name: Column) -> Column:
+    """Lower case; of a two- or three-letter code only the language (en-US, EN and en_GB.UTF-8 are en). NULL for a name without letters or digits."""
+    plain = F.lower(F.trim(name))
+    code = F.regexp_extract(plain, r"^([a-z]{2,3})(?:[-_.@\s].*)?$", 1)
+    return F.when(code != "", code).when(plain.rlike(r"[\p{L}\p{N}]"), plain)
 
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
     """Fit on (id, text, label): per label the ``train_rows`` rows with the smallest hash of the id.
 
     The sample is chosen on ids and labels alone; only its texts are read to the
-    end. Its triples are counted by Spark and the counts, languages times BUCKETS
-    at most, come to the driver.
+    end. Its triples are counted by Spark and the counts, one per label and triple that
+    occur together, come to the driver. Without any label the model has no language.
     """
-    keys = labelled.filter("label is not null").select("id", "label").withColumn("order", F.xxhash64("id", F.lit("language")))
-    languages = sorted(r.label for r in keys.select("label").distinct().limit(_MAX_LANGUAGES + 1).collect())
-    if not 1 <= len(languages) <= _MAX_LANGUAGES:
-        raise ValueError(f"labels must name 1 to {_MAX_LANGUAGES} languages")
+    labelled = labelled.withColumn("label", language_code(F.col("label"))).filter("label is not null")
+    keys = labelled.select("id", "label").withColumn("order", F.xxhash64("id", F.lit("language")))
+    languages = sorted(r.label for r in keys.select("label").distinct().collect())
     rank = F.row_number().over(Window.partitionBy("label").orderBy("order", "id"))
     # The limit on rows per label is applied by every task before rows move.
-    chosen = keys.withColumn("rank", rank).filter(F.col("rank") <= train_rows).select("id", "label").distinct().collect()
-    ids = sorted({r.id for r in chosen if r.id is not None})
-    sample = labelled.filter(F.col("id").isin(ids)).select("text", "label") if len(ids) <= train_rows * _MAX_LANGUAGES else labelled
+    chosen = keys.withColumn("rank", rank).filter(F.col("rank") <= train_rows).select("id", "label").distinct()
+    sample = labelled.join(keep_table(chosen, "language-sample"), ["id", "label"], "left_semi").select("text", "label")
     places = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(places), BUCKETS), np.int64)
-        for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                if label in places:
-                    total[places[label]] += np.bincount(triples(text or ""), minlength=BUCKETS)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["language", "bucket", "n"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                keys = [triples(text or "") + places[label] * BUCKETS for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist())]
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((key // BUCKETS).astype(np.int32)), pa.array((key % BUCKETS).astype(np.int32)), pa.array(n)], names=["language", "bucket", "n"])
 
     rows = sample.mapInArrow(count, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[rows.column("language").to_numpy(), rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return TextModel(languages, counts)
+    return TextModel(languages, *[rows.column(c).to_numpy() for c in ("language", "bucket", "n")])
 
 
 def host_parts(url: Column) -> tuple[Column, Column, Column]:
@@ -128,63 +152,97 @@ def identify(
     (NULL) says nothing: without a host the domain's prior counts, and so on up
     to that of all rows. Declared languages that the model does not know count as one
     more kind. Equal posteriors are decided by the order of names. Every row gives
-    one row, repeated ones too.
+    one row, repeated ones too. A model without languages gives none (NULL, as is the
+    posterior) and cannot reject any: every text with enough triples is kept.
     """
     languages, n = model.languages, len(model.languages)
-    evidence = rows.select("id", F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in ("declared", "host", "domain", "suffix")])
+    code_of = {name: i for i, name in enumerate(languages)}
+    evidence = rows.select("id", F.col("text").cast("string").alias("text"), language_code(F.col("declared").cast("string")).alias("declared"), *[F.col(c).cast("string").alias(c) for c in ("host", "domain", "suffix")])
+    kind = rows.schema["id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                found = [model.score(t or "") for t in batch.column("text").to_pylist()]
-                logs = np.array([f[0] for f in found]).reshape(-1, n) * _TRIPLE_WEIGHT
-                logs -= logs.max(axis=1, keepdims=True)
-                shares = np.exp(logs)
-                shares /= shares.sum(axis=1, keepdims=True)
-                lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * n), pa.array(m.reshape(-1)))
-                kept = [batch.column(c) for c in ("id", "declared", "host", "domain", "suffix")]
-                yield pa.RecordBatch.from_arrays([*kept, lists(logs), lists(shares), pa.array([f[1] for f in found], pa.int64())], names=["id", "declared", "host", "domain", "suffix", "logs", "shares", "n_triples"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = keep_table(evidence.mapInArrow(score, f"id {kind}, declared string, host string, domain string, suffix string, logs array<double>, shares array<double>, n_triples long"), "language-scores")
-    known = F.array(*[F.lit(x) for x in languages])
-    primary = F.lower(F.regexp_extract("declared", r"^\s*([A-Za-z]+)", 1))
-    code = F.when(F.col("declared").isNull() | (primary == ""), F.lit(None)).otherwise(F.array_position(known, primary) - 1)
-    scored = scored.withColumn("code", F.when(code < 0, F.lit(n)).otherwise(code).cast("int"))
-    scored = scored.withColumn("weighs", F.col("n_triples") >= least_triples)
-    parts = [F.sum(F.when(F.col("weighs"), F.col("shares")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(n)]
-    total = scored.agg(*parts).first()
-    grand = np.array([total[i] or 0.0 for i in range(n)])
+        for batch in _parts(batches, n, "text"):
+            found = [model.score(t or "") for t in batch.column("text").to_pylist()]
+            logs = np.array([f[0] for f in found]).reshape(len(found), n) * _TRIPLE_WEIGHT
+            logs -= logs.max(axis=1, keepdims=True, initial=-np.inf)
+            shares = np.exp(logs)
+            shares /= shares.sum(axis=1, keepdims=True)
+            near = logs > -_FAR
+            ends = pa.array(np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (np.nonzero(near)[1].astype(np.int32), logs[near], shares[near])]
+            code = [None if d is None else code_of.get(d, n) for d in batch.column("declared").to_pylist()]
+            kept = [batch.column(c) for c in ("id", "host", "domain", "suffix")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(code, pa.int32()), *lists, pa.array([f[1] for f in found], pa.int64())], names=["id", "host", "domain", "suffix", "code", "langs", "logs", "shares", "n_triples"])
+
+    scored = evidence.mapInArrow(score, f"id {kind}, host string, domain string, suffix string, code int, langs array<int>, logs array<double>, shares array<double>, n_triples long")
+    weighs = F.col("n_triples") >= least_triples
+    if not n:
+        none = F.lit(None).cast("string")
+        return scored.select("id", none.alias("language"), none.cast("double").alias("posterior"), none.alias("text_language"), "n_triples", weighs.alias("kept"))
+    scored = keep_table(scored.withColumn("weighs", weighs), "language-scores")
+    # Shares of 0 add nothing to a sum.
+    shared = scored.filter("weighs").select("code", "host", "domain", "suffix", F.explode(F.arrays_zip("langs", "shares")).alias("x")).select("code", "host", "domain", "suffix", F.col("x.langs").alias("lang"), F.col("x.shares").alias("share")).filter("share > 0")
+    total = F.sum("share").alias("n")
+    found = shared.groupBy("code", "lang").agg(total).toArrow()
+    codes, langs, sums = (found.column(c).to_numpy() for c in ("code", "lang", "n"))
+    grand = np.bincount(langs, sums, minlength=n)
     base = (grand + 1.0) / (grand.sum() + n)
-    confusion = np.zeros((n + 1, n))
-    for r in scored.filter("code is not null").groupBy("code").agg(*parts).collect():  # one row per language at most
-        confusion[r.code] = [r[f"s{i}"] for i in range(n)]
-    declared_log = np.log((confusion + 0.5) / (confusion + 0.5).sum(axis=0, keepdims=True))
+    stated = ~np.isnan(codes)
+    says = {int(c): (langs[codes == c], sums[codes == c]) for c in np.unique(codes[stated])}
+    norm = np.log(np.bincount(langs[stated], sums[stated], minlength=n) + 0.5 * (n + 1))
 
     joined = scored
-    for level in ("suffix", "domain", "host"):
-        counts = scored.filter(F.col(level).isNotNull()).groupBy(level).agg(*parts)
-        counts = counts.select(F.col(level).alias(f"{level}_key"), F.array(*[F.col(f"s{i}") for i in range(n)]).alias(f"{level}_n"))
+    levels = ("suffix", "domain", "host")
+    for level in levels:
+        counts = shared.filter(F.col(level).isNotNull()).groupBy(level, "lang").agg(total).groupBy(level).agg(F.collect_list(F.struct("lang", "n")).alias("x"))
+        counts = counts.select(F.col(level).alias(f"{level}_key"), F.col("x.lang").alias(f"{level}_langs"), F.col("x.n").alias(f"{level}_n"))
         joined = joined.join(counts, F.col(level) == F.col(f"{level}_key"), "left")
-    own = F.when(F.col("weighs"), F.col("shares")).otherwise(F.array_repeat(F.lit(0.0), n))
-    prior = F.array(*[F.lit(float(x)) for x in base])
-    for level in ("suffix", "domain", "host"):
-        others = F.transform(F.zip_with(f"{level}_n", own, lambda a, b: a - b), lambda x: F.greatest(x, F.lit(0.0)))
-        size = F.aggregate(others, F.lit(0.0), lambda a, b: a + b)
-        smoothed = F.zip_with(others, prior, lambda c, p: c + host_weight * p)
-        prior = F.when(F.col(f"{level}_n").isNull(), prior).otherwise(F.transform(smoothed, lambda x: x / (size + host_weight)))
-        joined = joined.withColumn(f"{level}_prior", prior)
-        prior = F.col(f"{level}_prior")
-    says = F.array(*[F.array(*[F.lit(float(x)) for x in line]) for line in declared_log])
-    declared = F.when(F.col("code").isNull(), F.array_repeat(F.lit(0.0), n)).otherwise(says[F.col("code")])
-    fused = F.zip_with(F.zip_with("logs", declared, lambda a, b: a + b), prior, lambda a, p: a + F.log(p))
-    joined = joined.withColumn("fused", fused)
-    top = F.array_max("fused")
-    norm = F.aggregate(F.transform("fused", lambda x: F.exp(x - F.array_max("fused"))), F.lit(0.0), lambda a, b: a + b)
-    best = lambda c: F.element_at(known, F.array_position(F.col(c), F.array_max(c)).cast("int"))
-    out = joined.select("id", best("fused").alias("language"), F.round(1 / norm, 6).alias("posterior"), best("logs").alias("text_language"), "n_triples", "weighs", top.alias("top"))
-    kept = F.coalesce(F.col("weighs") & (F.col("posterior") >= least_posterior), F.lit(False))
-    return out.select("id", "language", "posterior", F.when(F.col("weighs"), F.col("text_language")).alias("text_language"), "n_triples", kept.alias("kept"))
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, n):
+            weighs = batch.column("weighs").to_numpy(zero_copy_only=False)
+            own = _spread(batch, "langs", "shares", n) * weighs[:, None]
+            logs = _spread(batch, "langs", "logs", n, -np.inf)
+            prior = np.repeat(base[None], batch.num_rows, axis=0)
+            for level in levels:
+                there = batch.column(f"{level}_n").is_valid().to_numpy(zero_copy_only=False)
+                if there.any():
+                    others = np.maximum(_spread(batch, f"{level}_langs", f"{level}_n", n)[there] - own[there], 0.0)
+                    prior[there] = (others + host_weight * prior[there]) / (others.sum(axis=1, keepdims=True) + host_weight)
+            fused = logs + np.log(prior)
+            code = batch.column("code").fill_null(-1).to_numpy()
+            for c in np.unique(code[code >= 0]):
+                told = np.full(n, 0.5)
+                at, value = says.get(int(c), ([], []))
+                told[at] += value
+                fused[code == c] += np.log(told) - norm
+            top = fused.argmax(axis=1)
+            posterior = 1 / np.exp(fused - fused.max(axis=1, keepdims=True)).sum(axis=1)
+            names = pa.array(languages, pa.string())
+            text = pa.array(logs.argmax(axis=1), mask=~weighs)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), names.take(pa.array(top)), pa.array(posterior), names.take(text), batch.column("n_triples"), batch.column("weighs")], names=["id", "language", "posterior", "text_language", "n_triples", "weighs"])
+
+    lists = [f"{level}_{c}" for level in levels for c in ("langs", "n")]
+    out = joined.select("id", "code", "langs", "logs", "shares", "n_triples", "weighs", *lists)
+    out = out.mapInArrow(fuse, f"id {kind}, language string, posterior double, text_language string, n_triples long, weighs boolean").withColumn("posterior", F.round("posterior", 6))
+    return out.select("id", "language", "posterior", "text_language", "n_triples", (F.col("weighs") & (F.col("posterior") >= least_posterior)).alias("kept"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], n: int, text: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices whose tables of rows and languages are of bounded size."""
+    step = max(1, _CELLS // max(1, n))
+    for whole in batches:
+        for batch in slices(whole, text) if text else [whole]:
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+
+def _spread(batch: pa.RecordBatch, langs: str, values: str, n: int, other: float = 0.0) -> np.ndarray:
+    """Rows of languages and their values as a table with a column for every language."""
+    table = np.full((batch.num_rows, n), other)
+    reach = pc.fill_null(pc.list_value_length(batch.column(langs)), 0).to_numpy()
+    table[np.repeat(np.arange(batch.num_rows), reach), batch.column(langs).flatten().to_numpy()] = batch.column(values).flatten().to_numpy()
+    return table
 
 
 def document_evidence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declared: str = "lang", source: str = "source") -> DataFrame:

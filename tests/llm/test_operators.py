@@ -175,6 +175,49 @@ def test_language_is_found_and_signs_are_rejected(spark):
     assert not got[2].kept and not got[3].kept
 
 
+def test_no_label_rejects_nothing_and_names_no_language(spark, docs, empty):
+    for some in (empty, docs.withColumn("lang", F.lit(None).cast("string"))):
+        model = language_id.train(language_id.labelled_documents(some))
+        got = language_id.identify(language_id.document_evidence(some), model).collect()
+        assert len(got) == some.count() and all((r.language, r.posterior, r.text_language, r.kept) == (None, None, None, r.n_triples > 0) for r in got)
+    known = language_id.train(language_id.labelled_documents(docs))
+    assert language_id.identify(language_id.document_evidence(empty), known).count() == 0
+
+
+def test_any_number_of_labels_and_their_spellings(spark):
+    r = random.Random(4)
+    own = {f"l{k}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)] for k in range(150)}
+    rows = [(10 * k + i, " ".join(r.choices(words, k=30)), (name, name.upper(), f" {name} ")[i % 3], "s") for k, (name, words) in enumerate(own.items()) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.train(language_id.labelled_documents(docs))
+    assert model.languages == sorted(own)
+    got = {x.id: x for x in language_id.identify(language_id.document_evidence(docs), model).collect()}
+    assert all((got[i].language, got[i].text_language, got[i].kept) == (f"l{i // 10}", f"l{i // 10}", True) for i, *_ in rows)
+    codes = spark.createDataFrame([("en",), ("EN",), ("en-US",), (" en_GB.UTF-8",), ("??",), (None,), ("Lang_07",)], "x string")
+    assert [c.x for c in codes.select(language_id.language_code(F.col("x")).alias("x")).collect()] == ["en"] * 4 + [None, None, "lang_07"]
+
+
+def test_posterior_equals_plain_python(spark):
+    own = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["zwyx", "lorex", "kkjh"]}
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choices(own[k], k=1 + i % 3)), (k, None, "zz")[i % 5 % 3], f"h{i % 3}" if i % 7 else None) for i in range(30) for k in own]
+    docs = spark.createDataFrame([(j, *row[1:]) for j, row in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    model = language_id.train(language_id.labelled_documents(docs))
+    names = model.languages
+    logs = [model.score(t)[0] / 3 for _, t, *_ in rows]
+    shares = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in logs]
+    base = (sum(shares) + 1) / (len(rows) + len(names))
+    got = {x.id: x for x in language_id.identify(language_id.document_evidence(docs), model).collect()}
+    for j, (_, _, lang, host) in enumerate(rows):
+        others = sum((shares[k] for k in range(len(rows)) if host and rows[k][3] == host and k != j), np.zeros(len(names)))
+        fused = logs[j] + np.log((others + 5 * base) / (others.sum() + 5) if host else base)
+        if lang:
+            said = {c: sum((s for s, row in zip(shares, rows) if row[2] == c), np.zeros(len(names))) + 0.5 for c in names}
+            fused += np.log(said[lang] / sum(said.values(), np.full(len(names), 0.5)))
+        p = np.exp(fused - fused.max()) / np.exp(fused - fused.max()).sum()
+        assert got[j].language == names[p.argmax()] and abs(got[j].posterior - p.max()) < 2e-6
+
+
 def test_empty_tables(spark, empty):
     assert bpe.encode_documents(empty, BYTES, ["doc_id"]).count() == 0
     assert token_counts.section_tokens(empty, BYTES, ["doc_id"]).count() == 0

@@ -110,3 +110,11 @@ def test_stages_keep_the_columns_and_take_nothing(spark, tmp_path):
     docs = spark.createDataFrame(documents(), SCHEMA)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).schema.simpleString() == docs.schema.simpleString()
+
+
+def test_empty_and_unlabelled_tables_go_through(spark, tmp_path):
+    for name, rows in (("empty", []), ("unlabelled", [(*r[:2], None, *r[3:]) for r in documents()[:6]])):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / name / "documents.parquet"))
+        assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / name)).select("doc_id").collect()} <= {r[0] for r in rows}
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "?!", None, "s", 2)], SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
