@@ -13,6 +13,10 @@ The posterior of a language multiplies
 Counts are grouped sums of the text posteriors, so a host with a third of all rows
 is combined before the shuffle like any other.
 
+A text fits a label when its mean log likelihood per triple is near that of labelled rows,
+each scored without its own triples, and above that of triples drawn at random. One that
+fits no label, neither as a whole nor in half of its pieces, is no evidence and is rejected.
+
 Labels and declared languages are compared by ``language_code``. There may be any
 number of labels: the driver holds the pairs of label and triple, and of declared and
 found language, that occur, and rows hold the languages that can still matter.
@@ -37,6 +41,8 @@ _TRIPLE_WEIGHT = 1 / 3  # neighbouring triples share letters
 _SMOOTH = 0.1
 _FAR = 1000.0  # exp(-1000) is 0 in double precision, also after any prior
 _CELLS = 1_000_000
+DEVIATIONS = 6.0  # how far below its label's usual likelihood a fitting text may be
+_PIECE = 50  # triples
 
 
 def triples(text: str) -> np.ndarray:
@@ -64,14 +70,46 @@ class TextModel:
         self.total = np.bincount(self.language, self.n, minlength=len(languages))
         self.unseen = np.log(_SMOOTH / (self.total + _SMOOTH * BUCKETS))
 
-    def score(self, text: str) -> tuple[np.ndarray, int]:
-        """Log likelihood of the text per language, and its number of triples."""
+        self.level = self.between = self.within = np.full(len(languages), np.nan)
+
+    def score(self, text: str) -> tuple[np.ndarray, int, bool]:
+        """Log likelihood of the text per language, its number of triples, and whether it fits a language."""
         found = triples(text)
         if not len(found):
-            return np.zeros(len(self.languages)), 0
+            return np.zeros(len(self.languages)), 0, False
+        logs = self.logs(found)
+        return logs, len(found), self.fits(found, logs)
+
+    def logs(self, found: np.ndarray) -> np.ndarray:
+        used, times = _counted(found)
+        at, reach = self.places(used)
+        return len(found) * self.unseen + np.bincount(self.language[at], self.gain[at] * np.repeat(times, reach), minlength=len(self.languages))
+
+    def fits(self, found: np.ndarray, logs: np.ndarray) -> bool:
+        if np.isnan(self.level).all():  # no labelled text to compare with
+            return True
+        if (logs / len(found) >= self.bound(len(found))).any():
+            return True
+        pieces = np.array_split(found, max(1, round(len(found) / _PIECE)))
+        fitting = sum(len(x) for x in pieces if (self.logs(x) / len(x) >= self.bound(len(x))).any())
+        return len(pieces) > 1 and 2 * fitting >= len(found)
+
+    def bound(self, n: int) -> np.ndarray:
+        """The least mean log likelihood of a fitting text of ``n`` triples, per language (NaN: none fits)."""
+        n = min(n, _PIECE) * _TRIPLE_WEIGHT
+        usual = self.level - DEVIATIONS * np.sqrt(self.between + self.within / n)
+        return np.maximum(usual, np.minimum(-np.log(BUCKETS), self.level) - DEVIATIONS / n)
+
+    def without(self, found: np.ndarray, language: int) -> tuple[float, float]:
+        """Mean and variance of the log likelihood per triple of a fitted text, with its own triples left out of the counts."""
         used, times = _counted(found)
         at, reach = self.places(used)
-        return len(found) * self.unseen + np.bincount(self.language[at], self.gain[at] * np.repeat(times, reach), minlength=len(self.languages)), len(found)
+        mine = self.language[at] == language
+        held = np.zeros(len(used))
+        held[np.repeat(np.arange(len(used)), reach)[mine]] = self.n[at[mine]]
+        logs = np.log((np.maximum(held - times, 0) + _SMOOTH) / (self.total[language] - len(found) + _SMOOTH * BUCKETS))
+        mean = (logs * times).sum() / len(found)
+        return mean, ((logs - mean) ** 2 * times).sum() / len(found)
 
     def places(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the pairs of these buckets are, one bucket after the other, and how many each has."""
@@ -100,7 +138,8 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
 
     The sample is chosen on ids and labels alone; only its texts are read to the
     end. Its triples are counted by Spark and the counts, one per label and triple that
-    occur together, come to the driver. Without any label the model has no language.
+    occur together, come to the driver, as do the usual likelihood of each label's rows and
+how much it varies. Without any label the model has no language.
     """
     labelled = labelled.withColumn("label", language_code(F.col("label"))).filter("label is not null")
     keys = labelled.select("id", "label").withColumn("order", F.xxhash64("id", F.lit("language")))
@@ -109,6 +148,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
     # The limit on rows per label is applied by every task before rows move.
     chosen = keys.withColumn("rank", rank).filter(F.col("rank") <= train_rows).select("id", "label").distinct()
     sample = labelled.join(keep_table(chosen, "language-sample"), ["id", "label"], "left_semi").select("text", "label")
+    sample = keep_table(sample, "language-texts")
     places = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +159,24 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
                 yield pa.RecordBatch.from_arrays([pa.array((key // BUCKETS).astype(np.int32)), pa.array((key % BUCKETS).astype(np.int32)), pa.array(n)], names=["language", "bucket", "n"])
 
     rows = sample.mapInArrow(count, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    return TextModel(languages, *[rows.column(c).to_numpy() for c in ("language", "bucket", "n")])
+    model = TextModel(languages, *[rows.column(c).to_numpy() for c in ("language", "bucket", "n")])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [(places[label], triples(text or "")) for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist())]
+                out = [(i, len(x), *model.without(x, i)) for i, x in found if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.float64()))], names=["language", "n", "mean", "var"])
+
+    # Rows weigh by their triples; quartiles keep junk among the labelled rows from widening the bound.
+    usual = sample.mapInArrow(compare, "language int, n long, mean double, var double").groupBy("language").agg(
+        F.percentile("mean", [0.25, 0.5], F.col("n")).alias("q"), (F.sum("var") / F.sum("n") / _TRIPLE_WEIGHT).alias("noise"), (F.sum(F.col("var") * F.col("n")) / F.sum("n")).alias("within"),
+    ).collect()
+    model.level, model.between, model.within = (np.full(len(languages), np.nan) for _ in range(3))
+    for r in usual:
+        spread = ((r.q[1] - r.q[0]) / 0.6745) ** 2 - r.noise
+        model.level[r.language], model.between[r.language], model.within[r.language] = r.q[1], max(spread, 0.01), max(r.within, 1.0)
+    return model
 
 
 def host_parts(url: Column) -> tuple[Column, Column, Column]:
@@ -148,7 +205,8 @@ def identify(
     """(id, text, declared, host, domain, suffix) -> id, language, posterior, text_language, n_triples, kept.
 
     ``kept`` is false for a text without ``least_triples`` letter triples (NULL, empty,
-    signs only) and where no language reaches ``least_posterior``. Missing evidence
+    signs only), where the text fits no label (another language, letters at random) and
+    where no language reaches ``least_posterior``. Missing evidence
     (NULL) says nothing: without a host the domain's prior counts, and so on up
     to that of all rows. Declared languages that the model does not know count as one
     more kind. Equal posteriors are decided by the order of names. Every row gives
@@ -172,14 +230,14 @@ def identify(
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (np.nonzero(near)[1].astype(np.int32), logs[near], shares[near])]
             code = [None if d is None else code_of.get(d, n) for d in batch.column("declared").to_pylist()]
             kept = [batch.column(c) for c in ("id", "host", "domain", "suffix")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(code, pa.int32()), *lists, pa.array([f[1] for f in found], pa.int64())], names=["id", "host", "domain", "suffix", "code", "langs", "logs", "shares", "n_triples"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(code, pa.int32()), *lists, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.bool_())], names=["id", "host", "domain", "suffix", "code", "langs", "logs", "shares", "n_triples", "fits"])
 
-    scored = evidence.mapInArrow(score, f"id {kind}, host string, domain string, suffix string, code int, langs array<int>, logs array<double>, shares array<double>, n_triples long")
-    weighs = F.col("n_triples") >= least_triples
+    scored = evidence.mapInArrow(score, f"id {kind}, host string, domain string, suffix string, code int, langs array<int>, logs array<double>, shares array<double>, n_triples long, fits boolean")
+    enough = F.col("n_triples") >= least_triples
     if not n:
         none = F.lit(None).cast("string")
-        return scored.select("id", none.alias("language"), none.cast("double").alias("posterior"), none.alias("text_language"), "n_triples", weighs.alias("kept"))
-    scored = keep_table(scored.withColumn("weighs", weighs), "language-scores")
+        return scored.select("id", none.alias("language"), none.cast("double").alias("posterior"), none.alias("text_language"), "n_triples", enough.alias("kept"))
+    scored = keep_table(scored.withColumn("enough", enough).withColumn("weighs", enough & F.col("fits")), "language-scores")
     # Shares of 0 add nothing to a sum.
     shared = scored.filter("weighs").select("code", "host", "domain", "suffix", F.explode(F.arrays_zip("langs", "shares")).alias("x")).select("code", "host", "domain", "suffix", F.col("x.langs").alias("lang"), F.col("x.shares").alias("share")).filter("share > 0")
     total = F.sum("share").alias("n")
@@ -219,11 +277,11 @@ def identify(
             top = fused.argmax(axis=1)
             posterior = 1 / np.exp(fused - fused.max(axis=1, keepdims=True)).sum(axis=1)
             names = pa.array(languages, pa.string())
-            text = pa.array(logs.argmax(axis=1), mask=~weighs)
+            text = pa.array(logs.argmax(axis=1), mask=~batch.column("enough").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column("id"), names.take(pa.array(top)), pa.array(posterior), names.take(text), batch.column("n_triples"), batch.column("weighs")], names=["id", "language", "posterior", "text_language", "n_triples", "weighs"])
 
     lists = [f"{level}_{c}" for level in levels for c in ("langs", "n")]
-    out = joined.select("id", "code", "langs", "logs", "shares", "n_triples", "weighs", *lists)
+    out = joined.select("id", "code", "langs", "logs", "shares", "n_triples", "enough", "weighs", *lists)
     out = out.mapInArrow(fuse, f"id {kind}, language string, posterior double, text_language string, n_triples long, weighs boolean").withColumn("posterior", F.round("posterior", 6))
     return out.select("id", "language", "posterior", "text_language", "n_triples", (F.col("weighs") & (F.col("posterior") >= least_posterior)).alias("kept"))
 

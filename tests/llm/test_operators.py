@@ -218,6 +218,22 @@ def test_posterior_equals_plain_python(spark):
         assert got[j].language == names[p.argmax()] and abs(got[j].posterior - p.max()) < 2e-6
 
 
+def test_texts_that_fit_no_label_are_rejected(spark):
+    r = random.Random(8)
+    parts = {"aa": "the and ing of tion er en", "bb": "der ein sch ung ich aus lich", "cc": "que les eau ent oir ais", "dd": "los una cion ado ella mos", "ee": "kko yyt suo nnä äiv lle uus"}
+    words = {k: ["".join(r.choices(v.split(), k=r.randrange(1, 4))) for _ in range(150)] for k, v in parts.items()}
+    text = lambda k, n: " ".join(r.choices(words[k], k=n))
+    junk = lambda n: " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(3, 10))) for _ in range(n))
+    clean = [(text(k, n), k) for k in ("aa", "bb", "cc", "dd") for n in [1, 3, 8, *[60] * 10, 400]]
+    clean += [(text("aa", 100) + " " + text("bb", 100), "aa"), (text("cc", 5), "dd"), (text("dd", 60) + " " + junk(15), None)]
+    other = [(text("ee", n), k) for n in (20, 60, 400) for k in (None, "ee", "aa")] + [(junk(n), k) for n in (20, 60, 400) for k in (None, "bb")]
+    frame = lambda rows: spark.createDataFrame([(i, t, k, "s") for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    dirty = [(junk(60), "aa") for _ in range(2)]
+    model = language_id.train(language_id.labelled_documents(frame([*((text(k, 80), k) for k in ("aa", "bb", "cc", "dd") for _ in range(40)), *dirty])))
+    found = sorted(language_id.identify(language_id.document_evidence(frame([*clean, *other])), model).collect())
+    assert [x.id for x in found if not x.kept] == list(range(len(clean), len(clean) + len(other)))
+
+
 def test_empty_tables(spark, empty):
     assert bpe.encode_documents(empty, BYTES, ["doc_id"]).count() == 0
     assert token_counts.section_tokens(empty, BYTES, ["doc_id"]).count() == 0
