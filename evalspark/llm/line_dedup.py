@@ -4,9 +4,13 @@ Lines are parsed as log lines are: fields with a digit become ``<*>``, and a tre
 fixed depth leads from the number of words over the leading words to a leaf.
 Within a leaf, each position keeps its most common word if at least half of the
 leaf's lines agree on it and becomes ``<*>`` otherwise; lines that agree with this
-template on enough of its words belong to it. The rest of the leaf goes through
+template on enough of their words behind the leading ones belong to it, where fields
+count neither for nor against. The rest of the leaf goes through
 a second round; what is left after that is a template of its own, word by word.
 
+A template must have at least as many fixed words with a letter as it has ``<*>``.
+Lines without such a template (bare numbers, identifiers, table rows) never recur.
+
 A template that occurs in many documents is boilerplate: its lines are dropped
 everywhere but in the first document (by id) that has it. Documents with the same
 text count as one, so that copies of a document do not make its lines boilerplate.
@@ -35,6 +39,18 @@ def masked_line(line: Column) -> Column:
     return F.when(blanks.rlike(r"\d"), F.regexp_replace(blanks, _FIELD, "<*>")).otherwise(blanks)
 
 
+def _tells(words: Column) -> Column:
+    """Whether a template has as many fixed words with a letter as fields."""
+    value = lambda w: F.when(w == "<*>", -1).when(w.rlike(r"\p{L}"), 1).otherwise(0)
+    return F.aggregate(F.transform(words, value), F.lit(0), lambda x, y: x + y) >= 0
+
+
+def _agrees(words: Column, shape: Column, similarity: float) -> Column:
+    """Whether enough of the words are those of the template; places with a field in both are left out."""
+    value = lambda a, b: F.when((a == "<*>") & (b == "<*>"), 0.0).when(a == b, 1.0 - similarity).otherwise(-similarity)
+    return F.aggregate(F.zip_with(words, shape, value), F.lit(0.0), lambda x, y: x + y) >= -1e-9
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
     """One row per line with words: copy (hash of the text), doc, pos, line, leaf, h."""
     value = F.col(f"`{text}`").cast("string")
@@ -48,7 +64,7 @@ def line_templates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH,
     min_documents: int = MIN_DOCUMENTS, similarity: float = SIMILARITY, rounds: int = ROUNDS,
 ) -> DataFrame:
-    """doc, copy, pos, template (hash): every line of a leaf that occurs in enough documents."""
+    """doc, copy, pos, template (hash): every line with a telling template, of a leaf that occurs in enough documents."""
     lines = _lines(docs, doc_id, text, depth)
     # A template is never wider than its leaf, so leaves with too few lines are left out first.
     narrow = keep_table(lines.select("doc", "copy", "pos", "leaf", "h"), "line-hashes")
@@ -71,12 +87,13 @@ def line_templates(
         best = words.groupBy("leaf", "p").agg(F.max(F.struct("n", "word")).alias("best")).join(total, "leaf")
         common = F.when(F.col("best.n") * 2 >= F.col("total"), F.col("best.word")).otherwise(F.lit("<*>"))
         shape = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("p", common.alias("word")))).alias("shape")).select("leaf", F.col("shape.word").alias("shape"))
-        fit = F.aggregate(F.zip_with("words", "shape", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
-        scored = left.join(shape, "leaf", "left").withColumn("fits", F.coalesce(fit >= F.size("words") * similarity, F.lit(False)))
+        behind = [F.slice(c, depth + 1, F.greatest(F.size(c) - depth, F.lit(0))) for c in ("words", "shape")]
+        fit = F.col("shape").isNotNull() & _agrees(*behind, similarity) & _tells(F.col("shape"))
+        scored = left.join(shape, "leaf", "left").withColumn("fits", F.coalesce(fit, F.lit(False)))
         scored = keep_table(scored, f"line-round-{i}")
         given.append(scored.filter("fits").select("leaf", "h", F.xxhash64(F.lit(i), F.col("leaf")).alias("template")))
         left = scored.filter(~F.col("fits")).select("leaf", "h", "weight", "words")
-    given.append(left.select("leaf", "h", F.xxhash64(F.lit(-1), F.col("leaf"), F.col("h")).alias("template")))
+    given.append(left.filter(_tells(F.col("words"))).select("leaf", "h", F.xxhash64(F.lit(-1), F.col("leaf"), F.col("h")).alias("template")))
     templates = given[0]
     for more in given[1:]:
         templates = templates.unionByName(more)

@@ -157,6 +157,18 @@ def test_recurring_lines_go_but_for_the_first(spark):
     assert all("Page" not in got[i] and "footer" not in got[i] for i in range(1, 20))
 
 
+def test_distinct_short_and_numeric_lines_stay(spark):
+    w = [f"{a}{b}ing" for a in "bcdfg" for b in "aeiou"]
+    own = lambda i: [
+        f"It was a {w[i]}", f"It was a {w[i]} {w[-i]}", f"{100 + i}", f"{i}.5 {i * 7} {i * 9}", f"A{i} B{i}", f"Total {i} {i * 3} {i * 5} {w[i]}",
+        f"| {i} | {i + 5} |", f"see the list 1{i} 2{i} 3{i} {w[i]}",
+    ]
+    shared = lambda i: ["It was a pity", f"Page {i} of 20", f"Copyright {1990 + i} by the Example Press of {w[i]} and all its heirs", "----"]
+    rows = [(i, "\n".join(own(i) + shared(i))) for i in range(20)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "\n".join(own(i) + (shared(i) if i == 0 else [])) for i in range(20)}
+
+
 def test_mix_keeps_to_targets(docs):
     got = mixing.mix(docs).collect()
     assert all(r.taken == r.size * r.copies and r.copies <= 3 and r.target <= 3 * r.source_size for r in got)
