@@ -66,18 +66,21 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Per vector and block: linked vectors (with their copies) and the smallest one of its component there."""
-    for table, bounds in sorted_groups(batches, ["tab", "code", "i", "j"]):
+    for table, bounds in sorted_groups(batches, ["width", "tab", "code", "i", "j"]):
         ids = table.column("vec_id").to_numpy()
         mult = table.column("copies").to_numpy()
-        chunk, i, j, tab = (table.column(c).to_numpy() for c in ("chunk", "i", "j", "tab"))
-        vectors = _matrix(table, "unit", np.float64)
+        chunk, i, j, tab, width = (table.column(c).to_numpy() for c in ("chunk", "i", "j", "tab", "width"))
         codes = _matrix(table, "codes", np.int32)
         out_id, out_n, out_root = [], [], []
+        upto = 0
         for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if lo >= upto:  # vectors of another length begin
+                since, upto = lo, int(np.searchsorted(width, width[lo], "right"))
+                vectors = _matrix(table.slice(since, upto - since), "unit", np.float64)
             if hi - lo < 2:
                 continue
             order = lo + np.argsort(ids[lo:hi], kind="stable")
-            v, c, ch, m = vectors[order], codes[order, : tab[lo]], chunk[order], mult[order]
+            v, c, ch, m = vectors[order - since], codes[order, : tab[lo]], chunk[order], mult[order]
             counts, ends_a, ends_b, whole = np.zeros(len(order), np.int64), [], [], i[lo] == j[lo]
             for at in range(0, len(order), _PART):
                 close = v[at : at + _PART] @ v.T >= threshold
@@ -146,12 +149,11 @@ def near_vectors(
 
     coded = keep_table(equal.select("rep", "copies", "v", "width").mapInArrow(code, "vec_id long, copies long, unit array<double>, codes array<int>, width int"), "codes")
     placed = coded.select("vec_id", "width", F.posexplode("codes").alias("tab", "code"))
-    places = placed.withColumn("code", F.xxhash64("width", "code"))
-    full = places.groupBy("tab", "code").agg(F.count("*").alias("n")).filter("n > 1")
-    busy = places.join(full, ["tab", "code"]).withColumn("chunks", F.ceil(F.col("n") / _BLOCK).cast("int"))
+    full = placed.groupBy("width", "tab", "code").agg(F.count("*").alias("n")).filter("n > 1")
+    busy = placed.join(full, ["width", "tab", "code"]).withColumn("chunks", F.ceil(F.col("n") / _BLOCK).cast("int"))
     busy = busy.withColumn("chunk", F.pmod(F.hash("vec_id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    busy = busy.select("tab", "code", "vec_id", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    dealt = busy.join(coded.select("vec_id", "copies", "unit", "codes"), "vec_id").repartition("tab", "code", "i", "j").sortWithinPartitions("tab", "code", "i", "j")
+    busy = busy.select("width", "tab", "code", "vec_id", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    dealt = busy.join(coded.select("vec_id", "copies", "unit", "codes"), "vec_id").repartition("width", "tab", "code", "i", "j").sortWithinPartitions("width", "tab", "code", "i", "j")
     met = keep_table(dealt.mapInArrow(lambda batches: _compare(batches, threshold), "vec_id long, n long, root long"), "vector-links")
     counts = met.groupBy("vec_id").agg(F.sum("n").alias("n")).toDF("m_id", "m_n")
     links = met.filter("vec_id != root").select("vec_id", "root").union(membership.filter("vec_id != rep").select("vec_id", "rep"))

@@ -140,6 +140,18 @@ def test_vectors_equal_brute_force(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(65, 71))
 
 
+def test_vectors_of_several_lengths_equal_brute_force(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for width in (8, 3, 12, 8, 5):
+        base = r.standard_normal((12, width))
+        rows += [v.tolist() for v in np.concatenate([base, base[:3], base[:6] + 0.02 * r.standard_normal((6, width))])]
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").coalesce(1), recall=0.99999).collect()}
+    unit = [np.array(v) / np.linalg.norm(v) for v in rows]
+    want = {a: sum(len(x) == len(y) and a != b and x @ y >= 0.95 for b, y in enumerate(unit)) for a, x in enumerate(unit)}
+    assert got == want and all(any(want[k] for k in range(21 * g, 21 * g + 21)) for g in range(5))
+
+
 def test_fingerprints_and_edits(docs):
     order = sorted(enumerate(texts()), reverse=True)
     got = {r.doc_id: r for r in order_minhash.edit_probe(docs.dropDuplicates(["doc_id"])).collect()}
