@@ -85,4 +85,23 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(compon
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN components ON node = d.doc_id
 """
 
-ORACLE_SQL = {"op4_fair_mix": MIX, "op7_substring_dedup": REPEATS, "op8_embedding_dedup": VECTORS, "op9_minhash": NEAR}
+HARD = """
+WITH good AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM good a JOIN good b ON a.vec_id % 50 = 0 AND len(a.v) = len(b.v)
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE alike AND other <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), ranked AS (
+  SELECT p.*, s.other AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 100 * s.score BETWEEN 50 * p.positive_score AND 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+ORACLE_SQL = {"op4_fair_mix": MIX, "op7_substring_dedup": REPEATS, "op8_embedding_dedup": VECTORS, "op9_minhash": NEAR, "op12_hard_negatives": HARD}
