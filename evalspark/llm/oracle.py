@@ -85,6 +85,17 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(compon
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN components ON node = d.doc_id
 """
 
+NEAREST = """
+WITH good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 HARD = """
 WITH good AS (
   SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
@@ -104,4 +115,29 @@ WITH good AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
 """
 
-ORACLE_SQL = {"op4_fair_mix": MIX, "op7_substring_dedup": REPEATS, "op8_embedding_dedup": VECTORS, "op9_minhash": NEAR, "op12_hard_negatives": HARD}
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+runs AS (SELECT lang, m, array_to_string(w[s : s + m - 1], ' ') AS phrase FROM words, unnest(range(1, 6)) AS a(m), unnest(range(1, len(w) - m + 2)) AS b(s)),
+counts AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.f AS a, k, string_split(c.phrase, ' ') AS w,
+         array_to_string(string_split(c.phrase, ' ')[: k], ' ') AS head, array_to_string(string_split(c.phrase, ' ')[k + 1 :], ' ') AS tail
+  FROM counts c, unnest(range(1, 5)) AS x(k) WHERE c.m > 1 AND k < c.m
+), scored AS (
+  SELECT t.lang, t.m, t.phrase, a, h.f AS l, e.f AS r, n, k, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(h.f AS HUGEINT) * e.f) AS BIGINT) AS score
+  FROM cuts t JOIN counts h ON h.lang = t.lang AND h.phrase = head JOIN counts e ON e.lang = t.lang AND e.phrase = tail JOIN sizes z ON z.lang = t.lang
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+-- No phrase occurs more often than one inside it, so "as often" is "equally often".
+covered AS (
+  SELECT DISTINCT p.lang, p.phrase FROM lowest p JOIN lowest q
+  ON q.lang = p.lang AND q.a = p.a AND q.m > p.m AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' ')
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest ANTI JOIN covered USING (lang, phrase)
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op4_fair_mix": MIX, "op7_substring_dedup": REPEATS, "op8_embedding_dedup": VECTORS, "op9_minhash": NEAR, "op11_cross_polytope": NEAREST, "op12_hard_negatives": HARD, "op13_collocations": PHRASES}

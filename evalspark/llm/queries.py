@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, embedding_dedup, hard_negatives, language_id, line_dedup, minhash, mixing, order_minhash, substring_dedup, token_counts, token_files
+from evalspark.llm import bpe, cross_polytope, embedding_dedup, hard_negatives, language_id, line_dedup, minhash, mixing, order_minhash, phrases, substring_dedup, token_counts, token_files
 from evalspark.llm.common import read_table, text_or_empty
 from evalspark.session import pin_utc
 
@@ -88,6 +88,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+@registered
+def op11_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @registered
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each seventh label is the next one, as if labelled wrongly; each fiftieth row is an anchor."""
@@ -96,6 +101,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, label=noisy)
 
 
+@registered
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 @registered
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(language_id.labelled_documents(read_table(spark, sf_dir, "documents")))

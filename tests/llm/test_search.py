@@ -1,0 +1,274 @@
+"""Nearest neighbours, hard negatives and phrases against plain Python, with every odd case, and on empty tables."""
+
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from evalspark.llm import cross_polytope, hard_negatives, phrases
+
+VECTORS = "vec_id long, embedding array<double>, label int, v string, id string, width int"
+
+
+def table(spark, rows):
+    """Vectors with other columns named as the operators' own."""
+    return spark.createDataFrame([(*r, "x", "y", 3) for r in rows], VECTORS)
+
+
+def odd_vectors():
+    nan, inf = float("nan"), float("inf")
+    return [(9001, None, 1), (9002, [], 1), (9003, [0.0] * 8, 1), (9004, [nan] + [1.0] * 7, 1), (9005, [inf] + [1.0] * 7, 2),
+            (9006, [None] + [1.0] * 7, 2), (None, [1.0] * 8, 2), (9050, [1.0] * 8, None), (9100, [1.0, -2.0], 1), (9101, [2.0, -4.0], 2), (9102, [1.0], 1)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = np.random.default_rng(5)
+    some = [(i, (r.standard_normal(8) + 1.5).tolist(), int(r.integers(3))) for i in range(700)]
+    copies = [(2000 + i, some[10][1], i % 3) for i in range(60)]  # a group of copies, asked ones among them
+    scaled = [(3000 + i, [x * 2.0**i for x in some[11][1]], 1) for i in range(12)]
+    return [*some, *copies, *scaled, *odd_vectors(), some[5], some[50], some[50]]
+
+
+# --- nearest neighbours -------------------------------------------------------------
+
+
+def brute_nearest(rows, k):
+    seen = {}
+    for i, v, _ in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            seen[i] = v
+    out = {}
+    for q, a in seen.items():
+        if q % 50:
+            continue
+        near = []
+        for i, b in seen.items():
+            if i != q and len(a) == len(b):
+                dot = squares_a = squares_b = 0.0
+                for x, y in zip(a, b):
+                    dot, squares_a, squares_b = dot + x * y, squares_a + x * x, squares_b + y * y
+                near.append((-max(-1.0, min(1.0, dot / math.sqrt(squares_a * squares_b))), i))
+        out[q] = [(i, -s) for s, i in sorted(near)[:k]]
+    return out
+
+
+def found_by_query(frame):
+    out = {}
+    for r in sorted(frame.collect(), key=lambda r: (r.query_id, r["rank"])):
+        assert r["rank"] == len(out.setdefault(r.query_id, [])) + 1
+        out[r.query_id].append((r.vec_id, r.score))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [100_000, 16])
+def test_nearest_rows_and_measured_recall(spark, rows, bucket):
+    want = brute_nearest(rows, 5)
+    got = found_by_query(cross_polytope.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, bucket=bucket))
+    assert set(got) <= set(want) and 9100 in got
+    if bucket > 1000:  # a single bucket holds everything
+        assert set(got) == {q for q, near in want.items() if near}
+        for q, near in got.items():
+            assert [i for i, _ in near] == [i for i, _ in want[q]]
+            assert [s for _, s in near] == pytest.approx([s for _, s in want[q]], abs=1e-15)
+    pairs = [(q, i) for q, near in want.items() for i, _ in near]
+    hits = sum(i in {j for j, _ in got.get(q, [])} for q, i in pairs)
+    assert hits / len(pairs) >= 0.95
+    exact = {q: dict(brute_nearest([r for r in rows if r[0] in (q, *[i for i, _ in got[q]])], 5)[q]) for q in list(got)[:5]}
+    for q, near in exact.items():  # every score is that of its pair, in order, ties by id
+        assert got[q] == sorted(got[q], key=lambda p: (-p[1], p[0]))
+        assert all(s == pytest.approx(near[i], abs=1e-15) for i, s in got[q])
+
+
+def test_large_recall_sample_and_hot_bucket(spark, monkeypatch):
+    """Most vectors in one narrow cone, small blocks: nothing is lost, and the probes follow the data."""
+    r = np.random.default_rng(7)
+    hot = r.standard_normal(16)
+    rows = [(i, (hot + (0.01 if i % 3 else 1.0) * r.standard_normal(16)).tolist(), 0) for i in range(1500)]
+    monkeypatch.setattr(cross_polytope, "rows_per_block", lambda width, item: 64)
+    got = found_by_query(cross_polytope.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, bucket=32))
+    want = brute_nearest(rows, 5)
+    hits = sum(i in {j for j, _ in got[q]} for q, near in want.items() for i, _ in near)
+    assert hits / (5 * len(want)) >= 0.97
+
+
+def test_rotation_keeps_lengths_and_codes_are_first_probes():
+    r = np.random.default_rng(1)
+    v = cross_polytope.units(r.standard_normal((40, 24)))
+    turned = cross_polytope.pseudo_rotation(v, 3)
+    assert turned.shape == (40, 32) and np.allclose((turned**2).sum(axis=1), 1)
+    sylvester = np.array([[1.0]])
+    while len(sylvester) < 32:
+        sylvester = np.block([[sylvester, sylvester], [sylvester, -sylvester]])
+    signs = np.random.default_rng([cross_polytope._SEED, 3, 32]).choice([-1.0, 1.0], (3, 32))
+    plain = np.pad(v, ((0, 0), (0, 8)))
+    for row in signs:
+        plain = (plain * row) @ sylvester.T / math.sqrt(32)
+    assert np.allclose(turned, plain)
+    hashing = cross_polytope.Tables(3, (32, 4), {24: np.full(24, 0.01)})
+    probes, codes = hashing.probes(v, 512), hashing.codes(v)
+    assert probes.shape == (40, 3, 512) and (probes[:, :, 0] == codes).all()
+    assert all(len(set(p.tolist())) == 512 for row in probes for p in row)  # every code, once
+
+
+def test_nearest_of_few_and_none(spark, rows):
+    assert cross_polytope.nearest(table(spark, []), F.col("vec_id") % 50 == 0).collect() == []
+    assert cross_polytope.nearest(table(spark, odd_vectors()[:6]), F.col("vec_id") % 50 == 0).collect() == []
+    few = table(spark, [(50, [1.0, 0.0], 1), (51, [2.0, 0.0], 1), (52, [2.0, 0.0], 1), (53, [0.0, 1.0], 1), (53, [0.0, 1.0], 2)])
+    assert found_by_query(cross_polytope.nearest(few, F.col("vec_id") % 50 == 0)) == {50: [(51, 1.0), (52, 1.0), (53, 0.0)]}
+
+
+# --- hard negatives -----------------------------------------------------------------
+
+
+def brute_negatives(rows, scale=256):
+    good = {}
+    for i, v, label in rows:
+        if i is not None and label is not None and v and all(x is not None and math.isfinite(x * scale) for x in v):
+            good[i] = (label, [math.floor(x * scale) for x in v])
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = []
+    for q, (tag, a) in good.items():
+        if q % 50:
+            continue
+        near = sorted((-dot(a, b), i, t) for i, (t, b) in good.items() if i != q and len(a) == len(b))
+        for score, p, _ in [x for x in near if x[2] == tag][:5]:
+            hard = [(s, i) for s, i, t in near if t != tag and 50 * -score <= 100 * -s <= 95 * -score][:3]
+            out += [(q, p, n + 1, i, -score, -s) for n, (s, i) in enumerate(hard)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [1 << 15, 48])
+def test_hard_negatives(spark, rows, monkeypatch, block):
+    monkeypatch.setattr(hard_negatives, "rows_per_block", lambda width, item: block)
+    got = hard_negatives.hard_negatives(table(spark, rows), F.col("vec_id") % 50 == 0)
+    want = brute_negatives(rows)
+    assert len(want) > 100
+    assert sorted(map(tuple, got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())) == want
+
+
+def test_hard_negatives_of_large_components(spark):
+    r = random.Random(3)
+    rows = [(i, [r.uniform(-1, 1) * 10.0 ** r.randrange(5) for _ in range(6)], i % 2) for i in range(120)]
+    assert sorted(map(tuple, hard_negatives.hard_negatives(table(spark, rows), F.col("vec_id") % 50 == 0)
+                      .select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())) == brute_negatives(rows)
+    huge = [(i, [x * 1e150 for x in v], label) for i, v, label in rows]
+    got = hard_negatives.hard_negatives(table(spark, huge), F.col("vec_id") % 50 == 0).collect()
+    want = brute_negatives(huge)
+    assert sorted((g.anchor_id, g.positive_id, g["rank"], g.negative_id) for g in got) == [w[:4] for w in want]
+    assert {g.positive_score for g in got} == {2**63 - 1}
+    wide = [(i, [float(i % 7), 1e305], i % 2) for i in range(3)]  # not finite once scaled
+    assert hard_negatives.hard_negatives(table(spark, wide), F.col("vec_id") % 50 == 0, scale=10**4).collect() == []
+
+
+@pytest.mark.parametrize("low, high", [(0, 0), (-3, 3), (-256, 255), (5, 9), (-(2**40), 2**40)])
+def test_packed_products_are_exact(low, high):
+    r = random.Random(2)
+    a = np.array([[r.randint(low, high) for _ in range(11)] for _ in range(7)], np.float64)
+    c = np.array([[r.randint(low, high) for _ in range(11)] for _ in range(13)], np.float64)
+    got = hard_negatives.packed_products(a, c, low, high)
+    assert [[int(x) for x in row] for row in got] == [[sum(int(x) * int(y) for x, y in zip(p, q)) for q in c] for p in a]
+    assert hard_negatives._DOUBLE_BITS // hard_negatives.field_bits(64, -256, 255) == 2  # rows to one product
+
+
+def test_hard_negatives_of_none(spark):
+    assert hard_negatives.hard_negatives(table(spark, []), F.col("vec_id") % 50 == 0).collect() == []
+    assert hard_negatives.hard_negatives(table(spark, odd_vectors()), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# --- phrases ------------------------------------------------------------------------
+
+
+def brute_phrases(rows, least, top=2000, longest=5):
+    counts, sizes = {}, Counter()
+    for text, lang in rows:
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for mark in ".,;:!?\n\x0b\x0c\r":
+            lower = lower.replace(mark, "\n")
+        own = counts.setdefault(lang or "und", Counter())
+        for piece in lower.split("\n"):
+            words = [w for w in piece.replace("\t", " ").split(" ") if w]
+            sizes[lang or "und"] += len(words)
+            for m in range(1, longest + 1):
+                own.update(tuple(words[s : s + m]) for s in range(len(words) - m + 1))
+    out = []
+    for lang, own in counts.items():
+        kept = {p: f for p, f in own.items() if f >= least}
+        found = []
+        for p, f in kept.items():
+            if len(p) > 1 and not any(len(q) > len(p) and g >= f and any(q[s : s + len(p)] == p for s in range(len(q) - len(p) + 1)) for q, g in kept.items() if g == f):
+                score, k = min((math.floor(Fraction(1000 * f * sizes[lang], kept[p[:k]] * kept[p[k:]])), k) for k in range(1, len(p)))
+                found.append((-score, -f, " ".join(p).encode(), kept[p[:k]], kept[p[k:]]))
+        for rank, (score, f, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -f, left, right, sizes[lang], -score))
+    return sorted(out)
+
+
+def phrase_rows():
+    r = random.Random(4)
+    words = ["The", "quick", "brown", "fox", "İ", "日本", "\x00", "a b", "x", "x", "x", "of"]
+    fixed = ["as soon as possible", "x x x x x x", "in order to", "New\tYork  City"]
+    rows = []
+    for i in range(300):
+        parts = [r.choice([r.choice(fixed), r.choice(words), r.choice(words)]) for _ in range(r.randrange(40))]
+        rows.append((r.choice([" ", ", ", "\r\n", "! ", "  "]).join(parts), r.choice(["en", "en", "de", None, "und"])))
+    return [*rows, (None, "en"), ("", "fr"), (" \t ", "fr"), ("...", None), ("word " * 20_000, "en"), rows[0], rows[0]]
+
+
+COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+@pytest.mark.parametrize("slice_bytes", [8_000_000, 2_000])
+def test_collocations(spark, monkeypatch, slice_bytes):
+    rows = phrase_rows()
+    monkeypatch.setattr(phrases, "_SLICE_BYTES", slice_bytes)
+    docs = spark.createDataFrame([(t, g, "s", 1, "w") for t, g in rows], "text string, lang string, slice string, id int, word string").repartition(5)
+    for least, top in ((20, 2000), (4, 25)):
+        got = phrases.collocations(docs, min_count=least, top=top).select(*COLUMNS).collect()
+        want = brute_phrases(rows, least, top)
+        assert len(want) > 20
+        assert sorted(map(tuple, got)) == want
+
+
+def test_collocations_of_nothing(spark):
+    docs = spark.createDataFrame([], "text string, lang string")
+    assert phrases.collocations(docs).columns == COLUMNS and phrases.collocations(docs).collect() == []
+    assert phrases.collocations(spark.createDataFrame([(None, None), ("", "en")], "text string, lang string"), min_count=1).collect() == []
+
+
+def test_tiles_and_coo_count_alike(monkeypatch):
+    r = np.random.default_rng(6)
+    x = np.minimum(r.zipf(1.3, 60_000), 2**33).astype(np.int64)
+    y = np.minimum(r.zipf(1.3, 60_000), 40_000).astype(np.int64)
+    want = Counter(zip(x.tolist(), y.tolist()))
+    for dense in (1, 500, 10**9):
+        monkeypatch.setattr(phrases, "_DENSE", dense)
+        for keep in (np.ones(len(x), bool), x < 2**31):
+            got = phrases.count_pairs(x[keep], y[keep])
+            assert dict(zip(zip(got[0].tolist(), got[1].tolist()), got[2].tolist())) == {p: n for p, n in want.items() if p[0] < 2**31 or keep.all()}
+
+
+def test_ids_beyond_31_bits_find_their_pairs():
+    ids = np.array([2**40, 7, 2**40, -1, 7, 2**40, 5])
+    got = phrases.pair_ids(ids, np.array([2**40, 7]), np.array([7, 2**40]), np.array([10, 2**41]))
+    assert got.tolist() == [10, 2**41, -1, -1, 2**41, -1]
+    assert phrases.trimmed(np.array([-1, 3, -1, -1, 4, 5, -1, -1, 6, 7])).tolist() == [4, 5, -1, 6, 7]
+
+
+def test_words_of_a_slice():
+    codes, words, counts = phrases.tokens([b"A b,\ta\r\n", b"", "É é".encode(), b"..."])
+    assert words.to_pylist() == ["a", "b", "É", "é"] and counts.tolist() == [2, 1, 1, 1]
+    assert [c for c in codes.tolist() if c >= 0] == [0, 1, 0, 2, 3] and codes[2] == -1
+
+
+def test_scores_beyond_64_bits(spark):
+    row = spark.createDataFrame([(10**12, 10**13, [10**12, 10**12], [3 * 10**12, 10**12])], "f long, n long, heads array<long>, tails array<long>")
+    cut = row.select(phrases._lowest_cut().alias("c")).first().c
+    assert (cut.score, cut.k, cut.l, cut.r) == (1000 * 10**25 // (10**12 * 3 * 10**12), 1, 10**12, 3 * 10**12)
