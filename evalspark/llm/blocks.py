@@ -46,7 +46,9 @@ def paired_blocks(rows: DataFrame, askers: DataFrame, keys: list[str], most: int
 
     both = dealt(rows, 0, "i", "j").unionByName(dealt(askers, 1, "j", "i"), allowMissingColumns=True)
     place = [*keys, "i", "j"]
-    return both.repartition(*place).sortWithinPartitions(*place, "kind", "id")
+    # A given number of partitions is one that adaptive execution leaves alone: blocks are work, not bytes.
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(partitions, *place).sortWithinPartitions(*place, "kind", "id")
 
 
 def blocks(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, pa.Table]]:

@@ -9,7 +9,7 @@ are several tables. A query looks into the buckets of its likeliest codes in eac
 
 How many codes a query probes is measured, not guessed: the exact neighbours of a bounded sample of
 queries tell how far down the probing order they are found, and the number of probes
-is the smallest that finds ``recall`` of them. Where the order ends before that, buckets are
+is the smallest that finds ``recall`` of them, but 16 at least. Where the order ends before that, buckets are
 made larger; one bucket would find everything.
 
 Buckets are compared in blocks of bounded size, so that a bucket with most of the vectors is many
@@ -33,12 +33,14 @@ from evalspark.operators.ranking import first_per_group
 
 TABLES = 3
 BUCKET = 256
-RECALL = 0.99
+RECALL = 0.96
 SAMPLE = 128
 _ROUNDS = 3
+_LEAST_PROBES = 16
 _MOST_PROBES = 4096
 _CENTRED_WIDTHS = 16
 _PART = 1 << 21
+_WAITING = 1 << 20
 _MARGIN = 1e-9
 _SEED = 11
 
@@ -218,12 +220,27 @@ def measured_plan(pairs: list[tuple[np.ndarray, np.ndarray]], n: int, width: int
         ranks.sort()
         needed = ranks[max(0, math.ceil(recall * len(ranks)) - 1)] + 1 if ranks else 1
         if needed <= _MOST_PROBES:
-            return hashing, needed
+            return hashing, max(needed, _LEAST_PROBES)
         bucket *= 4
 
 
+def _first(x: np.ndarray, y: np.ndarray, score: np.ndarray, most: int) -> list[np.ndarray]:
+    """The first ``most`` vectors y of each query x, each of them once."""
+    order = np.lexsort((y, -score, x))
+    x, y, score = x[order], y[order], score[order]
+    fresh = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (score[1:] != score[:-1])]) if len(x) else np.zeros(0, bool)
+    x, y, score = x[fresh], y[fresh], score[fresh]
+    kept = first_in_runs(x, most)
+    return [x[kept], y[kept], score[kept]]
+
+
 def _compare(batches, most: int) -> Iterator[pa.RecordBatch]:
-    """Each query's first vectors of a block by exact cosine."""
+    """Each query's first vectors by exact cosine, over the blocks of a partition.
+
+    What is found is reduced to ``most`` a query whenever it has grown to _WAITING rows, and handed on
+    if that does not halve it; so a partition tells little more than its queries, however many blocks they meet."""
+    found, n = [], 0
+    batch = lambda columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "near", "score"])
     for rows, askers in blocks(batches, ["width", "tab", "code"]):
         ids, own = rows.column("id").to_numpy(), askers.column("id").to_numpy()
         c, q = scaled(matrix(rows, "v")), scaled(matrix(askers, "v"))
@@ -237,10 +254,16 @@ def _compare(batches, most: int) -> Iterator[pa.RecordBatch]:
                 least = np.full((len(near), 1), -np.inf)
             x, y = np.nonzero(near >= least)
             score = np.concatenate([exact_cosines(q[at + x[s : s + _PART // 16]], c[y[s : s + _PART // 16]]) for s in range(0, len(x), _PART // 16)])
-            order = np.lexsort((ids[y], -score, x))
-            x, y, score = x[order], y[order], score[order]
-            first = first_in_runs(x, most)
-            yield pa.RecordBatch.from_arrays([pa.array(own[at + x[first]]), pa.array(ids[y[first]]), pa.array(score[first])], names=["query", "near", "score"])
+            found.append(_first(own[at + x], ids[y], score, most))
+            n += len(found[-1][0])
+            if n >= _WAITING:
+                found = [_first(*map(np.concatenate, zip(*found)), most)]
+                n = len(found[0][0])
+                if n >= _WAITING // 2:
+                    yield batch(found[0])
+                    found, n = [], 0
+    if found:
+        yield batch(_first(*map(np.concatenate, zip(*found)), most))
 
 
 def nearest(
