@@ -1,16 +1,27 @@
-"""Running gold and predicted statements and scoring each pair."""
+"""Running gold and predicted statements and scoring each pair.
+
+Pairs are reduced to distinct statements first. Those without a stored signature are
+taken in batches of one database each: every statement is analysed, the results of a batch
+are put below one another, and one job reduces them to a signature per statement in
+the signature table. A batch that fails or takes too long is split in halves down to
+single statements, so that a bad one spoils no other. Pairs are then joined with
+their two signatures.
+"""
 
 from __future__ import annotations
 
 import threading
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from functools import reduce
 from itertools import islice
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evalspark import fixed_values as fixed
 from evalspark import schemas
@@ -18,12 +29,16 @@ from evalspark.operators import matching
 from evalspark.session import new_table_path
 from evalspark.tables import parameter_table
 
-Signature = list[tuple]
-# Scores written in one go, and gold signatures kept to be used again.
-_BATCH = 1_000
-_KEPT = 10_000
+# Statements of a job at first and at most, and columns of a job at most (a plan has to stay small).
+_BATCH = 64
+_COLUMNS = 1_000
 _SESSIONS = 50
 _ATTEMPTS = 2
+# Failures written in one go.
+_FAILURES = 1_000
+DONE, LATE, ERROR = "done", "timeout", "error"
+
+Statement = tuple[str, str]  # key, text
 
 
 def use_database(session: SparkSession, db_id: str) -> None:
@@ -39,14 +54,9 @@ def as_query(text: str) -> str:
     return f"SELECT * FROM (\n{statement}\n)"
 
 
-def signature_of(session: SparkSession, text: str, strict_duplicates: bool = False) -> Signature:
-    """The sorted column signatures of a statement's result: one small row per column."""
-    result = session.sql(as_query(text))
-    if strict_duplicates and len(set(result.columns)) < len(result.columns):
-        raise ValueError("two columns have the same name")
-    row = tuple(matching.signature_row(result).first())
-    width = len(matching.SIGNATURE)
-    return sorted(row[start : start + width] for start in range(0, len(row), width))
+def statement_key(db_id: Column, text: Column, version: str = "", strict_duplicates: bool = False) -> Column:
+    """What a stored signature is found by: database, its version, statement, and how equal names count."""
+    return F.sha2(F.to_json(F.array(db_id, text, F.lit(version), F.lit(str(strict_duplicates)))), 256)
 
 
 class _Sessions(threading.local):
@@ -56,13 +66,14 @@ class _Sessions(threading.local):
         self.by_db: OrderedDict[str, SparkSession] = OrderedDict()
 
 
-class PairScorer:
-    """Scores single pairs; gold signatures are kept, as runs share their questions."""
+class StatementRunner:
+    """Runs batches of statements of one database and stores their signatures below ``store``."""
 
-    def __init__(self, spark: SparkSession, prepare: Callable, timeout: float, strict_duplicates: bool) -> None:
-        self.spark, self.prepare, self.timeout, self.strict = spark, prepare, timeout, strict_duplicates
+    def __init__(self, spark: SparkSession, prepare: Callable, timeout: float, strict_duplicates: bool, store: str, batch: int) -> None:
+        self.spark, self.prepare, self.timeout, self.strict, self.store = spark, prepare, timeout, strict_duplicates, store
         self.sessions = _Sessions()
-        self.gold: OrderedDict[tuple, Signature] = OrderedDict()
+        self.most = batch
+        self.sizes: dict[str, int] = {}
         self.lock = threading.Lock()
 
     def session(self, db_id: str) -> SparkSession:
@@ -77,26 +88,62 @@ class PairScorer:
         kept.move_to_end(db_id)
         return kept[db_id]
 
-    def gold_signature(self, session: SparkSession, db_id: str, text: str) -> Signature:
-        key = (db_id, text)
+    def size(self, db_id: str) -> int:
+        """How many statements of a database a job takes: fewer after a late one, more again after jobs in time."""
         with self.lock:
-            if key in self.gold:
-                self.gold.move_to_end(key)
-                return self.gold[key]
-        signature = signature_of(session, text, self.strict)
+            return self.sizes.get(db_id, self.most)
+
+    def _learn(self, db_id: str, n: int, late: bool) -> None:
         with self.lock:
-            self.gold[key] = signature
-            while len(self.gold) > _KEPT:
-                self.gold.popitem(last=False)
-        return signature
+            size = self.sizes.get(db_id, self.most)
+            self.sizes[db_id] = max(1, n // 2) if late else min(self.most, max(size, 2 * n))
+
+    def run(self, db_id: str, statements: list[Statement]) -> list[tuple[str, str]]:
+        """Store the signatures of the statements; (key, status) of those that have none."""
+        failures, results = [], []
+        for key, text in statements:
+            result = self._analysed(db_id, text)
+            if result is None:
+                failures.append((key, ERROR))
+            else:
+                results.append((key, result))
+        for group in _by_width(results):
+            failures += self._reduced(db_id, group)
+        return failures
+
+    def _analysed(self, db_id: str, text: str) -> DataFrame | None:
+        for _ in range(_ATTEMPTS):
+            try:
+                result = self.session(db_id).sql(as_query(text))
+                if not (self.strict and len(set(result.columns)) < len(result.columns)):
+                    return result
+                return None
+            except (AnalysisException, ValueError, AttributeError):
+                return None  # the statement itself is wrong
+            except Exception:
+                continue  # perhaps a service that was away for a moment
+        return None
 
-    def score(self, pair_id: int, db_id: str, predicted_sql: str, gold_sql: str) -> tuple[int, int, str]:
-        group = f"score-{pair_id}-{id(self)}"
+    def _reduced(self, db_id: str, results: list[tuple[str, DataFrame]], again: int = _ATTEMPTS) -> list[tuple[str, str]]:
+        status = self._attempt(results)
+        self._learn(db_id, len(results), status == LATE)
+        if status == DONE:
+            return []
+        if len(results) > 1:
+            middle = len(results) // 2
+            return self._reduced(db_id, results[:middle]) + self._reduced(db_id, results[middle:])
+        if status == ERROR and again > 1:  # perhaps lost executors and not the statement
+            return self._reduced(db_id, results, again - 1)
+        return [(results[0][0], status)]
+
+    def _attempt(self, results: list[tuple[str, DataFrame]]) -> str:
+        """One job for all results, within the time of one statement."""
+        group = f"score-{uuid.uuid4().hex}"
         context = self.spark.sparkContext
         finished, expired = threading.Event(), threading.Event()
 
         def stop_late() -> None:
-            # The time a pair waits for its neighbours is not its own.
+            # The time a job waits for its neighbours is not its own.
             while not self._runs(group):
                 if finished.wait(0.1):
                     return
@@ -107,27 +154,19 @@ class PairScorer:
             while not finished.wait(0.2):
                 context.cancelJobGroup(group)
 
-        context.setJobGroup(group, "score one pair", interruptOnCancel=True)
-        context.setLocalProperty("spark.scheduler.pool", group)  # cores are shared evenly among pairs
+        context.setJobGroup(group, f"score {len(results)} statements", interruptOnCancel=True)
+        context.setLocalProperty("spark.scheduler.pool", group)  # cores are shared evenly among jobs
         watch = threading.Thread(target=stop_late, daemon=True)
         watch.start()
-        outcome = (pair_id, 0, "error")
         try:
-            for _ in range(_ATTEMPTS):
-                try:
-                    same = self.same_result(db_id, predicted_sql, gold_sql)
-                    outcome = (pair_id, int(same), "match" if same else "mismatch")
-                    break
-                except (AnalysisException, ValueError):
-                    break  # the statement itself is wrong
-                except Exception:
-                    # Perhaps lost executors and not the statement: try once more.
-                    if expired.is_set():
-                        break
+            # Jobs that write to one folder at a time would clean up one another's files.
+            signatures(results).write.parquet(f"{self.store}/{group}")
+            return DONE
+        except Exception:
+            return LATE if expired.is_set() else ERROR
         finally:
             finished.set()
-        watch.join()
-        return (pair_id, 0, "timeout") if expired.is_set() else outcome
+            watch.join()
 
     def _runs(self, group: str) -> bool:
         """Whether a task of the group has started."""
@@ -136,25 +175,68 @@ class PairScorer:
         stages = filter(None, (tracker.getStageInfo(s) for job in jobs for s in job.stageIds))
         return any(stage.numActiveTasks or stage.numCompletedTasks or stage.numFailedTasks for stage in stages)
 
-    def same_result(self, db_id: str, predicted_sql: str, gold_sql: str) -> bool:
-        session = self.session(db_id)
-        predicted = signature_of(session, predicted_sql, self.strict)
-        return predicted == self.gold_signature(session, db_id, gold_sql)
 
+def _by_width(results: list[tuple[str, DataFrame]]) -> Iterator[list[tuple[str, DataFrame]]]:
+    """Groups of results with a bounded number of columns together."""
+    group, width = [], 0
+    for key, result in results:
+        if group and width + len(result.columns) > _COLUMNS:
+            yield group
+            group, width = [], 0
+        group.append((key, result))
+        width += len(result.columns)
+    if group:
+        yield group
+
+
+def signatures(results: list[tuple[str, DataFrame]]) -> DataFrame:
+    """``(key, status, signature)`` of several results in one pass: the sorted signatures of each one's columns.
+
+    Cells are reduced by (statement, column) where they are read, so one
+    small row per column and task is shuffled, whatever the number of statements.
+    """
+    spark = results[0][1].sparkSession
+    cells = [matching.result_cells(result, number, matching.GOLD) for number, (_, result) in enumerate(results)]
+    while len(cells) > 1:  # in pairs, so that the plan is not nested deeply
+        cells = [reduce(DataFrame.unionByName, cells[at : at + 2]) for at in range(0, len(cells), 2)]
+    columns = matching.column_signatures(cells[0])
+    listed = columns.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.array(*matching.SIGNATURE))).alias("signature"))
+    names = parameter_table(
+        spark, [(number, key, len(result.columns)) for number, (key, result) in enumerate(results)], schemas.STATEMENT,
+    )
+    # A result without rows has the signatures of empty columns.
+    empty = F.array_repeat(F.array_repeat(F.lit(0).cast("bigint"), len(matching.SIGNATURE)), F.col("width"))
+    found = names.join(listed, F.col("number") == F.col("pair_id"), "left")
+    return found.select("key", F.lit(DONE).alias("status"), F.coalesce("signature", empty).alias("signature"))
 
-def _in_flight(pool: ThreadPoolExecutor, score: Callable, pairs: Iterator, limit: int) -> Iterator[tuple]:
-    """Results as they come, with at most ``limit`` pairs handed out at a time."""
-    running: set[Future] = {pool.submit(score, *pair) for pair in islice(pairs, limit)}
+
+def _in_flight(pool: ThreadPoolExecutor, work: Callable, items: Iterator, limit: int) -> Iterator:
+    """Results as they come, with at most ``limit`` items handed out at a time."""
+    running: set[Future] = {pool.submit(work, *item) for item in islice(items, limit)}
     while running:
         done, running = wait(running, return_when=FIRST_COMPLETED)
-        running |= {pool.submit(score, *pair) for pair in islice(pairs, len(done))}
+        running |= {pool.submit(work, *item) for item in islice(items, len(done))}
         yield from (future.result() for future in done)
 
 
-def _batches(rows: Iterable[tuple], size: int) -> Iterator[list[tuple]]:
-    rows = iter(rows)
-    while batch := list(islice(rows, size)):
-        yield batch
+def _batches(rows: Iterable, size: Callable[[str], int]) -> Iterator[tuple[str, list[Statement]]]:
+    """Consecutive statements of one database, as many as its jobs take at the time."""
+    db_id, batch = None, []
+    for row in rows:
+        if batch and (row.db_id != db_id or len(batch) >= size(db_id)):
+            yield db_id, batch
+            batch = []
+        db_id = row.db_id
+        batch.append((row.key, row.text))
+    if batch:
+        yield db_id, batch
+
+
+def _stored(spark: SparkSession, store: str) -> DataFrame:
+    """The stored statements, one row each; a signature goes before a failure."""
+    rows = spark.read.schema(schemas.SIGNATURE).option("recursiveFileLookup", True).parquet(store)
+    order = F.when(F.col("status") == DONE, 0).otherwise(1)
+    return rows.groupBy("key").agg(F.min_by(F.struct("status", "signature"), order).alias("_s")).select("key", "_s.*")
 
 
 def score_sql(
@@ -165,27 +247,72 @@ def score_sql(
     prepare: Callable[[SparkSession, str], None] = use_database,
     path: str | None = None,
     strict_duplicates: bool = False,
+    batch: int = _BATCH,
+    store: str | None = None,
+    version: str = "",
 ) -> DataFrame:
     """``(pair_id, res, status)`` of pairs ``(pair_id, db_id, predicted_sql, gold_sql)``.
 
-    Each statement is a Spark job of its own, so the work on its tables is
-    distributed; the driver only hands statements out, a few at a time, and
-    takes back one signature row per column. Errors and timeouts score 0 and
-    stop nothing else. Scores are appended to a table in batches; with a
-    ``path`` of your own, a repeated call scores only what is missing there.
+    The driver takes distinct statements, a database at a time, and hands out jobs of up to ``batch`` of
+    them, ``parallelism`` at once; no result or signature comes back to it. A job has the ``timeout`` of one
+    statement; if it is late or fails, its halves are tried. Errors and timeouts score 0.
+
+    With a ``path`` of your own, a repeated call scores only what is missing there. With
+    a ``store`` of your own, signatures are found again by later calls, so runs over the same
+    questions start no gold statement; ``version`` names the state of the databases there and has
+    to change with their data. Failures are not reused beyond a call, except those of
+    statements scored into the same ``path`` (a call that was broken off).
     """
-    scorer = PairScorer(spark, prepare, timeout, strict_duplicates)
     if path:
         parameter_table(spark, [], schemas.SCORE).write.mode("ignore").parquet(path)
         scored = spark.read.schema(schemas.SCORE).parquet(path).select("pair_id")
         pairs = pairs.join(scored, "pair_id", "left_anti")
+    own = f"{path.rstrip('/')}-statements" if path else new_table_path(spark, "statements")
+    good = store or own
+    for folder in {own, good}:
+        parameter_table(spark, [], schemas.SIGNATURE).write.mode("ignore").parquet(f"{folder}/none")
+
+    texts = pairs.select("pair_id", "db_id", *[F.coalesce(side, F.lit("")).alias(side) for side in ("predicted_sql", "gold_sql")])
+    keyed = texts.withColumns({
+        name: statement_key(F.col("db_id"), F.col(side), version, strict_duplicates)
+        for name, side in (("predicted", "predicted_sql"), ("gold", "gold_sql"))
+    })
+    both = [keyed.select("db_id", F.col(name).alias("key"), F.col(side).alias("text")) for name, side in (("predicted", "predicted_sql"), ("gold", "gold_sql"))]
+    known = _stored(spark, good).filter(F.col("status") == DONE).select("key")
+    if own != good:
+        known = known.unionByName(_stored(spark, own).select("key"))
     else:
-        path = new_table_path(spark, "scores")
-        parameter_table(spark, [], schemas.SCORE).write.parquet(path)
-    rows = pairs.select("pair_id", "db_id", "predicted_sql", "gold_sql").toLocalIterator()
+        known = _stored(spark, own).select("key") if path else known
+    wanted = both[0].unionByName(both[1]).dropDuplicates(["key"]).join(known, "key", "left_anti")
+    statements = wanted.orderBy("db_id", "key").select("db_id", "key", "text")
+
+    runner = StatementRunner(spark, prepare, timeout, strict_duplicates, good, batch)
+    failures: list[tuple] = []
+
+    def write_failures() -> None:
+        if failures:
+            parameter_table(spark, failures, schemas.SIGNATURE).write.parquet(f"{own}/failures-{uuid.uuid4().hex}")
+            failures.clear()
+
     with ThreadPoolExecutor(parallelism) as pool:
-        score = inheritable_thread_target(spark)(scorer.score)
-        results = _in_flight(pool, score, (tuple(row) for row in rows), parallelism)
-        for batch in _batches(results, _BATCH):
-            parameter_table(spark, batch, schemas.SCORE).write.mode("append").parquet(path)
+        work = inheritable_thread_target(spark)(runner.run)
+        for failed in _in_flight(pool, work, _batches(statements.toLocalIterator(prefetchPartitions=True), runner.size), parallelism):
+            failures += [(key, status, None) for key, status in failed]
+            if len(failures) >= _FAILURES:
+                write_failures()
+    write_failures()
+
+    found = _stored(spark, good) if own == good else _stored(spark, good).filter(F.col("status") == DONE).unionByName(_stored(spark, own))
+    scores = keyed.select("pair_id", "predicted", "gold")
+    for side in ("predicted", "gold"):
+        named = found.select(F.col("key").alias(side), F.col("status").alias(f"{side}_status"), F.col("signature").alias(f"{side}_signature"))
+        scores = scores.join(named, side)
+    same = F.col("predicted_signature") == F.col("gold_signature")
+    status = (
+        F.when(F.col("predicted_status") != DONE, F.col("predicted_status")).when(F.col("gold_status") != DONE, F.col("gold_status"))
+        .when(same, "match").otherwise("mismatch")
+    )
+    scores = scores.select("pair_id", status.alias("status")).select("pair_id", F.when(F.col("status") == "match", 1).otherwise(0).alias("res"), "status")
+    path = path or new_table_path(spark, "scores")
+    scores.write.mode("append").parquet(path)
     return spark.read.schema(schemas.SCORE).parquet(path)

@@ -44,6 +44,9 @@ RAW_REPLY = _struct(
     ("started", _TS), ("stopped", _TS), ("error", _STR),
 )
 SCORE = _struct(("pair_id", _LONG), ("res", _INT), ("status", _STR))
+# A statement of a job, and what is stored of it.
+STATEMENT = _struct(("number", _LONG), ("key", _STR), ("width", _INT))
+SIGNATURE = _struct(("key", _STR), ("status", _STR), ("signature", T.ArrayType(T.ArrayType(_LONG))))
 LONG_METRICS = _struct(
     ("environment", _STR), ("model", _STR), ("instruction", _INT), ("dataset_size", _INT),
     ("metric", _STR), ("hardness", _STR), ("value", _DBL),
