@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ids per block when rows are numbered by a dense integer id.
-ID_BLOCK = 100_000
+from evalspark.tables import kept
+
+# Rows of a range that one task sorts, and ranges of a group at most (a power of two).
+RANGE_ROWS = 1_000_000
+MOST_RANGES = 4096
 _SALTS = 512
 
 
@@ -44,32 +45,6 @@ def block_offsets(df: DataFrame, by: list[str], block: Column) -> DataFrame:
     )
 
 
-def first_by_block(df: DataFrame, by: list[str], order: list[Column], block: Column, k: int) -> DataFrame:
-    """The first ``k`` rows of each group for any ``k``.
-
-    ``block`` is an integer that rises with ``order``. Blocks are counted, the
-    block where each group reaches ``k`` is found, and only rows up to it are
-    shuffled, by (group, block). The cuts, one row per group, are joined the way
-    their size suggests to Spark.
-    """
-    cut = (
-        block_offsets(df, by, block)
-        .filter(F.col("_before") < k)
-        .groupBy(*by)
-        .agg(F.max("_block").alias("_cut"), F.max("_before").alias("_cut_before"))
-    )
-    renamed = cut.select(*[F.col(key).alias(f"_{key}") for key in by], "_cut", "_cut_before")
-    matches = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in by])
-    in_block = Window.partitionBy(*by, "_block").orderBy(*order)
-    return (
-        df.withColumn("_block", block)
-        .join(renamed, matches & (F.col("_block") <= F.col("_cut")))
-        .withColumn("_in_block", F.row_number().over(in_block))
-        .filter((F.col("_block") < F.col("_cut")) | (F.col("_in_block") <= k - F.col("_cut_before")))
-        .select(*df.columns)
-    )
-
-
 def positions(df: DataFrame, by: list[str], order: list[Column], block: Column, name: str = "position") -> DataFrame:
     """The 0-based position of every row in its group.
 
@@ -87,11 +62,81 @@ def positions(df: DataFrame, by: list[str], order: list[Column], block: Column,
     )
 
 
-def id_block(column: str = "question_id") -> Column:
-    """Block of a dense integer id (question ids are positions in the source)."""
-    return F.floor(F.col(column) / ID_BLOCK).cast("bigint")
+def measured_cuts(df: DataFrame, by: list[str], value: Column, rows: int = RANGE_ROWS) -> DataFrame:
+    """``(_group, _cuts, _parts)``: the values that cut each group into ranges of about ``rows`` rows.
+
+    A quantile sketch per group, reduced where the rows are read, gives the cuts, so that
+    ranges follow the rows and not the values: hashed ids take no more of them than
+    dense ones. ``_parts`` is how many ranges rows without a value need. The result has one row
+    per group and a number per range; it is written, as a sketch may come out
+    differently when it is computed again.
+    """
+    with_value, without = F.count("_value"), F.count(F.when(F.col("_value").isNull(), 1))
+    quantiles = F.percentile_approx("_value", [i / MOST_RANGES for i in range(1, MOST_RANGES)], 4 * MOST_RANGES)
+    counted = df.select(F.struct(*by).alias("_group"), value.alias("_value")).groupBy("_group").agg(
+        F.least(F.ceil(with_value / rows), F.lit(MOST_RANGES)).cast("int").alias("_ranges"),
+        F.greatest(F.least(F.ceil(without / rows), F.lit(MOST_RANGES)), F.lit(1)).cast("int").alias("_parts"),
+        quantiles.alias("_q"),
+    )
+    cut = lambda i: F.get("_q", F.floor(i * MOST_RANGES / F.col("_ranges")).cast("int") - 1)
+    cuts = F.when(F.col("_ranges") > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_ranges") - 1), cut)))
+    cuts = F.coalesce(cuts, F.array().cast("array<bigint>"))
+    return kept(counted.select("_group", cuts.alias("_cuts"), "_parts"), "range-cuts")
+
+
+def _with_range(df: DataFrame, by: list[str], value: Column, cuts: DataFrame) -> DataFrame:
+    """``df`` with ``_group`` and ``_range``: a binary search in the cuts, and ranges behind all others for rows without a value."""
+    spread = F.pmod(F.xxhash64(*df.columns), F.col("_parts")).cast("int")
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(MOST_RANGES.bit_length() - 1))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col("_value"), at + step).otherwise(at))
+    place = F.when(F.col("_value").isNull(), F.size("_cuts") + 1 + spread).otherwise(found)
+    keyed = df.select("*", F.struct(*by).alias("_group"), value.alias("_value")).join(cuts, "_group")
+    return keyed.select(*df.columns, "_group", place.alias("_range"))
+
+
+def _range_offsets(ranged: DataFrame) -> DataFrame:
+    """Rows per (group, range) and in the group's earlier ranges; a group has at most twice MOST_RANGES ranges."""
+    earlier = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_group", "_range").agg(F.count("*").alias("_rows"))
+    return counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+
+
+def ranged_positions(
+    df: DataFrame, by: list[str], value: Column, order: list[Column], name: str = "position", rows: int = RANGE_ROWS
+) -> DataFrame:
+    """The 0-based position of every row in its group; rows without a value come last.
+
+    ``value`` is a bigint that rises with ``order``. Rows are numbered inside measured ranges and
+    shifted by the rows of the earlier ones, so a group of any size and any
+    values is many tasks. The offsets meet the rows on the partitioning the numbering already
+    has. Rows with equal values are in one range.
+    """
+    ranged = _with_range(df, by, value, measured_cuts(df, by, value, rows))
+    in_range = Window.partitionBy("_group", "_range").orderBy(*order)
+    numbered = ranged.withColumn("_in_range", F.row_number().over(in_range))
+    offsets = _range_offsets(ranged).select("_group", "_range", "_before")
+    return numbered.join(offsets, ["_group", "_range"]).select(*df.columns, (F.col("_before") + F.col("_in_range") - 1).alias(name))
+
+
+def first_by_range(df: DataFrame, by: list[str], value: Column, order: list[Column], k: int, rows: int = RANGE_ROWS) -> DataFrame:
+    """The first ``k`` rows of each group for any ``k``; rows without a value come last.
+
+    The range where each group reaches ``k`` is found from counts, and only rows up to it are
+    shuffled, by (group, range).
+    """
+    ranged = _with_range(df, by, value, measured_cuts(df, by, value, rows))
+    cut = _range_offsets(ranged).filter(F.col("_before") < k).groupBy("_group").agg(
+        F.max("_range").alias("_cut"), F.max("_before").alias("_cut_before")
+    )
+    in_range = Window.partitionBy("_group", "_range").orderBy(*order)
+    return (
+        ranged.join(cut, "_group").filter(F.col("_range") <= F.col("_cut"))
+        .withColumn("_in_range", F.row_number().over(in_range))
+        .filter((F.col("_range") < F.col("_cut")) | (F.col("_in_range") <= k - F.col("_cut_before")))
+        .select(*df.columns)
+    )
 
 
-def hash_block(text: Column) -> Column:
-    """Block of a hexadecimal hash: its first three digits, so a task counts at most 4096 blocks per group."""
-    return F.conv(F.substring(text, 1, 3), 16, 10).cast("int")
+def hash_value(text: Column) -> Column:
+    """The first 15 digits of a hexadecimal hash as a number that rises with it."""
+    return F.conv(F.substring(text, 1, 15), 16, 10).cast("bigint")

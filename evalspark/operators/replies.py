@@ -82,15 +82,15 @@ def log_status_counts(records: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def parse_predictions(
-    rows: DataFrame, run: str = "run_id", text: str = "prediction", default_db: str = fixed.DEFAULT_DB
+    rows: DataFrame, run: str = "run_id", text: str = "prediction", default_db: str = fixed.DEFAULT_DB,
+    ranked_rows: int = ranking.RANGE_ROWS,
 ) -> DataFrame:
     """Prediction texts -> ``predicted_sql, db_id, pair_index``.
 
     Blank lines are left out, a missing text gets the default statement and
-    database, and the rest is numbered from 0 within its run.
+    database, and the rest is numbered from 0 within its run; rows without an id come last.
     """
     kept = rows.filter(F.col(text).isNull() | (lines.strip(F.col(text)) != ""))
     split = kept.withColumns(lines.split_prediction(lines.strip(F.col(text)), default_db))
-    return ranking.positions(
-        split.drop(text), [run], [F.col("question_id")], ranking.id_block(), "pair_index"
-    )
+    by_id = F.col("question_id")
+    return ranking.ranged_positions(split.drop(text), [run], by_id, [by_id], "pair_index", ranked_rows)

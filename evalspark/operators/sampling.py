@@ -35,24 +35,27 @@ def exclude_schemas(questions: DataFrame, patterns: list[str] = fixed.BAD_SCHEMA
 
 
 def _take_per_difficulty(
-    questions: DataFrame, k: int, order: list[Column], block: Column, levels: list[str]
+    questions: DataFrame, k: int, order: list[Column], value: Column, levels: list[str], rows: int
 ) -> DataFrame:
-    kept = keep_levels(questions, levels)
+    taken = keep_levels(questions, levels)
     # Only ids are ranked; the texts are read once more for the chosen ones. An id
-    # that several rows have is taken as often as it was chosen.
-    narrow = kept.select("question_id", "difficulty")
-    chosen = ranking.first_by_block(narrow, ["difficulty"], order, block, k)
-    times = chosen.groupBy("difficulty", "question_id").agg(F.count("*").alias("_times"))
-    repeat = Window.partitionBy("difficulty", "question_id").orderBy(F.lit(0))
-    found = kept.join(times, ["difficulty", "question_id"]).withColumn("_repeat", F.row_number().over(repeat))
+    # that several rows have is taken as often as it was chosen. The keys travel as one
+    # struct, as its equality also matches missing ids.
+    key = F.struct("difficulty", "question_id").alias("_key")
+    narrow = taken.select("difficulty", "question_id")
+    chosen = ranking.first_by_range(narrow, ["difficulty"], value, order, k, rows)
+    times = chosen.select(key).groupBy("_key").agg(F.count("*").alias("_times"))
+    repeat = Window.partitionBy("_key").orderBy(F.lit(0))
+    found = taken.select("*", key).join(times, "_key").withColumn("_repeat", F.row_number().over(repeat))
     return found.filter(F.col("_repeat") <= F.col("_times")).select(*questions.columns)
 
 
-def head_per_difficulty(questions: DataFrame, size: int, levels: list[str] = fixed.LEVELS) -> DataFrame:
-    """The first ``size // len(levels)`` questions of each difficulty, by id."""
-    return _take_per_difficulty(
-        questions, size // len(levels), [F.col("question_id")], ranking.id_block(), levels
-    )
+def head_per_difficulty(
+    questions: DataFrame, size: int, levels: list[str] = fixed.LEVELS, rows: int = ranking.RANGE_ROWS
+) -> DataFrame:
+    """The first ``size // len(levels)`` questions of each difficulty, by id; those without an id come last."""
+    by_id = F.col("question_id")
+    return _take_per_difficulty(questions, size // len(levels), [by_id], by_id, levels, rows)
 
 
 def sample_order(seed: int) -> Column:
@@ -60,14 +63,16 @@ def sample_order(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col("question_id").cast("string")))
 
 
-def equal_split(questions: DataFrame, size: int = 360, seed: int = 0, levels: list[str] = fixed.LEVELS) -> DataFrame:
+def equal_split(
+    questions: DataFrame, size: int = 360, seed: int = 0, levels: list[str] = fixed.LEVELS, rows: int = ranking.RANGE_ROWS
+) -> DataFrame:
     """A random sample of exactly ``size / len(levels)`` questions per difficulty, repeatable by seed.
 
-    A difficulty with fewer questions contributes all it has.
+    A difficulty with fewer questions contributes all it has; questions without an id come last.
     """
     draw = sample_order(seed)
     sample = _take_per_difficulty(
-        questions, size // len(levels), [draw, F.col("question_id")], ranking.hash_block(draw), levels
+        questions, size // len(levels), [draw, F.col("question_id")], ranking.hash_value(draw), levels, rows
     )
     return sample.withColumnsRenamed({"question_id": "index_in_original", "SQL": "sql_query"}).select(
         *QUESTION_SET_COLUMNS

@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.operators import ranking, sampling
+from evalspark.operators import ranking, replies, sampling
 
 KINDS = ["simple", "moderate", "challenging", "odd", None]
 
@@ -58,16 +58,17 @@ def test_positions(questions, data, block):
         f"Row(question_id={i}, difficulty={d!r}, position={p})" for d, ids in grouped(data).items() for p, i in enumerate(ids))
 
 
+@pytest.mark.parametrize("rows", [70, 1_000_000])
 @pytest.mark.parametrize("size", [30, 1_200, 9_000, 30_000])
-def test_head_per_difficulty(questions, data, size):
-    found = {r.question_id for r in sampling.head_per_difficulty(questions, size).collect()}
+def test_head_per_difficulty(questions, data, size, rows):
+    found = {r.question_id for r in sampling.head_per_difficulty(questions, size, rows=rows).collect()}
     groups = grouped(data)
     assert found == {i for d in KINDS[:3] for i in groups[d][: size // 3]}
 
 
 @pytest.mark.parametrize("size", [30, 1_200, 9_000, 30_000])
 def test_equal_split(questions, data, size):
-    sample = sampling.equal_split(questions, size, seed=5)
+    sample = sampling.equal_split(questions, size, seed=5, rows=300)
     assert sample.columns == sampling.QUESTION_SET_COLUMNS
     found = [r.index_in_original for r in sample.collect()]
     draw = lambda i: (hashlib.md5(f"5:{i}".encode()).hexdigest(), i)
@@ -101,3 +102,53 @@ def test_exclude_schemas(spark):
 def test_append_frames_aligns_by_name(spark):
     a, b = spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([("y", 2.0)], "b string, c double")
     assert [tuple(r) for r in sampling.append_frames(a, b).collect()] == [(1, "x", None), (None, "y", 2.0)]
+
+
+def hashed_ids(spark, n):
+    """Ids all over the 64-bit range, one run with most rows, and some rows without an id or a run."""
+    rows = spark.range(n).selectExpr("xxhash64(id) AS question_id", "CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 < 9 THEN concat('r', id % 3) END AS run_id", "id")
+    return rows.unionByName(rows.filter("id % 40 = 0").withColumn("question_id", F.lit(None).cast("bigint")))
+
+
+def test_ranges_follow_the_rows_and_not_the_ids(spark):
+    rows = hashed_ids(spark, 200_000)
+    cuts = ranking.measured_cuts(rows, ["run_id"], F.col("question_id"), 20_000)
+    assert {r._group.run_id: (len(r._cuts) + 1, r._parts) for r in cuts.collect()} == {"hot": (7, 1), "r0": (1, 1), "r1": (1, 1), "r2": (1, 1), None: (1, 1)}
+    ranged = ranking._with_range(rows, ["run_id"], F.col("question_id"), ranking.measured_cuts(rows, ["run_id"], F.col("question_id"), 2_000))
+    sizes = [r["count"] for r in ranged.groupBy("_group", "_range").count().collect()]
+    assert sum(sizes) == rows.count() and max(sizes) < 3_000 and len(sizes) < 140
+
+
+@pytest.mark.parametrize("per_range", [150, 1_000_000])
+def test_ranged_positions_number_every_row(spark, per_range):
+    rows = hashed_ids(spark, 6_000)
+    found = ranking.ranged_positions(rows, ["run_id"], F.col("question_id"), [F.col("question_id")], rows=per_range).collect()
+    groups = defaultdict(list)
+    for r in found:
+        groups[r.run_id].append((r.position, r.question_id))
+    assert len(found) == 6_150 and len(groups) == 5
+    for numbered in groups.values():
+        numbered.sort()
+        assert [p for p, _ in numbered] == list(range(len(numbered)))
+        ids = [i for _, i in numbered]
+        assert ids == sorted(ids, key=lambda i: (i is None, i or 0))
+
+
+@pytest.mark.parametrize("per_range", [40, 1_000_000])
+def test_rows_without_an_id_are_not_lost(spark, per_range):
+    rows = spark.createDataFrame(
+        [(i if i % 3 else None, "simple", "d", f"q{i}", None, "s", "x") for i in range(300)],
+        "question_id bigint, difficulty string, db_id string, question string, evidence string, schema string, sql_query string")
+    assert sampling.head_per_difficulty(rows, 300, ["simple"], rows=per_range).count() == 300
+    some = sampling.head_per_difficulty(rows, 220, ["simple"], rows=per_range).collect()
+    assert len(some) == 220 and sum(r.question_id is None for r in some) == 20
+    assert sampling.equal_split(rows, 250, levels=["simple"], rows=per_range).count() == 250
+    parsed = replies.parse_predictions(rows.selectExpr("'r' AS run_id", "question_id", "question AS prediction"), ranked_rows=per_range).collect()
+    assert sorted(r.pair_index for r in parsed) == list(range(300))
+    assert all(r.question_id is None for r in parsed if r.pair_index >= 200)
+
+
+def test_ranges_of_nothing(spark):
+    none = spark.createDataFrame([], "run_id string, question_id bigint")
+    assert ranking.ranged_positions(none, ["run_id"], F.col("question_id"), [F.col("question_id")]).collect() == []
+    assert ranking.first_by_range(none, ["run_id"], F.col("question_id"), [F.col("question_id")], 5).collect() == []
