@@ -47,6 +47,14 @@ def database_name(db_id: Column, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), db_id)
 
 
+def result_folder() -> Column:
+    """``env/shot/model/N_Instructions/M_Inferences[/K_size]`` out of the run's columns."""
+    size = F.when(F.col("dataset_size") != F.col("dataset_length"), F.concat(F.col("dataset_size").cast("string"), F.lit("_size")))
+    length = F.concat(F.col("dataset_length").cast("string"), F.lit("_Inferences"))
+    size_of = F.concat(F.col("instruction").cast("string"), F.lit("_Instructions"))
+    return F.concat_ws("/", "environment", "shot", "model", size_of, length, size)
+
+
 def path_dimensions(path: Column) -> dict[str, Column]:
     """Run dimensions out of ``env/shot/[org/]model/N_Instructions/M_Inferences[/K_size]/file``."""
 

@@ -126,7 +126,7 @@ def read_prediction_map(spark: SparkSession, path: str, per_line: bool = False)
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Execution-log records, one JSON object per line."""
-    return spark.read.schema(schemas.LOG_RECORD).json(path)
+    return spark.read.schema(schemas.LOG_RECORD).json(path).select(*schemas.LOG_RECORD.fieldNames())
 
 
 def read_line_bundle(spark: SparkSession, root: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark import schemas
 from evalspark.functions import lines
+from evalspark.sources.named_files import write_named
 
 
 def _csv(writer, path: str) -> None:
@@ -87,14 +89,57 @@ def write_prediction_maps(predictions: DataFrame, path: str, run: str = "run_id"
     _partitioned(maps.select(run, "value"), [run]).mode("overwrite").text(path)
 
 
-def append_rows(rows: DataFrame, path: str, dims: list[str]) -> None:
-    """Append predictions or metric rows to a table with the run dimensions as folders."""
-    _partitioned(rows, dims).mode("append").parquet(path)
+def write_results_tree(rows: DataFrame, root: str, order: str = "question_id") -> None:
+    """Metric rows as ``env/shot/model/N_Instructions/M_Inferences[/K_size]/metrics.csv``, as ``read_metrics`` reads them.
 
+    ``rows`` hold the run's columns ``environment, shot, model, instruction, dataset_length, dataset_size`` and the metric's.
+    """
+    names = schemas.METRIC.fieldNames()
+    path = F.concat_ws("/", lines.result_folder(), F.lit("metrics.csv"))
+    line = F.to_csv(F.struct(*names), {"escape": '"'})
+    write_named(rows.select(path.alias("path"), F.col(order).alias("ord"), line.alias("line")), root, header=",".join(names))
+
+
+def write_line_bundle(pairs: DataFrame, root: str, folder: str = "folder", line: str = "line") -> None:
+    """``predicted.txt`` and ``gold.txt`` per folder, in step line by line, as ``read_line_bundle`` reads them.
+
+    Line breaks and tabs in a statement become blanks; a missing prediction is an empty line.
+    """
+    flat = lambda name: F.translate(F.coalesce(name, F.lit("")), "\n\r\t", "   ")
+    files = F.array(
+        F.struct(F.lit("predicted.txt").alias("name"), flat("predicted_sql").alias("text")),
+        F.struct(F.lit("gold.txt").alias("name"), lines.gold_line(flat("gold_sql"), F.col("db_id")).alias("text")),
+    )
+    each = pairs.select(F.col(folder).alias("folder"), F.col(line).alias("ord"), F.explode(files).alias("file"))
+    write_named(each.select(F.concat_ws("/", "folder", "file.name").alias("path"), "ord", F.col("file.text").alias("line")), root)
+
+
+def append_rows(rows: DataFrame, path: str, dims: list[str], run: str | None = None) -> None:
+    """Add predictions or metric rows to a table with the run dimensions as folders.
 
-def append_log(records: DataFrame, path: str) -> None:
-    """Append log records as JSON lines."""
-    records.write.mode("append").json(path)
+    With ``run``, the column that names a run, each run has a folder of its own below its
+    dimensions, and writing it again replaces it: a repeated job leaves every row once. New folders are staged
+    and take their places when all tasks have ended, so a broken job changes nothing.
+    """
+    if run is None:
+        _partitioned(rows, dims).mode("append").parquet(path)
+    else:
+        _replaced(_partitioned(rows, [*dims, run])).parquet(path)
+
+
+def _replaced(writer):
+    return writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+
+
+def append_log(records: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add log records as JSON lines; a named ``batch`` has a folder of its own and replaces what it has written before.
+
+    A log is written either with batches or without.
+    """
+    if batch is None:
+        records.write.mode("append").json(path)
+    else:
+        _replaced(records.withColumn("batch", F.lit(batch)).write.partitionBy("batch")).json(path)
 
 
 def write_report(report: DataFrame, path: str, order: list[str] = ()) -> None:

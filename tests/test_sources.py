@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalspark import fixed_values as fixed
+from evalspark import schemas
 from evalspark import session as sessions
 from evalspark.operators import context, metrics, prompts
-from evalspark.sources import readers, writers
+from evalspark.sources import named_files, readers, writers
 
 
 def test_question_array(spark, tmp_path):
@@ -178,3 +180,80 @@ def test_shared_folder_is_required_on_a_cluster():
     assert sessions.shared_folder(Settings({"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
     with pytest.raises(ValueError):
         sessions.shared_folder(Settings({"spark.master": "yarn"}))
+
+
+# --- named files, runs and batches ------------------------------------------------------
+
+
+def metric_row_table(spark, n=40):
+    return spark.range(n).selectExpr(
+        "id AS question_id", "'open-ai' AS environment", "'0_shot' AS shot", "concat('m', id % 2) AS model", "5 AS instruction",
+        "360 AS dataset_length", "if(id % 4 = 0, 60, 360) AS dataset_size", "'0:00:02' AS response_time",
+        "id AS llm_prompt_tokens", "id + 1 AS llm_response_tokens", "if(id % 3 = 0, 'a \"quoted\", text', 'simple') AS hardness")
+
+
+def test_a_written_results_tree_reads_back(spark, tmp_path):
+    rows = metric_row_table(spark)
+    for _ in range(2):  # a repeated job replaces its files
+        writers.write_results_tree(rows, str(tmp_path))
+    names = sorted(str(path.relative_to(tmp_path)) for path in tmp_path.rglob("*") if path.is_file() and not path.name.startswith("."))
+    assert names == [f"open-ai/0_shot/m{m}/5_Instructions/360_Inferences/{size}metrics.csv" for m in (0, 1) for size in (["60_size/", ""] if m == 0 else [""])]
+    assert (tmp_path / names[1]).read_text().splitlines()[:2] == ["response_time,llm_prompt_tokens,llm_response_tokens,hardness", "0:00:02,2,3,simple"]
+    columns = [c for c in rows.columns if c != "question_id"]
+    assert sorted(map(tuple, readers.read_metrics(spark, str(tmp_path)).select(*columns).collect())) == sorted(map(tuple, rows.select(*columns).collect()))
+
+
+def test_a_written_line_bundle_reads_back(spark, tmp_path):
+    pairs = spark.createDataFrame(
+        [("a/b", 10, "SELECT\n1", "SELECT\t1", "d"), ("a/b", 2, None, "SELECT 2", "d"), ("c", 0, "SELECT 3", "SELECT 4", "e")],
+        "folder string, line bigint, predicted_sql string, gold_sql string, db_id string")
+    writers.write_line_bundle(pairs, str(tmp_path))
+    assert (tmp_path / "a/b/predicted.txt").read_text() == "\nSELECT 1\n" and (tmp_path / "a/b/gold.txt").read_text() == "SELECT 2\td\nSELECT 1\td\n"
+    found = readers.read_line_bundle(spark, str(tmp_path)).collect()
+    assert sorted((r.folder.split("/")[-1], r.line, r.predicted_sql, r.gold_sql, r.db_id) for r in found) == [
+        ("b", 1, "SELECT 1", "SELECT 1", "d"), ("c", 0, "SELECT 3", "SELECT 4", "e")]
+
+
+def test_a_failed_job_leaves_named_files_as_they_were(spark, tmp_path):
+    good = metric_row_table(spark)
+    writers.write_results_tree(good, str(tmp_path))
+    before = {path: path.read_text() for path in tmp_path.rglob("metrics.csv")}
+    broken = good.withColumn("hardness", F.expr("if(question_id = 33, raise_error('lost'), 'other')"))
+    with pytest.raises(Exception):
+        writers.write_results_tree(broken, str(tmp_path))
+    assert {path: path.read_text() for path in tmp_path.rglob("metrics.csv")} == before
+
+
+@pytest.mark.parametrize("path", ["../x.txt", "a//b", "/etc/x", "", None, "a/./b"])
+def test_names_stay_below_the_root(spark, tmp_path, path):
+    lines = spark.createDataFrame([(path, 0, "x")], "path string, ord bigint, line string")
+    with pytest.raises(Exception, match="below the root"):
+        named_files.write_named(lines, str(tmp_path / "root"))
+
+
+def test_no_lines_write_no_files(spark, tmp_path):
+    writers.write_results_tree(metric_row_table(spark, 0), str(tmp_path))
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []
+
+
+def test_writing_a_run_again_replaces_it(spark, tmp_path):
+    path, dims = str(tmp_path / "t"), ["environment", "model"]
+    rows = metric_row_table(spark).withColumn("run_id", F.concat(F.lit("r"), (F.col("question_id") % 3).cast("string")))
+    writers.append_rows(rows, path, dims, run="run_id")
+    writers.append_rows(rows.filter("run_id = 'r1'"), path, dims, run="run_id")
+    writers.append_rows(rows.filter("run_id = 'r2'").withColumn("hardness", F.lit("new")), path, dims, run="run_id")
+    read = spark.read.parquet(path)
+    assert read.count() == 40 and read.filter("hardness = 'new'").count() == rows.filter("run_id = 'r2'").count()
+    broken = rows.withColumn("hardness", F.expr("if(question_id = 7, raise_error('lost'), 'broken')"))
+    with pytest.raises(Exception):
+        writers.append_rows(broken, path, dims, run="run_id")
+    again = spark.read.parquet(path)
+    assert again.count() == 40 and again.filter("hardness = 'broken'").count() == 0
+
+
+def test_writing_a_log_batch_again_replaces_it(spark, tmp_path):
+    path = str(tmp_path / "log")
+    records = spark.range(6).selectExpr("'info' AS severity", "1 AS is_sql", "concat('m', id) AS message", "'r' AS response")
+    for batch in ("one", "two", "one"):
+        writers.append_log(records, path, batch=batch)
+    assert readers.read_log(spark, path).count() == 12 and readers.read_log(spark, path).columns == schemas.LOG_RECORD.fieldNames()
