@@ -182,7 +182,8 @@ def test_a_batch_looks_at_its_own_folder_only(spark, tmp_path):
     prompts(spark, ["c"], start=2).write.mode("append").parquet(str(source))
     run()
     assert calls(notes) == {"a": 1, "bad": 1, "c": 1}
-    assert [r.text for r in inference.read_replies(spark, str(table / "batch=1")).collect()] == ["SELECT c"]
+    later = str(table / "batch=[1-9]*")  # a batch without prompts may come between, to move the watermark
+    assert [r.text for r in inference.read_replies(spark, later).collect()] == ["SELECT c"]
 
 
 def test_metric_rows_carry_the_run(spark):
@@ -206,3 +207,95 @@ def test_each_length_has_its_own_questions(spark):
     assert {tuple(r) for r in counts} == {(60, 2), (360, 5)}
     with pytest.raises(ValueError):
         grids.with_sized_runs({60: sets[60]}, runs)
+
+
+# --- progress inside a task ---------------------------------------------------------------
+
+
+class Breaking:
+    """Answers a number of prompts and then ends its task."""
+
+    def __init__(self, folder, answers):
+        self.folder, self.left = folder, answers
+
+    def complete(self, request, max_tokens):
+        if not self.left:
+            raise SystemExit("lost")
+        self.left -= 1
+        return Echo(self.folder).complete(request, max_tokens)
+
+
+def test_a_second_attempt_asks_no_more_than_a_chunk_again(tmp_path):
+    import pandas as pd
+
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    batch = pd.DataFrame({"run_id": "r", "question_id": range(100), "prompt": ["bad" if i == 3 else f"q{i}" for i in range(100)]})
+    attempt = lambda client: pd.concat(inference._answers(iter([batch[:60], batch[60:]]), client, "prompt", 5, inference.Progress(str(tmp_path / "part")), 8))
+    with pytest.raises(SystemExit):
+        attempt(Breaking(str(notes), 77))
+    first = calls(notes)
+    found = attempt(Echo(str(notes)))
+    assert found["question_id"].tolist() == list(range(100)) and found["error"].notna().tolist() == [i == 3 for i in range(100)]
+    again = calls(notes) - Counter(dict.fromkeys(set(batch["prompt"]), 1))
+    assert sum(first.values()) == 77 and sum(again.values()) <= 8
+
+
+def test_a_broken_call_goes_on_from_what_its_tasks_kept(spark, tmp_path):
+    notes, path = tmp_path / "notes", str(tmp_path / "replies")
+    notes.mkdir()
+    folder = str(notes)
+    asked = prompts(spark, [f"q{i}" for i in range(60)])
+    with pytest.raises(Exception):
+        inference.infer_into(asked, lambda: Breaking(folder, 25), path, partitions=2, chunk=4)
+    first = sum(calls(notes).values())
+    assert first >= 25
+    found = inference.infer_into(asked, lambda: Echo(folder), path, partitions=3, chunk=4)
+    assert sorted(r.text for r in found.collect()) == sorted(f"SELECT q{i}" for i in range(60))
+    assert sum(calls(notes).values()) <= 60 + 2 * 4  # one chunk a task
+    assert not (tmp_path / "replies-progress").exists()
+
+
+# --- once over batches ----------------------------------------------------------------------
+
+
+def test_a_prompt_in_two_batches_is_asked_once(spark, tmp_path):
+    notes, source, path, state = (tmp_path / name for name in ("notes", "in", "out", "state"))
+    notes.mkdir()
+    folder = str(notes)
+    schema = "run_id string, question_id bigint, prompt string"
+
+    def arrive(texts):
+        prompts(spark, texts).coalesce(1).write.mode("append").parquet(str(source))
+
+    def answer(**more):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        query = answer_stream(stream, lambda: Echo(folder), str(path), str(state), by_batch=True, **more)
+        query.awaitTermination()
+        return query
+
+    arrive(["a", "b"])
+    arrive(["a", "b", "c"])
+    answer()
+    assert calls(notes) == Counter("abc")
+    arrive(["a", "b", "c", "d"])  # also in a later run of the stream
+    answer()
+    assert calls(notes) == Counter("abcd")
+    rows = inference.read_replies(spark, str(path))
+    assert rows.count() == 4 and spark.read.parquet(str(path)).count() == 4
+
+
+def test_the_state_of_a_stream_expires(spark, tmp_path):
+    import time
+
+    notes, source = tmp_path / "notes", tmp_path / "in"
+    notes.mkdir()
+    folder, held = str(notes), []
+    for number in range(4):
+        prompts(spark, [f"p{number}-{i}" for i in range(10)], start=100 * number).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("run_id string, question_id bigint, prompt string").parquet(str(source))
+        query = answer_stream(stream, lambda: Echo(folder), str(tmp_path / "out"), str(tmp_path / "state"), by_batch=True, remember="1 second")
+        query.awaitTermination()
+        held.append(max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]))
+        time.sleep(2)
+    assert sum(calls(notes).values()) == 40 and held[-1] < 40
