@@ -466,4 +466,12 @@ FROM (SELECT n_nationkey,
                WHEN 3 THEN 'error'
                ELSE CASE WHEN count(*) FILTER (WHERE NOT c_mktsegment <> 'BUILDING') = 0 THEN 'match' ELSE 'mismatch' END END AS status
       FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey)""",
+        "score_many_pairs": """
+SELECT CAST(s_suppkey AS BIGINT) AS pair_id, CAST(status = 'match' AS INTEGER) AS res, status
+FROM (SELECT s_suppkey,
+             CASE s_suppkey % 4
+               WHEN 1 THEN CASE WHEN count(*) FILTER (WHERE NOT o_totalprice > 50000) = 0 THEN 'match' ELSE 'mismatch' END
+               WHEN 2 THEN 'error'
+               ELSE 'match' END AS status
+      FROM supplier LEFT JOIN orders ON o_custkey % 977 = s_suppkey % 977 GROUP BY s_suppkey)""",
     }

@@ -571,3 +571,25 @@ def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.table(session, sf_dir, "customer").createOrReplaceTempView("customer")
 
     return scoring.score_sql(spark, pairs, prepare=prepare, parallelism=8)
+
+
+@registered
+def score_many_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair per supplier with statements of its own over the orders: many more pairs than jobs."""
+    key = F.col("s_suppkey")
+    where = F.concat(F.lit(" FROM orders WHERE o_custkey % 977 = "), key.cast("string"), F.lit(" % 977"))
+    predicted = (
+        F.when(key % 4 == 0, F.concat(F.lit("SELECT o_totalprice * 1, o_orderkey AS k"), where, F.lit(" ORDER BY 1")))
+        .when(key % 4 == 1, F.concat(F.lit("SELECT o_orderkey, o_totalprice"), where, F.lit(" AND o_totalprice > 50000")))
+        .when(key % 4 == 2, F.concat(F.lit("SELECT o_orderkey, o_total"), where))
+        .otherwise(F.concat(F.lit("WITH o AS (SELECT *"), where, F.lit(") SELECT o_orderkey, o_totalprice FROM o")))
+    )
+    pairs = views.table(spark, sf_dir, "supplier").select(
+        key.cast("bigint").alias("pair_id"), F.lit("shop").alias("db_id"), predicted.alias("predicted_sql"),
+        F.concat(F.lit("SELECT o_orderkey, o_totalprice"), where).alias("gold_sql"),
+    )
+
+    def prepare(session: SparkSession, _: str) -> None:
+        views.table(session, sf_dir, "orders").createOrReplaceTempView("orders")
+
+    return scoring.score_sql(spark, pairs, prepare=prepare)

@@ -113,6 +113,20 @@ SELECT k.environment, k.model, CAST(k.instruction AS INTEGER) AS instruction, ha
 FROM (SELECT DISTINCT {accuracy_keys} FROM sized) k CROSS JOIN levels
 LEFT JOIN sized s ON s.environment = k.environment AND s.dataset_size = k.dataset_size AND (s.difficulty = hardness OR hardness = 'total')
 GROUP BY k.environment, k.model, k.instruction, hardness, k.shot, k.dataset_size""",
+        "run_store": f"""{with_(METRIC_ROWS)}
+SELECT 'r' || CAST(question_id % 2 AS VARCHAR) AS run_id, question_id, environment, model, instruction, response_time, hardness FROM timed""",
+        "log_batches": f"""{with_(REPLY_ROWS, OUTCOMES)}
+SELECT severity, is_sql, count(*) AS records FROM outcomes GROUP BY severity, is_sql""",
+        "results_tree": f"""{with_(METRIC_ROWS)}
+SELECT response_time, llm_prompt_tokens, llm_response_tokens, hardness, environment, CASE question_id % 2 WHEN 0 THEN '0_shot' ELSE '4_shot_cot' END AS shot,
+       model, instruction, CAST(360 AS INTEGER) AS dataset_length, CAST(CASE question_id % 4 WHEN 1 THEN 60 ELSE 360 END AS INTEGER) AS dataset_size
+FROM timed""",
+        "line_bundle": f"""{with_(QUESTION_ROWS)}
+SELECT * FROM (
+  SELECT CAST(question_id % 3 AS VARCHAR) AS folder, CAST(row_number() OVER (PARTITION BY question_id % 3 ORDER BY question_id) - 1 AS INTEGER) AS line,
+         CASE WHEN question_id % 7 <> 0 THEN sql_query || '  LIMIT ' || CAST(question_id % 5 AS VARCHAR) END AS predicted_sql, sql_query AS gold_sql, db_id
+  FROM question_rows)
+WHERE predicted_sql IS NOT NULL""",
         "pivot_file": f"{oracle.REPORT} {pivots['listed']}",
         "pivot_cost_total": f"""{oracle.REPORT}
 SELECT model, environment, {totals} FROM long_report WHERE {oracle.COSTS} GROUP BY model, environment""",

@@ -141,3 +141,52 @@ def pivot_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pivot_cost_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     pivot = _pivot_file(spark, reports.pivot_cost_total(queries._long_report(spark, sf_dir)), "pivot-cost")
     return pivot.withColumns(queries._round(*[name for name, kind in pivot.dtypes if kind == "double"]))
+
+
+@registered
+def results_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric files under the names of their runs, found again by their paths."""
+    path = new_table_path(spark, "results")
+    q = F.col("question_id")
+    rows = views.metric_rows(spark, sf_dir).withColumns({
+        "shot": F.when(q % 2 == 0, "0_shot").otherwise("4_shot_cot"), "dataset_length": F.lit(fixed.FULL_SIZE),
+        "dataset_size": F.when(q % 4 == 1, 60).otherwise(fixed.FULL_SIZE),
+    })
+    writers.write_results_tree(rows, path)
+    return readers.read_metrics(spark, path).drop("path")
+
+
+@registered
+def line_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted and gold lines of three runs; blank predictions leave their pair out."""
+    path = new_table_path(spark, "bundle")
+    q = F.col("question_id")
+    pairs = views.question_rows(spark, sf_dir).select(
+        F.concat(F.lit("run/"), (q % 3).cast("string")).alias("folder"), q.alias("line"), "db_id", F.col("sql_query").alias("gold_sql"),
+        F.when(q % 7 != 0, F.concat(F.col("sql_query"), F.lit("\n\tLIMIT "), (q % 5).cast("string"))).alias("predicted_sql"),
+    )
+    writers.write_line_bundle(pairs, path)
+    run = F.regexp_extract("folder", "run/([^/]+)$", 1)
+    return readers.read_line_bundle(spark, path).withColumn("folder", run)
+
+
+@registered
+def run_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs, the first of them written a second time: every row is there once."""
+    path = new_table_path(spark, "run-store")
+    dims = ["environment", "model", "instruction", "shot"]
+    rows = views.metric_rows(spark, sf_dir).withColumns({"shot": F.lit("0_shot"), "run_id": F.concat(F.lit("r"), (F.col("question_id") % 2).cast("string"))})
+    for some in (rows, rows.filter("run_id = 'r0'")):
+        writers.append_rows(some, path, dims, run="run_id")
+    return readers.read_partitioned_metrics(spark, path).select("run_id", "question_id", "environment", "model", "instruction", "response_time", "hardness")
+
+
+@registered
+def log_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log records of two batches, each written twice, counted."""
+    path = new_table_path(spark, "log-batches")
+    outcomes = replies.with_outcome(views.reply_rows(spark, sf_dir))
+    records = outcomes.select("question_id", "severity", "is_sql", "message", F.col("reply").alias("response"))
+    for number in (0, 1, 0, 1):
+        writers.append_log(records.filter(F.col("question_id") % 2 == number).drop("question_id"), path, batch=f"b{number}")
+    return replies.log_status_counts(readers.read_log(spark, path))
