@@ -229,6 +229,7 @@ COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 def test_collocations(spark, monkeypatch, slice_bytes):
     rows = phrase_rows()
     monkeypatch.setattr(phrases, "_SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(phrases, "_REGION_WORDS", slice_bytes)  # one region a language, or several
     docs = spark.createDataFrame([(t, g, "s", 1, "w") for t, g in rows], "text string, lang string, slice string, id int, word string").repartition(5)
     for least, top in ((20, 2000), (4, 25)):
         got = phrases.collocations(docs, min_count=least, top=top).select(*COLUMNS).collect()
@@ -245,20 +246,21 @@ def test_collocations_of_nothing(spark):
 
 def test_tiles_and_coo_count_alike(monkeypatch):
     r = np.random.default_rng(6)
-    x = np.minimum(r.zipf(1.3, 60_000), 2**33).astype(np.int64)
+    x = np.minimum(r.zipf(1.3, 60_000), 2**31 - 1).astype(np.int64)
     y = np.minimum(r.zipf(1.3, 60_000), 40_000).astype(np.int64)
-    want = Counter(zip(x.tolist(), y.tolist()))
+    want = Counter(((x << 32) | y).tolist())
     for dense in (1, 500, 10**9):
         monkeypatch.setattr(phrases, "_DENSE", dense)
-        for keep in (np.ones(len(x), bool), x < 2**31):
-            got = phrases.count_pairs(x[keep], y[keep])
-            assert dict(zip(zip(got[0].tolist(), got[1].tolist()), got[2].tolist())) == {p: n for p, n in want.items() if p[0] < 2**31 or keep.all()}
+        codes, counts = phrases.count_pairs(x, y)
+        assert (np.diff(codes) > 0).all() and dict(zip(codes.tolist(), counts.tolist())) == want
+    assert [len(c) for c in phrases.count_pairs(x[:0], y[:0])] == [0, 0]
 
 
-def test_ids_beyond_31_bits_find_their_pairs():
-    ids = np.array([2**40, 7, 2**40, -1, 7, 2**40, 5])
-    got = phrases.pair_ids(ids, np.array([2**40, 7]), np.array([7, 2**40]), np.array([10, 2**41]))
-    assert got.tolist() == [10, 2**41, -1, -1, 2**41, -1]
+def test_neighbours_get_the_ids_of_their_pair():
+    ids = np.array([2**31 - 1, 7, 2**31 - 1, -1, 7, 2**31 - 1, 5])
+    keys = np.array([(7 << 32) | (2**31 - 1), ((2**31 - 1) << 32) | 7])
+    got = phrases.pair_ids(ids, keys, np.array([10, 11]))
+    assert got.tolist() == [11, 10, -1, -1, 10, -1]
     assert phrases.trimmed(np.array([-1, 3, -1, -1, 4, 5, -1, -1, 6, 7])).tolist() == [4, 5, -1, 6, 7]
 
 
