@@ -15,6 +15,7 @@ from evalspark.session import new_table_path
 # Words of every contract are runs of other characters than these (bytes.split() splits on the same).
 WORD = r"[^\x20\x09-\x0D]+"
 _SLICE_BYTES = 2_000_000
+_ENTRY_BYTES = 150  # of a dictionary's entry besides what its key and value hold
 
 
 def keep_table(df: DataFrame, name: str) -> DataFrame:
@@ -41,13 +42,13 @@ def words_of(text: str) -> list[bytes]:
 class Memory(dict):
     """A dictionary that computes missing values and holds at most two generations of them.
 
-    When the young generation is full it becomes the old one, and what is still
-    in use moves over again. Only speed depends on the size.
+    A generation is full at ``room`` bytes of keys and values (texts or bytes), whatever their number. Then
+    it becomes the old one, and what is still in use moves over again. Only speed depends on the size.
     """
 
-    def __init__(self, compute, generation: int = 250_000):
+    def __init__(self, compute, room: int = 40_000_000):
         super().__init__()
-        self.compute, self.generation, self.old = compute, generation, {}
+        self.compute, self.room, self.old, self.held = compute, room, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -57,10 +58,12 @@ class Memory(dict):
         return value
 
     def put(self, key, value) -> None:
-        if len(self) >= self.generation:
+        if self.held >= self.room:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[key] = value
+        self.held += len(key) + len(value) + _ENTRY_BYTES
 
     def unknown(self, keys: Iterable) -> list:
         """The distinct keys without a value."""
@@ -112,14 +115,32 @@ def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, n
     return mix(np.add.reduceat(value, at)), np.diff(np.concatenate([[0], upto]))
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def numbered_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of all texts as places in a list of distinct words, each text's number of words, and that list.
+
+    Blanks are squeezed out, and what is left is an Arrow array of words that its dictionary encoding
+    numbers: no word is an object of its own.
+    """
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[raw]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    data = raw[~space]
+    offsets = np.append(np.flatnonzero(begins[~space]), len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(np.flatnonzero(begins), ends)
+    return words.indices.to_numpy(), np.diff(np.concatenate([[0], upto])), words.dictionary
+
+
+def slices(batch: pa.RecordBatch, text: str, size: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a few megabytes of text each, so that what a task holds stays small."""
     column = batch.column(text)
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)))
     at = 0
     while at < batch.num_rows:
         before = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, before + _SLICE_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(sizes, before + size, "right")))
         yield batch.slice(at, end - at)
         at = end
 

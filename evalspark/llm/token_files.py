@@ -24,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 from pyspark import TaskContext
@@ -31,21 +32,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.bpe import byte_alphabet
-from evalspark.llm.common import Memory, keep_table, slices
+from evalspark.llm.common import keep_table, numbered_words, slices
 from evalspark.session import new_table_path
 
 INDEX = "block int, path string, n_ids long, width int"
 ROWS = "block int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
-_END_OF_WORD = b"\xff"  # no UTF-8 text holds this byte
+_SLICE_BYTES = 8_000_000  # texts whose distinct words are encoded together
+_END = "\0"  # stands for the end of a run of characters; words that hold it are left to the library
+
+_NOT_PLAIN = regex.compile(f"[{_END}\u0250-\U0010ffff]")
 
 
 class WordBpe:
     """Encodes with a vocabulary that marks word ends and drops white space.
 
     White space always ends a word here, so a text's ids are those of its words
-    one after the other, and a repeated word is looked up. A new word in Latin
-    letters is normalised and merged directly by merge rank; any other word, and
-    any vocabulary file of another kind, goes through the library as it is.
+    one after the other. The distinct words of some texts are encoded
+    together: those in Latin letters as one text that is normalised and split at once and
+    merged directly by merge rank, the others, and any vocabulary file of another kind, by the library as it is.
+    Nothing is kept from one call to the next.
     """
 
     def __init__(self, path: str):
@@ -65,16 +70,15 @@ class WordBpe:
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and [c.get("type") for c in cutters] == ["Split", "ByteLevel"] and bool(spec["model"].get("end_of_word_suffix"))
         self.ranked = None
         if self.by_word:
-            self.pattern = regex.compile(cutters[0]["pattern"]["Regex"])
+            # Runs get a mark behind them; a line end, which no word holds, tells words apart.
+            self.runs = regex.compile(f"{cutters[0]['pattern']['Regex']}|\n")
             self.ranked = self._ranked(spec["model"], vocab)
-        self.runs = Memory(lambda run: self.ranked(run.encode() + _END_OF_WORD))
-        self.words = Memory(self._word)
 
     def _ranked(self, model: dict, vocab: dict):
         """Merging by rank, if ids are in merge order and every token encodes to itself."""
         import tiktoken
 
-        suffix, alphabet = model["end_of_word_suffix"], byte_alphabet()
+        suffix, alphabet, end = model["end_of_word_suffix"], byte_alphabet(), _END.encode()
         merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         if merged != sorted(set(merged)):
             return None
@@ -82,24 +86,52 @@ class WordBpe:
         for token, i in vocab.items():
             if token not in self.added:
                 ends = token.endswith(suffix) and token != suffix
-                core = token[: -len(suffix)] if ends else token
-                ranks[bytes(alphabet[c] for c in core) + (_END_OF_WORD if ends else b"")] = i
-        encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        return encode if all(encode(raw) == [i] for raw, i in ranks.items()) else None
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
-        if self.ranked is None or max(text) >= "ɐ" or any(a in text for a in self.added):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        else:
-            ids = [i for run in self.pattern.findall(text.lower()) for i in self.runs[run]]
-        return np.array(ids, self.dtype).tobytes()
+                core = bytes(alphabet[c] for c in (token[: -len(suffix)] if ends else token))
+                if end not in core or len(core) == 1:
+                    ranks[core + end * ends] = i
+        encoding = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
+        return encoding if all(encoding._encode_single_piece(raw) == [i] for raw, i in ranks.items()) else None
+
+    def _by_rank(self, lines: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in Latin letters, one a line, and how many each has: runs and line ends go through in one call."""
+        runs = self.runs.findall(lines.lower())
+        ids = np.array(self.ranked.encode_ordinary(_END.join(runs) + _END), self.dtype)
+        between = ids == self.ranked._encode_single_piece(f"\n{_END}".encode())[0]
+        ends = np.append(np.flatnonzero(between), len(ids))
+        return ids[~between], np.diff(ends, prepend=-1) - 1
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, and where each word's begin and how many they are."""
+        together = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py()
+        if self._is_plain(together):
+            ids, sizes = self._by_rank(together)
+            return ids, np.cumsum(sizes) - sizes, sizes
+        texts = together.split("\n")
+        plain = np.array([self._is_plain(t) for t in texts])
+        order = np.argsort(~plain, kind="stable")  # those in Latin letters first
+        ids, sizes = self._by_rank("\n".join(t for t, p in zip(texts, plain) if p)) if plain.any() else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        others = [e.ids for e in self.library.encode_batch([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)]
+        ids = np.concatenate([ids, *[np.array(o, self.dtype) for o in others]])
+        sizes = np.concatenate([sizes, [len(o) for o in others]]).astype(np.int64)
+        place = np.argsort(order)
+        return ids, (np.cumsum(sizes) - sizes)[place], sizes[place]
+
+    def _is_plain(self, text: str) -> bool:
+        return self.ranked is not None and not _NOT_PLAIN.search(text) and not any(a in text for a in self.added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text in this vocabulary's width, little-endian."""
-        if not self.by_word:
+        if not texts or not self.by_word:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        return [b"".join(map(self.words.__getitem__, t.encode("utf-8").split())) for t in texts]
+        codes, n_words, words = numbered_words([t.encode("utf-8") for t in texts])
+        if not len(words):
+            return [b""] * len(texts)
+        ids, starts, sizes = self._encoded(words)
+        sizes = sizes[codes]
+        ends = np.cumsum(sizes)  # where each word's ids end in the result
+        raw = ids[np.repeat(starts[codes] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])] * self.dtype.itemsize
+        return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 @cache
@@ -202,7 +234,7 @@ def write_token_files(
         block = TaskContext.get().partitionId()
         path = f"{folder}/block-{block:06d}-{uuid.uuid4().hex}.arrow"
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", _SLICE_BYTES):
                 if out is None and batch.num_rows:
                     store, inner = pa.fs.FileSystem.from_uri(path)
                     store.create_dir(os.path.dirname(inner), recursive=True)
