@@ -2,11 +2,12 @@
 
 Lines are parsed as log lines are: fields with a digit become ``<*>``, and a tree of
 fixed depth leads from the number of words over the leading words to a leaf.
-Within a leaf, each position keeps its most common word if at least half of the
-leaf's lines agree on it and becomes ``<*>`` otherwise; lines that agree with this
-template on enough of their words behind the leading ones belong to it, where fields
-count neither for nor against. The rest of the leaf goes through
-a second round; what is left after that is a template of its own, word by word.
+Within a leaf, a word is fixed at its position if enough of the leaf's lines have it there, and becomes
+``<*>`` otherwise. "Enough" begins with the number of documents that makes a template recur and doubles
+step by step: each step gives a line a wider template, as long as enough of its words behind the leading ones stay
+fixed, where fields count neither for nor against. A line belongs to the narrowest of its templates
+that recurs. So a leaf has as many templates as its lines show, equally frequent ones included, and no
+order of lines or templates plays a part.
 
 A template must have at least as many fixed words with a letter as it has ``<*>``.
 Lines without such a template (bare numbers, identifiers, table rows) never recur.
@@ -16,12 +17,14 @@ everywhere but in the first document (by id) that has it. Documents with the sam
 text count as one, so that copies of a document do not make its lines boilerplate.
 
 Everything is grouping and joining on hashes of templates. Lines are reduced to
-distinct ones per leaf before anything is exploded, so a frequent line is one row.
+distinct ones per leaf before anything is exploded, so a frequent line is one row, and leaves
+are never gathered: words are counted by (leaf, position, word), and a template is the leaf with an order-free
+hash of its fixed words and their positions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import keep_table, packed, unpacked
@@ -29,7 +32,7 @@ from evalspark.llm.common import keep_table, packed, unpacked
 DEPTH = 3
 MIN_DOCUMENTS = 10
 SIMILARITY = 0.75
-ROUNDS = 2
+_SALTS = 16
 _FIELD = r"\S*\d\S*"
 
 
@@ -39,18 +42,6 @@ def masked_line(line: Column) -> Column:
     return F.when(blanks.rlike(r"\d"), F.regexp_replace(blanks, _FIELD, "<*>")).otherwise(blanks)
 
 
-def _tells(words: Column) -> Column:
-    """Whether a template has as many fixed words with a letter as fields."""
-    value = lambda w: F.when(w == "<*>", -1).when(w.rlike(r"\p{L}"), 1).otherwise(0)
-    return F.aggregate(F.transform(words, value), F.lit(0), lambda x, y: x + y) >= 0
-
-
-def _agrees(words: Column, shape: Column, similarity: float) -> Column:
-    """Whether enough of the words are those of the template; places with a field in both are left out."""
-    value = lambda a, b: F.when((a == "<*>") & (b == "<*>"), 0.0).when(a == b, 1.0 - similarity).otherwise(-similarity)
-    return F.aggregate(F.zip_with(words, shape, value), F.lit(0.0), lambda x, y: x + y) >= -1e-9
-
-
 def _lines(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
     """One row per line with words: copy (hash of the text), doc, pos, line, leaf, h."""
     value = F.col(f"`{text}`").cast("string")
@@ -60,65 +51,83 @@ def _lines(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
     return rows.select("doc", "copy", "pos", "line", F.xxhash64(words, F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("h"))
 
 
-def line_templates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH,
-    min_documents: int = MIN_DOCUMENTS, similarity: float = SIMILARITY, rounds: int = ROUNDS,
-) -> DataFrame:
-    """doc, copy, pos, template (hash): every line with a telling template, of a leaf that occurs in enough documents."""
-    lines = _lines(docs, doc_id, text, depth)
-    # A template is never wider than its leaf, so leaves with too few lines are left out first.
-    narrow = keep_table(lines.select("doc", "copy", "pos", "leaf", "h"), "line-hashes")
-    leaves = narrow.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents).select("leaf")
-    busy = keep_table(narrow.join(leaves, "leaf", "left_semi"), "line-busy")
-    # One line stands for all equal ones; its words are looked up where it occurs first.
+def _distinct_lines(docs: DataFrame, busy: DataFrame, doc_text: Column) -> DataFrame:
+    """leaf, h, weight (lines), words: one row for all equal lines; their words are looked up where one occurs first."""
     firsts = busy.groupBy("leaf", "h").agg(F.count("*").alias("weight"), F.min(F.struct("copy", "pos")).alias("at"))
     firsts = firsts.select("leaf", "h", "weight", F.col("at.copy").alias("copy"), F.col("at.pos").alias("pos"))
     wanted = firsts.groupBy("copy").agg(F.collect_set("pos").alias("picked")).withColumnRenamed("copy", "w_copy")
-    value = F.col(f"`{text}`").cast("string")
-    texts = docs.select(F.xxhash64(value).alias("copy"), value.alias("text")).join(wanted, F.col("copy") == F.col("w_copy"))
+    texts = docs.select(F.xxhash64(doc_text).alias("copy"), doc_text.alias("text")).join(wanted, F.col("copy") == F.col("w_copy"))
     picked = texts.select("copy", F.explode("picked").alias("pos"), F.split("text", "\n").alias("all")).select("copy", "pos", masked_line(F.element_at("all", F.col("pos") + 1)).alias("line"))
-    left = keep_table(
-        firsts.join(picked.dropDuplicates(["copy", "pos"]), ["copy", "pos"]).select("leaf", "h", "weight", F.split("line", " ").alias("words")), "line-distinct",
+    return firsts.join(picked.dropDuplicates(["copy", "pos"]), ["copy", "pos"]).select("leaf", "h", "weight", F.split("line", " ").alias("words"))
+
+
+def _candidates(distinct: DataFrame, depth: int, least: int, similarity: float) -> DataFrame:
+    """leaf, h, weight, template, step: the templates of each line, the narrowest first."""
+    words = distinct.select("leaf", "h", "weight", F.posexplode("words").alias("p", "word")).filter((F.col("p") >= depth) & (F.col("word") != "<*>"))
+    common = words.groupBy("leaf", "p", "word").agg(F.sum("weight").alias("n")).filter(F.col("n") >= least)
+    fixed = words.join(common, ["leaf", "p", "word"]).groupBy("leaf", "h").agg(
+        F.collect_list(F.struct("n", F.xxhash64("p", "word").alias("code"), F.col("word").rlike(r"\p{L}").alias("letter"))).alias("fixed")
+    )
+    behind = F.slice("words", depth + 1, F.greatest(F.size("words") - depth, F.lit(0)))
+    facts = distinct.select(
+        "leaf", "h", "weight", F.size(F.filter(behind, lambda w: w != "<*>")).alias("n_words"), F.size(F.filter("words", lambda w: w == "<*>")).alias("n_fields"),
+        F.size(F.filter(F.slice("words", 1, depth), lambda w: w.rlike(r"\p{L}"))).alias("n_leading"),
     )
-    given = []
-    for i in range(rounds):
-        total = left.groupBy("leaf").agg(F.sum("weight").alias("total"), F.count("*").alias("distinct")).filter("distinct > 1")
-        words = left.select("leaf", "weight", F.posexplode("words").alias("p", "word")).groupBy("leaf", "p", "word").agg(F.sum("weight").alias("n"))
-        best = words.groupBy("leaf", "p").agg(F.max(F.struct("n", "word")).alias("best")).join(total, "leaf")
-        common = F.when(F.col("best.n") * 2 >= F.col("total"), F.col("best.word")).otherwise(F.lit("<*>"))
-        shape = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("p", common.alias("word")))).alias("shape")).select("leaf", F.col("shape.word").alias("shape"))
-        behind = [F.slice(c, depth + 1, F.greatest(F.size(c) - depth, F.lit(0))) for c in ("words", "shape")]
-        fit = F.col("shape").isNotNull() & _agrees(*behind, similarity) & _tells(F.col("shape"))
-        scored = left.join(shape, "leaf", "left").withColumn("fits", F.coalesce(fit, F.lit(False)))
-        scored = keep_table(scored, f"line-round-{i}")
-        given.append(scored.filter("fits").select("leaf", "h", F.xxhash64(F.lit(i), F.col("leaf")).alias("template")))
-        left = scored.filter(~F.col("fits")).select("leaf", "h", "weight", "words")
-    given.append(left.filter(_tells(F.col("words"))).select("leaf", "h", F.xxhash64(F.lit(-1), F.col("leaf"), F.col("h")).alias("template")))
-    templates = given[0]
-    for more in given[1:]:
-        templates = templates.unionByName(more)
-    return busy.join(templates, ["leaf", "h"]).select("doc", "copy", "pos", "template")
-
-
-def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, **settings) -> DataFrame:
+    lines = facts.join(fixed, ["leaf", "h"], "left").withColumn("fixed", F.coalesce("fixed", F.array().cast("array<struct<n:bigint,code:bigint,letter:boolean>>")))
+    # A word that is not common cannot be fixed in a template that recurs.
+    lines = lines.filter(F.size("fixed") >= F.col("n_words") * similarity - 1e-9)
+    steps = F.floor(F.log2(F.coalesce(F.array_max(F.transform("fixed", lambda x: x["n"])), F.lit(least)) / least)).cast("int")
+    lines = lines.withColumn("step", F.explode(F.sequence(F.lit(0), steps)))
+    kept = F.filter("fixed", lambda x: x["n"] >= least * F.pow(F.lit(2.0), F.col("step")))
+    lines = lines.withColumn("kept", kept).filter(F.size("kept") >= F.col("n_words") * similarity - 1e-9)
+    n_open = F.col("n_fields") + F.col("n_words") - F.size("kept")
+    lines = lines.filter(F.col("n_leading") + F.size(F.filter("kept", lambda x: x["letter"])) >= n_open)
+    code = F.aggregate("kept", F.lit(0).cast("bigint"), lambda x, y: x.bitwiseXOR(y["code"]))
+    return lines.select("leaf", "h", "weight", F.xxhash64("leaf", F.size("kept"), code).alias("template"), "step")
+
+
+def line_templates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH,
+    min_documents: int = MIN_DOCUMENTS, similarity: float = SIMILARITY,
+) -> DataFrame:
+    """doc, copy, pos, template (hash): every line of a template that occurs in enough different texts."""
+    value = F.col(f"`{text}`").cast("string")
+    narrow = keep_table(_lines(docs, doc_id, text, depth).select("doc", "copy", "pos", "leaf", "h"), "line-hashes")
+    # A template is never wider than its leaf, so leaves with too few lines are left out first.
+    # A leaf may hold a good part of all lines: it meets them in several places.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    leaves = narrow.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents).select("leaf", salts.alias("salt"))
+    salted = narrow.withColumn("salt", F.pmod("h", F.lit(_SALTS)).cast("int"))
+    busy = keep_table(salted.join(leaves, ["leaf", "salt"], "left_semi").drop("salt"), "line-busy")
+    distinct = keep_table(_distinct_lines(docs, busy, value), "line-distinct")
+    given = keep_table(_candidates(distinct, depth, min_documents, similarity), "line-candidates")
+    # Lines are counted first, on few rows; then the texts that hold them.
+    often = given.groupBy("template").agg(F.sum("weight").alias("n")).filter(F.col("n") >= min_documents).select("template")
+    given = given.join(often, "template", "left_semi").select("leaf", "h", "template", "step")
+    spread = busy.join(given, ["leaf", "h"]).select("template", "copy").distinct().groupBy("template").agg(F.count("*").alias("n"))
+    recurring = spread.filter(F.col("n") >= min_documents).select("template")
+    chosen = given.join(recurring, "template", "left_semi").groupBy("leaf", "h").agg(F.min_by("template", "step").alias("template"))
+    return busy.join(chosen, ["leaf", "h"]).select("doc", "copy", "pos", "template")
+
+
+def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """doc, copy, positions: the lines to drop, per document."""
-    lines = keep_table(line_templates(docs, doc_id, text, min_documents=min_documents, **settings), "line-templates")
-    spread = lines.select("template", "copy").distinct().groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
+    lines = keep_table(line_templates(docs, doc_id, text, **settings), "line-templates")
     first = lines.groupBy("template").agg(F.min("doc").alias("first"))
-    recurring = spread.join(first, "template").select("template", "first")
-    dropped = lines.join(recurring, "template").filter(~F.col("doc").eqNullSafe(F.col("first")))
+    dropped = lines.join(first, "template").filter(~F.col("doc").eqNullSafe(F.col("first")))
     return dropped.groupBy("doc", "copy").agg(F.collect_set("pos").alias("positions"))
 
 
-def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, **settings) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` without lines whose template occurs in ``min_documents`` different texts.
 
-    All columns stay, and so does every row: a document that consisted of such
+    All columns stay, whatever their names, and so does every row: a document that consisted of such
     lines alone has an empty text. A NULL text stays NULL. The first document
     with a template keeps its lines; repeated rows (same id and text) are treated
-    alike. Lines without words are never dropped.
+    alike. Rows without an id are never first, unless no other row has the template: then all of them keep its lines.
+    Lines without words are never dropped; lines of any length are compared as a whole.
     """
-    dropped = keep_table(recurring_lines(docs, doc_id, text, min_documents, **settings), "line-drops").toDF("d_doc", "d_copy", "positions")
+    dropped = keep_table(recurring_lines(docs, doc_id, text, **settings), "line-drops").toDF("d_doc", "d_copy", "positions")
     value = F.col(f"`{text}`").cast("string")
     rows = packed(docs, doc=F.col(f"`{doc_id}`"), copy=F.xxhash64(value), value=value)
     joined = rows.join(dropped, F.col("doc").eqNullSafe(F.col("d_doc")) & (F.col("copy") == F.col("d_copy")), "left")

@@ -58,6 +58,16 @@ def test_latin_characters_and_long_runs_equal_the_library():
         assert list(zip(*[x.tolist() for x in model.spans(text)])) == want.offsets
 
 
+def test_words_of_many_texts_equal_the_library():
+    library, model = tokenizers.Tokenizer.from_file(WORDS), token_files.word_encoder(WORDS)
+    odd = [form.replace("?", chr(c)) for c in range(0x250) for form in ("a?b", " ? x", "??1", "'?'s", "  ?\n?", "!?!")]
+    odd += ["", " ", "a\0b", "<|endoftext|> x", "日本 語 x", "e\u0301 é", "A" * 5000, "'S 'RE don't", "\x85a\xa0b\x1cc", "x" * 30_000 + " " + "!" * 20_000]
+    for size in (5, len(odd)):  # plain words alone, and together with others
+        got = [ids for at in range(0, len(odd), size) for ids in model.encode(odd[at : at + size])]
+        assert got == [np.array(library.encode(t, add_special_tokens=False).ids, model.dtype).tobytes() for t in odd]
+    assert model.encode([]) == [] and model.encode(["", " "]) == [b"", b""]
+
+
 def test_cuts_keep_the_ids():
     library, model = tokenizers.Tokenizer.from_file(BYTES), bpe.encoder(BYTES)
     text = " ".join(t or "" for t in texts() if "<|" not in (t or ""))
@@ -152,6 +162,25 @@ def test_vectors_of_several_lengths_equal_brute_force(spark):
     assert got == want and all(any(want[k] for k in range(21 * g, 21 * g + 21)) for g in range(5))
 
 
+@pytest.mark.parametrize("mean", [0.0, 1.0, 3.0])
+def test_links_of_vectors_with_a_common_direction(spark, mean):
+    r = np.random.default_rng(12)
+    base = r.standard_normal((1500, 48)) + mean
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    turned = r.standard_normal((400, 48))
+    turned -= (turned * unit[:400]).sum(axis=1, keepdims=True) * unit[:400]
+    turned /= np.linalg.norm(turned, axis=1, keepdims=True)
+    near = 0.952 * unit[:400] + np.sqrt(1 - 0.952**2) * turned  # pairs just above the threshold
+    rows = np.concatenate([unit, near])
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")).collect()}
+    want = (rows @ rows.T >= 0.95).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(len(rows))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    centres = {48: unit.mean(axis=0)}
+    bits, tables, _ = embedding_dedup.plan_tables(50_000, list(rows[:1000]), centres)
+    assert tables <= 64 and (mean < 3 or bits == 0)  # hardly anything tells vectors of one direction apart: one bucket, in blocks
+
+
 def test_fingerprints_and_edits(docs):
     order = sorted(enumerate(texts()), reverse=True)
     got = {r.doc_id: r for r in order_minhash.edit_probe(docs.dropDuplicates(["doc_id"])).collect()}
@@ -268,3 +297,71 @@ def test_empty_tables(spark, empty):
     assert line_dedup.drop_recurring_lines(empty).count() == 0
     assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
     assert embedding_dedup.near_vectors(empty.select("doc_id", F.array(F.lit(1.0)).alias("e")), "doc_id", "e").count() == 0
+
+
+def words_of_line(raw):
+    import re
+
+    return ["<*>" if re.search(r"\d", w) else w for w in re.sub(r"\s+", " ", raw).strip(" ").split(" ") if w]
+
+
+def brute_lines(rows, least=10, depth=3, similarity=0.75):
+    """Every line with its templates, the narrowest that enough texts have, and what is left of the texts."""
+    lines = [(i, t, p, words_of_line(x)) for i, t in dict.fromkeys(rows) if t is not None for p, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if x[3]]
+    at = Counter()
+    for _, _, _, w in lines:
+        at.update((len(w), tuple(w[:depth]), p, x) for p, x in enumerate(w) if p >= depth and x != "<*>")
+    # repeated rows count each time where words are counted
+    for (i, t), n in Counter(rows).items():
+        for x in (t or "").split("\n") if t is not None else []:
+            w = words_of_line(x)
+            at.update({(len(w), tuple(w[:depth]), p, y): n - 1 for p, y in enumerate(w) if p >= depth and y != "<*>"})
+    letter = lambda w: any(c.isalpha() for c in w)
+    templates, texts = {}, {}
+    for i, t, p, w in lines:
+        leaf, k = (len(w), tuple(w[:depth])), sum(x != "<*>" for x in w[depth:])
+        limit = least
+        while limit <= max([at[(*leaf, q, x)] for q, x in enumerate(w) if q >= depth and x != "<*>"], default=least):
+            shape = tuple(x if q < depth or x != "<*>" and at[(*leaf, q, x)] >= limit else "<*>" for q, x in enumerate(w))
+            kept = sum(x != "<*>" for x in shape[depth:])
+            if kept >= similarity * k and sum(x != "<*>" and letter(x) for x in shape) >= sum(x == "<*>" for x in shape):
+                templates.setdefault((i, t, p), []).append(shape)
+                texts.setdefault(shape, set()).add(t)
+            limit *= 2
+    chosen = {place: next((s for s in shapes if len(texts[s]) >= least), None) for place, shapes in templates.items()}
+    first = {}
+    for (i, _, _), s in chosen.items():
+        if s is not None and i is not None:
+            first[s] = min(first.get(s, i), i)
+    return [(i, t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if chosen.get((i, t, p)) is None or i == first.get(chosen[i, t, p]))) for i, t in rows]
+
+
+@pytest.mark.parametrize("n_templates", [1, 2, 3])
+def test_equally_frequent_templates_of_a_leaf_all_go(spark, n_templates):
+    kinds = ["last edited on {} by hand", "first written in {} for us", "never seen before {} at all"][:n_templates]
+    own = [f"{a}{b}ing" for a in "bcdfgh" for b in "aeiouy"]
+    rows = [(i, f"this page was {kinds[i % n_templates].format(own[i])}") for i in range(36)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i < n_templates else "" for i, t in rows}
+
+
+def test_line_templates_equal_brute_force(spark):
+    r = random.Random(9)
+    days = ["Monday", "Tuesday", "Friday"]
+    some = ["the {d} edition of our small paper came out late {n}", "the {d} edition of our small paper came out {w}", "see page {n} of {n}", "{n} {n} {n}",
+            "the {w} edition of {w} small {w} came {w} late {n}", "same old footer", "read more about this and that on {d} or on {d} with {w}"]
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    rows = []
+    for i in range(120):
+        lines = [r.choice(some) for _ in range(r.randrange(6))] + r.choice([[], [""], ["  "], [long], [long + " {w}"]])
+        fill = lambda x: x.replace("{d}", r.choice(days)).replace("{n}", str(r.randrange(99))).replace("{w}", "".join(r.choices("abcdef", k=3)))
+        rows.append((i if i % 17 else None, "\n".join(fill(x) for x in lines)))
+    rows += [(500, None), (501, ""), rows[5], rows[5], (rows[7][0], rows[7][1])]
+    docs = spark.createDataFrame([(i, t, "d", "c", 1) for i, t in rows], "doc_id long, text string, doc string, copy string, leaf int")
+    got = line_dedup.drop_recurring_lines(docs)
+    assert got.columns == docs.columns
+    want = brute_lines(rows)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted([(x.doc_id, x.text) for x in got.collect()], key=key) == sorted(want, key=key)
+    assert sum(len(t or "") for _, t in want) < 0.6 * sum(len(t or "") for _, t in rows)
