@@ -29,10 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import keep_table, mix, slices
+from evalspark.operators.ranking import first_per_group
 
 TRAIN_ROWS = 1000  # labelled rows per language that the text model is fitted on, at most
 BUCKETS = 1 << 15
@@ -138,15 +139,14 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
 
     The sample is chosen on ids and labels alone; only its texts are read to the
     end. Its triples are counted by Spark and the counts, one per label and triple that
-    occur together, come to the driver, as do the usual likelihood of each label's rows and
-how much it varies. Without any label the model has no language.
+        occur together, come to the driver, as do the usual likelihood of each label's rows and
+    how much it varies. Without any label the model has no language.
     """
     labelled = labelled.withColumn("label", language_code(F.col("label"))).filter("label is not null")
     keys = labelled.select("id", "label").withColumn("order", F.xxhash64("id", F.lit("language")))
     languages = sorted(r.label for r in keys.select("label").distinct().collect())
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("order", "id"))
-    # The limit on rows per label is applied by every task before rows move.
-    chosen = keys.withColumn("rank", rank).filter(F.col("rank") <= train_rows).select("id", "label").distinct()
+    # The limit on rows per label is applied by every task before rows move, and by salts before one task sees a label.
+    chosen = first_per_group(keys, ["label"], [F.col("order"), F.col("id")], train_rows).select("id", "label").distinct()
     sample = labelled.join(keep_table(chosen, "language-sample"), ["id", "label"], "left_semi").select("text", "label")
     sample = keep_table(sample, "language-texts")
     places = {name: i for i, name in enumerate(languages)}
@@ -254,6 +254,7 @@ def identify(
     for level in levels:
         counts = shared.filter(F.col(level).isNotNull()).groupBy(level, "lang").agg(total).groupBy(level).agg(F.collect_list(F.struct("lang", "n")).alias("x"))
         counts = counts.select(F.col(level).alias(f"{level}_key"), F.col("x.lang").alias(f"{level}_langs"), F.col("x.n").alias(f"{level}_n"))
+        counts = keep_table(counts, f"language-{level}s")  # of a size that Spark knows: while it is small, the rows stay where they are
         joined = joined.join(counts, F.col(level) == F.col(f"{level}_key"), "left")
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,3 +118,28 @@ def test_empty_and_unlabelled_tables_go_through(spark, tmp_path):
         assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / name)).select("doc_id").collect()} <= {r[0] for r in rows}
     docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "?!", None, "s", 2)], SCHEMA)
     assert [r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """Rows without an id or with one id do not share a decision, whatever other columns are called."""
+    good = documents()[:24]
+    odd = [(None, "?! 42", "aa", "s0", 5), (None, good[0][1], "bb", "s0", 9), (1, "?!", "aa", "s1", 2), (2, "??", "aa", "s1", 2), (good[3][0], "%%", "aa", "s1", 2)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, gone long, key string, id int, row string, a int"
+    docs = spark.createDataFrame([(*r, 1, "k", 2, "r", 3) for r in [*good, *odd, good[5]]], names)
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [*good, odd[1], good[5]]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted([tuple(r)[:5] for r in got.collect()], key=key) == sorted(want, key=key)
+
+
+def test_stages_take_documents_without_counts_and_with_any_columns(spark):
+    rows = [(i, f"shown on page {i} of 99\nown words {'abcdefghijklmnopqrst'[i]} of text here", "aa", "s", i, "g") for i in range(20)]
+    rows += [(None, "same words without an id", "aa", "s", 1, "g")] * 2 + [(40, None, "aa", "s", 1, "g"), (41, " \n", "aa", "s", 1, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, gone int, id string")
+    cleaned = corpus_pipeline.lines(spark, docs, "")
+    assert cleaned.columns == docs.columns and cleaned.filter("text like '%page%'").count() == 1
+    assert sorted(r.doc_id for r in cleaned.filter("doc_id is not null").collect()) == list(range(20)) and cleaned.filter("doc_id is null").count() == 2
+    for stage in (corpus_pipeline.near_copies, corpus_pipeline.mixture):
+        assert stage(spark, cleaned, "").columns == docs.columns
+    assert corpus_pipeline.near_copies(spark, cleaned, "").filter("doc_id is null").count() == 2
