@@ -156,8 +156,8 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, flat)
 
 
-def _centres(equal: DataFrame) -> dict[int, np.ndarray]:
-    """The mean unit vector of the commonest lengths."""
+def mean_units(equal: DataFrame) -> dict[int, np.ndarray]:
+    """The mean unit vector of the commonest lengths, from columns width and v."""
 
     def sums(batches):
         total: dict[int, list] = {}
@@ -289,7 +289,7 @@ def nearest(
     members = keep_table(good.join(same, (F.col("width") == F.col("w")) & (F.col("h") == F.col("g"))).filter("v = u").select("id", "rep", "asked"), "search-members")
 
     n, width = equal.agg(F.count("*"), F.max("width")).first()
-    centres = _centres(equal)
+    centres = mean_units(equal)
     hashing, probes = measured_plan(_sample(equal, sample, k), n, width or 1, tables, bucket, recall, centres)
 
     def coded(batches):

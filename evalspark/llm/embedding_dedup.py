@@ -6,9 +6,10 @@ of bounded size, in double precision. A pair that meets in several tables counts
 the first of them only, which its codes tell, so no list of pairs is needed:
 a block gives each vector's number of links and the components inside the block.
 
-The number of bits follows the number of vectors, so that buckets keep their size,
-and the number of tables follows from the bits: a pair at the threshold is
-found with probability ``recall``.
+How many bits a table has, and whether the hyperplanes go through the origin or through the mean of the vectors, is
+decided by what moving and comparing vectors cost: a bounded sample shows how often vectors
+meet by chance, also those that share a direction. The number of tables follows from the bits: a pair at the
+threshold is found with probability ``recall``.
 """
 
 from __future__ import annotations
@@ -21,20 +22,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.blocks import rows_per_block
 from evalspark.llm.common import keep_table, sorted_groups
 from evalspark.llm.components import connected_components
+from evalspark.llm.cross_polytope import mean_units, units
 
 THRESHOLD = 0.95
 RECALL = 0.995
-_BLOCK = 1024
-_PART = 256
-
-
-def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """Bits per table and number of tables for ``n`` vectors."""
-    bits = min(30, max(6, round(math.log2(max(n, 2))) - 4))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+SAMPLE = 1000
+_MOVE, _MEET = 5.0, 0.01  # microseconds to move a vector once, and to compare it with another
+_MOST_BITS, _MOST_TABLES = 30, 256
+_SCORES = 1 << 22  # held at once
+
+
+def agreement(angle: np.ndarray | float) -> np.ndarray | float:
+    """How likely two vectors at this angle have the same sign on a random hyperplane."""
+    return 1 - angle / math.pi
+
+
+def plan_tables(n: int, sample: list[np.ndarray], centres: dict[int, np.ndarray], threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, bool]:
+    """Bits per table, number of tables, and whether vectors are centred, for ``n`` vectors that look like the sample."""
+    best = (math.inf, 0, 1, False)
+    for centred in (False, True):
+        by_chance, norms = [], [1.0]
+        for width in {len(v) for v in sample}:
+            u = units(np.array([v for v in sample if len(v) == width]))
+            if centred:
+                u = u - centres.get(width, 0.0)
+                length = np.sqrt((u * u).sum(axis=1))
+                norms.extend(length.tolist())
+                u = u / np.maximum(length, 1e-300)[:, None]
+            pairs = np.triu_indices(len(u), 1)
+            by_chance.append(agreement(np.arccos(np.clip((u @ u.T)[pairs], -1, 1))))
+        chance = np.concatenate(by_chance) if by_chance else np.zeros(0)
+        # Moved by the mean, a pair at the threshold keeps its distance and loses length: short ones are the hardest.
+        short = float(np.quantile(norms, 0.01)) if centred else 1.0
+        cosine = 1 - (1 - threshold) / max(short, 1e-9) ** 2
+        alike = agreement(math.acos(max(-1.0, min(1.0, cosine))))
+        for bits in range(_MOST_BITS + 1):
+            found = alike**bits
+            tables = 1 if found >= recall else math.ceil(math.log(1 - recall) / math.log(1 - found)) if found > 1e-4 else None
+            if tables is None or tables > _MOST_TABLES:
+                break
+            meets = n * float((chance**bits).mean()) if len(chance) else n
+            best = min(best, (tables * (_MOVE + _MEET * meets), bits, tables, centred))
+    return best[1:]
 
 
 def hyperplanes(width: int, bits: int, tables: int, seed: int = 8) -> np.ndarray:
@@ -43,6 +75,8 @@ def hyperplanes(width: int, bits: int, tables: int, seed: int = 8) -> np.ndarray
 
 def sign_codes(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """One code per table for each row."""
+    if not bits:
+        return np.zeros((len(vectors), tables), np.int32)
     signs = vectors @ hyperplanes(vectors.shape[1], bits, tables) >= 0
     return (signs.reshape(len(vectors), tables, bits) * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
 
@@ -82,8 +116,9 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
             order = lo + np.argsort(ids[lo:hi], kind="stable")
             v, c, ch, m = vectors[order - since], codes[order, : tab[lo]], chunk[order], mult[order]
             counts, ends_a, ends_b, whole = np.zeros(len(order), np.int64), [], [], i[lo] == j[lo]
-            for at in range(0, len(order), _PART):
-                close = v[at : at + _PART] @ v.T >= threshold
+            part = max(1, _SCORES // len(order))
+            for at in range(0, len(order), part):
+                close = v[at : at + part] @ v.T >= threshold
                 x, y = np.nonzero(close)
                 x += at
                 keep = (x < y) & (whole | (ch[x] != ch[y]))
@@ -131,8 +166,11 @@ def near_vectors(
     good = keep_table(good.withColumn("width", F.size("v")).withColumn("h", F.xxhash64("v")), "vectors")
     equal = good.groupBy("width", "h", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     equal = keep_table(equal, "distinct-vectors")
-    n = equal.count()
-    bits, tables = plan_tables(n, threshold, recall)
+    n, widest = equal.agg(F.count("*"), F.max("width")).first()
+    centres = mean_units(equal)
+    sample = [np.array(r.v) for r in equal.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()]
+    bits, tables, centred = plan_tables(n, sample, centres, threshold, recall)
+    block = rows_per_block(widest or 1, 8)
     membership = keep_table(good.join(equal.select("width", "h", F.col("v").alias("w"), "rep", "copies"), ["width", "h"]).filter("v = w").select("vec_id", "rep", "copies"), "vector-copies")
 
     def code(batches):
@@ -143,14 +181,14 @@ def near_vectors(
                 raw = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
                 raw = raw / np.abs(raw).max(axis=1, keepdims=True)
                 unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-                codes = sign_codes(unit, bits, tables)
+                codes = sign_codes(unit - centres[width] if centred and width in centres else unit, bits, tables)
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), lists(unit), lists(codes), pa.array(np.full(len(unit), width), pa.int32())], names=["vec_id", "copies", "unit", "codes", "width"])
 
     coded = keep_table(equal.select("rep", "copies", "v", "width").mapInArrow(code, "vec_id long, copies long, unit array<double>, codes array<int>, width int"), "codes")
     placed = coded.select("vec_id", "width", F.posexplode("codes").alias("tab", "code"))
     full = placed.groupBy("width", "tab", "code").agg(F.count("*").alias("n")).filter("n > 1")
-    busy = placed.join(full, ["width", "tab", "code"]).withColumn("chunks", F.ceil(F.col("n") / _BLOCK).cast("int"))
+    busy = placed.join(full, ["width", "tab", "code"]).withColumn("chunks", F.ceil(F.col("n") / block).cast("int"))
     busy = busy.withColumn("chunk", F.pmod(F.hash("vec_id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     busy = busy.select("width", "tab", "code", "vec_id", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     dealt = busy.join(coded.select("vec_id", "copies", "unit", "codes"), "vec_id").repartition("width", "tab", "code", "i", "j").sortWithinPartitions("width", "tab", "code", "i", "j")
