@@ -20,6 +20,9 @@ METRIC_COLUMNS = {
     "latency": fixed.LATENCY,
 }
 
+# How a column names a missing size, hardness or model.
+NONE = "none"
+
 
 def short_names(spark: SparkSession) -> DataFrame:
     """The fixed short model names."""
@@ -70,34 +73,42 @@ def _shown(report: DataFrame, columns: list[str], given: list | None) -> list[tu
 
     Reports are reduced already, and each value becomes a column of the result.
     """
-    there = sorted(tuple(r) for r in report.select(*columns).distinct().collect() if None not in tuple(r))
+    there = sorted(map(tuple, report.select(*columns).distinct().collect()), key=lambda row: [(part is None, part) for part in row])
     if given is None:
         return there
     given = [value if isinstance(value, tuple) else (value,) for value in given]
-    if missing := sorted(set(there) - set(given)):
+    if missing := [row for row in there if row not in given]:
         raise ValueError(f"the report also has {missing} in {columns}")
     return given
 
 
+def _levels(report: DataFrame) -> list[str | None]:
+    """The known levels and the total, and behind them whatever else the report holds."""
+    known = [*fixed.LEVELS, fixed.TOTAL]
+    return [*known, *(level for (level,) in _shown(report, ["hardness"], None) if level not in known)]
+
+
 def pivot_mean(report: DataFrame, index: list[str], columns: list[str], values: list[tuple]) -> DataFrame:
     """Mean value per index row and column combination.
 
     ``values`` lists the combinations to show; their parts joined by ``_`` name
-    the columns.
+    the columns, with ``none`` for a missing part.
     """
-    labels = ["_".join(str(part) for part in value) for value in values]
-    key = F.concat_ws("_", *[F.col(column).cast("string") for column in columns])
+    labels = ["_".join(NONE if part is None else str(part) for part in value) for value in values]
+    key = F.concat_ws("_", *[F.coalesce(F.col(column).cast("string"), F.lit(NONE)) for column in columns])
     return report.withColumn("_column", key).groupBy(*index).pivot("_column", labels).agg(F.avg("value"))
 
 
 def pivot_metrics(report: DataFrame, instructions: list[int] | None = None, by: list[str] = ()) -> DataFrame:
     """Throughput and token counts: a row per model, metric and environment, a column per instruction size and hardness.
 
+    Every size and hardness that occurs has its columns, a missing one as ``none``.
+
     ``by`` keeps further keys apart, such as ``shot``; cells are averaged over the rest.
     """
     rows = report_rows(rounded(report), without=[fixed.COST, fixed.PSR, fixed.LATENCY])
     sizes = _shown(rows, ["instruction"], instructions)
-    values = [(size, level) for (size,) in sizes for level in [*fixed.LEVELS, fixed.TOTAL]]
+    values = [(size, level) for (size,) in sizes for level in _levels(rows)]
     return pivot_mean(rows, ["model", "metric", "environment", *by], ["instruction", "hardness"], values)
 
 

@@ -121,3 +121,15 @@ def test_accuracy(spark):
         ("b", "simple"): (0, 0.0), ("b", "moderate"): (2, 50.0), ("b", "challenging"): (0, 0.0), ("b", "total"): (2, 50.0)}
     whole = {r.hardness: r.questions for r in accuracy.accuracy_by_difficulty(scores).collect()}
     assert whole == {"simple": 2, "moderate": 2, "challenging": 0, "total": 5}
+
+
+def test_pivots_show_whatever_the_report_holds(spark):
+    rows = [("m", "open-ai", i, h, 360, metric, v) for i, h, v in ((5, "simple", 1.0), (5, "weird", 2.0), (None, "simple", 3.0), (7, None, 4.0)) for metric in (fixed.THROUGHPUT, fixed.COST, fixed.OUTPUT_TOKENS)]
+    report = spark.createDataFrame(rows, "model string, environment string, instruction int, hardness string, dataset_size int, metric string, value double")
+    row = reports.pivot_metrics(report).filter(F.col("metric") == fixed.THROUGHPUT).first().asDict()
+    assert {name: value for name, value in row.items() if isinstance(value, float)} == {"5_simple": 1.0, "5_weird": 2.0, "none_simple": 3.0, "7_none": 4.0}
+    assert [name for name in row if name.startswith("5_")] == ["5_simple", "5_moderate", "5_challenging", "5_total", "5_weird", "5_none"]
+    with pytest.raises(ValueError, match="also has"):
+        reports.pivot_metrics(report, [5, 7])
+    turned = reports.pivot_metrics_transposed(report.withColumn("environment", F.lit(None).cast("string")))
+    assert {(r.instruction, r.hardness, r[f"m_{fixed.THROUGHPUT}_none"]) for r in turned.collect()} == {(5, "simple", 1.0), (5, "weird", 2.0), (None, "simple", 3.0), (7, None, 4.0)}
