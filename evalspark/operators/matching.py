@@ -95,6 +95,23 @@ def result_cells(result: DataFrame, pair_id: int, side: str) -> DataFrame:
     )
 
 
+def result_rows(result: DataFrame, pair_id: int, side: str) -> DataFrame:
+    """A result as whole rows ``(pair_id, side, cells)``, cells in canonical text in their order."""
+    canonical = _by_position(result)
+    return canonical.select(F.lit(pair_id).cast("bigint").alias("pair_id"), F.lit(side).alias("side"), F.array(*canonical.columns).alias("cells"))
+
+
+def row_signatures(rows: DataFrame) -> DataFrame:
+    """Signature of the rows of every ``(pair_id, side)``: a row is one value, summed where it is read; no cell moves."""
+    texts = rows.select("pair_id", "side", F.to_json("cells", {"ignoreNullFields": "false"}).alias("_row"))
+    return texts.groupBy("pair_id", "side").agg(*_named(_signature("_row")))
+
+
+def match_rows(rows: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """``(pair_id, res)`` of whole rows ``(pair_id, side, cells)``: 1 where both sides hold the same rows, equally often."""
+    return match_signatures(row_signatures(rows), shapes)
+
+
 def match_signatures(signatures: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
     """``(pair_id, res)``: 1 where gold and predicted have the same signatures, counted.
 
@@ -129,7 +146,8 @@ def match_results(
 
     ``mode="columns"`` compares each column on its own; ``mode="rows"`` is
     stricter: the rows, read by column position, must be the same multiset
-    (needs ``row_id``). ``exact`` checks every verdict against full value
+    (needs ``row_id``; the cells of a row are brought together first, so results that are still
+    whole go through :func:`match_rows`). ``exact`` checks every verdict against full value
     counts and gives NULL where two different columns share a signature.
     """
     if mode == "rows":

@@ -148,3 +148,24 @@ def test_cells_and_signatures_agree(spark):
     assert {(r.col_pos, r.value) for r in cells.collect() if r.value is not None} == {(0, "n:1"), (1, "n:2.5"), (2, "s:a"), (3, "n:1.5")}
     by_cells = matching.column_signatures(cells).select("col_pos", *matching.SIGNATURE)
     assert sorted(map(tuple, by_cells.collect())) == sorted(map(tuple, matching.result_signatures(result).collect()))
+
+
+def test_whole_rows_match_without_regard_to_order(spark):
+    rng = random.Random(8)
+    rows, wanted = [], {}
+    for pair in range(60):
+        gold = [[rng.choice(["a", "b", None, "1"]) for _ in range(3)] for _ in range(rng.randrange(6))]
+        predicted = rng.sample(gold, len(gold))
+        if pair % 3 == 1 and gold:
+            predicted = [*predicted[1:], rng.choice([predicted[0] + ["x"], predicted[0][:2], [None, None, "z"], predicted[-1]])]
+        wanted[pair] = int(Counter(map(tuple, gold)) == Counter(map(tuple, predicted)))
+        rows += [(pair, matching.GOLD, r) for r in gold] + [(pair, matching.PREDICTED, r) for r in predicted]
+    table = spark.createDataFrame(rows, "pair_id bigint, side string, cells array<string>").repartition(5)
+    found = {r.pair_id: r.res for r in matching.match_rows(table).collect()}
+    present = {pair for pair, _, _ in rows}
+    assert found == {pair: res for pair, res in wanted.items() if pair in present} and 0 in found.values()
+    left = matching.result_rows(spark.sql("SELECT * FROM VALUES (1, 'a'), (2, NULL) t(x, y)"), 1, matching.GOLD)
+    right = matching.result_rows(spark.sql("SELECT * FROM VALUES (2.0D, NULL), (1.0D, 'a') t(x, y)"), 1, matching.PREDICTED)
+    assert matching.match_rows(left.unionByName(right)).first().res == 1
+    shapes = spark.createDataFrame([(7, "gold", 2, 0), (7, "predicted", 2, 0), (8, "gold", 2, 0)], "pair_id bigint, side string, n_cols int, n_rows bigint")
+    assert {r.pair_id: r.res for r in matching.match_rows(table.limit(0), shapes).collect()} == {7: 1, 8: 0}
