@@ -13,6 +13,8 @@ from evalspark.functions import prompts
 from evalspark.operators import ranking
 
 SHOT_KEYS = ["shot", "db_id"]
+# Places where a database's texts meet its questions.
+_TEXT_SALTS = 16
 
 
 def _literal(value: str | int) -> str:
@@ -128,6 +130,29 @@ def with_examples(questions: DataFrame, examples: DataFrame) -> DataFrame:
     return questions.join(examples, SHOT_KEYS, "left").withColumn("examples", F.coalesce("examples", F.lit("")))
 
 
+def with_late_texts(
+    questions: DataFrame, contexts: DataFrame, examples: DataFrame, runs: list[tuple], partitions: int | None = None,
+    salts: int = _TEXT_SALTS, missing: str = fixed.NO_DATABASE,
+) -> DataFrame:
+    """Every question once per run, with ``schema`` and ``examples``, for grids of many runs.
+
+    What moves is each question once, and the texts of each database (its schema, and its examples of all
+    shots) once per salt: they meet by (database, salt), where a question is one row, and runs are unfolded
+    behind that, without another shuffle. So neither is multiplied by runs or questions before it is used, and
+    a hot database is many tasks. While the texts are small, Spark broadcasts them and nothing moves.
+    """
+    shots = examples.groupBy("db_id").agg(F.map_from_entries(F.collect_list(F.struct("shot", "examples"))).alias("_by_shot"))
+    texts = contexts.join(shots, "db_id", "full").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = questions.drop("schema").withColumn("_salt", F.pmod(F.xxhash64("question_id"), F.lit(salts)).cast("int"))
+    if partitions:
+        asked = asked.repartition(partitions, "db_id", "_salt")
+    unfolded = with_runs(asked.join(texts, ["db_id", "_salt"], "left").drop("_salt"), runs)
+    return unfolded.withColumns({
+        "schema": F.coalesce("schema", F.lit(missing)),
+        "examples": F.coalesce(F.element_at("_by_shot", F.col("shot")), F.lit("")),
+    }).drop("_by_shot")
+
+
 def family_of(environment: str = "environment", model: str = "model") -> Column:
     """The layout family of a model, from the columns of these names."""
     models: dict[str, list[str]] = {}

@@ -431,10 +431,10 @@ SELECT model, question_id, CAST(length({_prompt_text()}) AS INTEGER) AS prompt_l
 FROM prompted WHERE environment IN ('amazon-bedrock', 'hugging-face')""",
         "result_match": f"{_with(PAIR_CELLS)} {matched}",
         "result_match_exact": f"{_with(PAIR_CELLS)} {matched}",
-        "result_match_rows": f"""{_with(PAIR_CELLS)}
+        **dict.fromkeys(("result_match_rows", "result_match_row_cells"), f"""{_with(PAIR_CELLS)}
 SELECT pair_id, CAST(CASE WHEN count(*) FILTER (WHERE dropped OR gold_status IS DISTINCT FROM predicted_status) = 0
                      THEN 1 ELSE 0 END AS INTEGER) AS res
-FROM cells GROUP BY pair_id""",
+FROM cells GROUP BY pair_id"""),
         "accuracy_by_difficulty": f"""{_with(QUESTION_ROWS, SCORES, _accuracy('model', 'scores'))}
 SELECT model, hardness, questions, round_even(accuracy, 6) AS accuracy FROM accuracy""",
         "accuracy_buckets": f"""{_with(QUESTION_ROWS, SCORES, BUCKETS.format(level='difficulty', source='question_rows', rows='scores'), _accuracy('dataset_size', 'sized'))}

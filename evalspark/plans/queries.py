@@ -412,6 +412,11 @@ def result_match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def result_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_rows(views.result_rows(spark, sf_dir))
+
+
+@registered
+def result_match_row_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Predicted columns are swapped; put them in gold order to compare rows.
     cells = views.result_cells(spark, sf_dir).withColumn(
         "col_pos", F.when(F.col("side") == "predicted", 1 - F.col("col_pos")).otherwise(F.col("col_pos"))

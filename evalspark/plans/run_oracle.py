@@ -64,7 +64,17 @@ def oracle_sql() -> dict[str, str]:
 ranked AS (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY question_id) AS rn FROM question_rows)"""
     statement = "'SELECT ' || CAST(doc_id AS VARCHAR) || ' AS v FROM ' || source"
     accuracy_keys = "environment, model, instruction, shot, dataset_size"
+    grid = "environment, model, CAST(instruction AS INTEGER) AS instruction, shot, question_id"
     return {
+        "prompt_grid": f"{_asked()} SELECT {grid}, family, md5({oracle._prompt_text()}) AS prompt_md5 FROM prompted",
+        "chat_grid": f"{_asked()} SELECT {grid}, md5({oracle._chat()}) AS chat_md5 FROM prompted WHERE family IN ('chat', 'user_chat')",
+        "request_fields": f"""{_asked()}
+SELECT {grid}, md5({oracle._prompt_text()}) AS prompt_md5,
+       CAST(CASE family WHEN 'plain' THEN NULL WHEN 'endpoint_turns' THEN 200 ELSE 300 END AS INTEGER) AS token_limit,
+       CASE family WHEN 'endpoint_turns' THEN {text('|'.join(fixed.ENDPOINT_STOPS))} END AS stops,
+       CASE family WHEN 'user_chat' THEN {text(fixed.BEDROCK_BODY_VERSION)} END AS version,
+       CASE family WHEN 'user_chat' THEN 'user' END AS role, CASE family WHEN 'user_chat' THEN 'text' END AS content_type
+FROM prompted WHERE environment IN ('amazon-bedrock', 'hugging-face')""",
         "pipeline_report": f"""{_asked()}, {oracle._grouped(RUN, 'answers')}, {oracle._priced()},
 names(model, short_name) AS (VALUES {names})
 SELECT p.environment, coalesce(n.short_name, p.model) AS model, instruction, shot, dataset_length, hardness, rows,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark import fixed_values as fixed
 from evalspark import schemas
-from evalspark.functions import lines, replies as reply_functions
+from evalspark.functions import lines, prompts as prompt_functions, replies as reply_functions
 from evalspark.operators import accuracy, context, inference, metrics, prompts, replies, reports, sampling
 from evalspark.plans import queries, views
 from evalspark.plans.queries import registered
@@ -16,16 +16,54 @@ from evalspark.sources import readers, writers
 
 ALL_MODELS = [(environment, model) for environment, model, _ in fixed.MODEL_FAMILIES]
 RUN = ["environment", "model", "instruction", "shot", "dataset_length"]
+GRID_KEYS = ["environment", "model", "instruction", "shot", "question_id"]
 ACCURACY_KEYS = ["environment", "model", "instruction", "shot", "dataset_size"]
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark question for every model, instruction size and two shots, with its texts."""
+    runs = prompts.grid(ALL_MODELS, fixed.INSTRUCTION_SIZES, ["2", "4-cot"])
+    contexts = context.db_context(views.schema_catalog(spark, sf_dir))
+    return prompts.with_late_texts(
+        views.benchmark_questions(spark, sf_dir), contexts, queries._examples(spark, sf_dir), runs, spark.sparkContext.defaultParallelism,
+    )
+
+
+@registered
+def prompt_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of every question in every run, as a digest of its text."""
+    return prompts.with_prompts(_asked(spark, sf_dir)).select(*GRID_KEYS, "family", F.md5("prompt").alias("prompt_md5"))
+
+
+@registered
+def chat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of every question in every run of a chat model, as digests."""
+    chats = prompts.with_messages(_asked(spark, sf_dir)).filter(F.col("family").isin("chat", "user_chat"))
+    turns = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return chats.select(*GRID_KEYS, F.md5(F.concat_ws("\n--\n", turns)).alias("chat_md5"))
+
+
+@registered
+def request_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the request bodies of every run whose endpoint takes one; prompts as digests."""
+    rows = prompts.with_prompts(_asked(spark, sf_dir)).filter(F.col("environment").isin(fixed.BEDROCK, fixed.HOSTED_ENDPOINT))
+    body = F.parse_json(prompt_functions.request_body(F.col("family"), F.col("prompt")))
+    field = lambda kind, *paths: F.coalesce(*[F.try_variant_get(body, path, kind) for path in paths])
+    return rows.select(
+        *GRID_KEYS,
+        F.md5(field("string", "$.prompt", "$.inputs", "$.messages[0].content[0].text")).alias("prompt_md5"),
+        field("int", "$.max_tokens", "$.max_tokens_to_sample", "$.parameters.max_new_tokens").alias("token_limit"),
+        F.array_join(field("array<string>", "$.parameters.stop"), "|").alias("stops"),
+        field("string", "$.anthropic_version").alias("version"), field("string", "$.messages[0].role").alias("role"),
+        field("string", "$.messages[0].content[0].type").alias("content_type"),
+    )
+
+
 @registered
 def pipeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid, prompts, replies, outcomes, metrics, cost and short names of every model over the benchmark."""
     runs = prompts.grid(ALL_MODELS, fixed.INSTRUCTION_SIZES, ["2", "4-cot"])
-    asked = prompts.with_runs(views.benchmark_questions(spark, sf_dir), runs)
-    asked = context.with_context(asked, context.db_context(views.schema_catalog(spark, sf_dir)))
-    asked = prompts.with_prompts(prompts.with_examples(asked, queries._examples(spark, sf_dir)))
+    asked = prompts.with_prompts(_asked(spark, sf_dir))
     path = new_table_path(spark, "pipeline-replies")
     answered = inference.infer_into(asked, queries._client, path)
     # The stand-in client answers at once; a reply takes a time that its prompt gives.

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from evalspark.operators import matching, metrics, ranking, sampling
-from evalspark.plans import views
+from evalspark.operators import context, matching, metrics, prompts, ranking, sampling
+from evalspark.plans import queries, run_queries, views
 from evalspark.plans.queries import REGISTRY
 
 SCORED = {"score_pairs", "score_many_pairs"}
@@ -58,6 +58,29 @@ def test_cells_are_reduced_where_they_are_read(spark, sf_dir):
     assert lines[-1].lstrip(" +-:").startswith("HashAggregate") and "Exchange" in lines[-2]
 
 
+def test_whole_rows_are_compared_where_they_are_read(spark, sf_dir):
+    text = plan(matching.match_rows(views.result_rows(spark, sf_dir)))
+    lines = [line for line in text.splitlines() if "Exchange" in line or "HashAggregate" in line or "Join" in line]
+    assert not any("Join" in line for line in lines)
+    assert lines[-1].lstrip(" +-:").startswith("HashAggregate") and "Exchange" in lines[-2]
+    assert not any("cells#" in line or "_row#" in line for line in text.splitlines() if "Exchange" in line)
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_runs_are_unfolded_behind_the_last_shuffle(spark, sf_dir, threshold):
+    """Schema and example texts meet a question once, whatever the number of runs."""
+    runs = prompts.grid(run_queries.ALL_MODELS, [0, 5, 11], ["2", "4-cot"])
+    contexts = context.db_context(views.schema_catalog(spark, sf_dir))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        asked = prompts.with_late_texts(views.question_rows(spark, sf_dir), contexts, queries._examples(spark, sf_dir), runs, 8)
+        lines = plan(prompts.with_prompts(asked)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    unfolding = next(i for i, line in enumerate(lines) if "Generate explode" in line and "_run" in line)
+    assert not any("Exchange" in line for line in lines[:unfolding])
+
+
 def test_positions_move_rows_once(spark, sf_dir):
     questions = views.question_rows(spark, sf_dir).select("question_id", "difficulty")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
