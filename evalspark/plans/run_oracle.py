@@ -123,6 +123,7 @@ SELECT k.environment, k.model, CAST(k.instruction AS INTEGER) AS instruction, ha
 FROM (SELECT DISTINCT {accuracy_keys} FROM sized) k CROSS JOIN levels
 LEFT JOIN sized s ON s.environment = k.environment AND s.dataset_size = k.dataset_size AND (s.difficulty = hardness OR hardness = 'total')
 GROUP BY k.environment, k.model, k.instruction, hardness, k.shot, k.dataset_size""",
+        "prediction_map_file": oracle.oracle_sql()["prediction_file"],
         "run_store": f"""{with_(METRIC_ROWS)}
 SELECT 'r' || CAST(question_id % 2 AS VARCHAR) AS run_id, question_id, environment, model, instruction, response_time, hardness FROM timed""",
         "log_batches": f"""{with_(REPLY_ROWS, OUTCOMES)}

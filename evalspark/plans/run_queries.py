@@ -121,8 +121,8 @@ def database_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "question-arrays")
     rows = views.question_rows(spark, sf_dir).withColumnRenamed("sql_query", "SQL").drop("schema")
-    writers.write_question_arrays(rows, path, 64)
-    return readers.read_questions(spark, f"{path}/part=*")
+    writers.write_question_arrays(rows, path)
+    return readers.read_questions(spark, f"{path}/part=*", part_bytes=1 << 18)
 
 
 @registered
@@ -228,3 +228,12 @@ def log_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number in (0, 1, 0, 1):
         writers.append_log(records.filter(F.col("question_id") % 2 == number).drop("question_id"), path, batch=f"b{number}")
     return replies.log_status_counts(readers.read_log(spark, path))
+
+
+@registered
+def prediction_map_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prediction map per run, read back in parts."""
+    path = new_table_path(spark, "prediction-maps")
+    writers.write_prediction_map_files(queries._predictions(spark, sf_dir), path)
+    entries = readers.read_prediction_map(spark, f"{path}/run_id=*", part_bytes=1 << 14)
+    return entries.withColumn("run_id", F.regexp_extract("path", "run_id=([^/]+)/", 1)).drop("path")

@@ -29,7 +29,8 @@ class Written(WriterCommitMessage):
 
 
 class NamedFiles(DataSource):
-    """The sink's entry for Spark, with the options ``path`` (the root folder) and ``header`` (a first line for each file)."""
+    """The sink's entry for Spark, with the options ``path`` (the root folder), ``header`` and ``footer`` (a first and a
+    last line for each file) and ``between`` (what stands between two lines, besides the line end)."""
 
     @classmethod
     def name(cls) -> str:
@@ -39,12 +40,12 @@ class NamedFiles(DataSource):
         return LINES
 
     def writer(self, schema, overwrite: bool) -> NamedFileWriter:
-        return NamedFileWriter(self.options["path"], self.options.get("header"))
+        return NamedFileWriter(self.options["path"], self.options.get("header"), self.options.get("footer"), self.options.get("between", ""))
 
 
 class NamedFileWriter(DataSourceArrowWriter):
-    def __init__(self, root: str, header: str | None):
-        self.root, self.header = root.rstrip("/"), header
+    def __init__(self, root: str, header: str | None, footer: str | None, between: str):
+        self.root, self.header, self.footer, self.between = root.rstrip("/"), header, footer, between
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """One task's lines, sorted by path and place; a file is open only while its lines come."""
@@ -53,20 +54,25 @@ class NamedFileWriter(DataSourceArrowWriter):
         for batch in iterator:
             for path, line in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist()):
                 if sink is None or path != current:
-                    if sink:
-                        sink.close()
+                    self._end(sink)
                     folder, name = _place(root, path)
                     store.create_dir(folder, recursive=True)
                     present = f"{folder}/_{name}.{uuid.uuid4().hex}"
                     sink, current = store.open_output_stream(present), path
                     files.append((present, f"{folder}/{name}"))
                     if self.header is not None:
-                        sink.write(self.header.encode() + b"\n")
-                sink.write((line or "").encode() + b"\n")
-        if sink:
-            sink.close()
+                        sink.write(f"{self.header}\n".encode())
+                else:
+                    sink.write(f"{self.between}\n".encode())
+                sink.write((line or "").encode())
+        self._end(sink)
         return Written(files)
 
+    def _end(self, sink) -> None:
+        if sink is not None:
+            sink.write(b"\n" if self.footer is None else f"\n{self.footer}\n".encode())
+            sink.close()
+
     def commit(self, messages: list[Written | None]) -> None:
         store, _ = pa.fs.FileSystem.from_uri(self.root)
         for present, name in _files(messages):
@@ -90,14 +96,14 @@ def _place(root: str, path: str) -> tuple[str, str]:
     return "/".join([root, *parts[:-1]]), parts[-1]
 
 
-def write_named(lines: DataFrame, root: str, header: str | None = None) -> None:
+def write_named(lines: DataFrame, root: str, **options: str) -> None:
     """Write lines ``(path, ord, line)`` to files below ``root``, which every executor has to reach.
 
-    A file is written by one task, many files by many tasks. The driver gets their names, no lines.
+    Options are ``header``, ``footer`` and ``between``. A file is written by one task, line by line, many files by
+    many tasks. The driver gets their names, no lines.
     """
     spark = lines.sparkSession
     spark.dataSource.register(NamedFiles)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = lines.select("path", "ord", "line").repartition(tasks, "path").sortWithinPartitions("path", "ord")
-    writer = dealt.write.format("named_files").mode("append")
-    (writer if header is None else writer.option("header", header)).save(root)
+    dealt.write.format("named_files").mode("append").options(**options).save(root)

@@ -8,16 +8,24 @@ from pyspark.sql import types as T
 
 from evalspark import schemas
 from evalspark.functions import lines
+from evalspark.sources.json_parts import PART_BYTES, read_elements
 
 
 def _csv(spark: SparkSession, schema: T.StructType):
     return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
 
 
-def read_questions(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
-    """Source questions from a JSON array, or from one object per line (splittable) with ``array=False``."""
-    reader = spark.read.schema(schemas.SOURCE_QUESTION).option("multiLine", array)
-    return reader.json(path).withColumnRenamed("SQL", "sql_query")
+def read_questions(spark: SparkSession, path: str, array: bool = True, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Source questions from JSON arrays, or from one object per line with ``array=False``.
+
+    An array of any size is read in parts of ``part_bytes`` by several tasks.
+    """
+    if array:
+        texts = read_elements(spark, path, part_bytes)
+        rows = texts.select(F.from_json("value", schemas.SOURCE_QUESTION).alias("q")).select("q.*")
+    else:
+        rows = spark.read.schema(schemas.SOURCE_QUESTION).json(path)
+    return rows.withColumnRenamed("SQL", "sql_query")
 
 
 def read_question_set(spark: SparkSession, path: str, indexed: bool = True) -> DataFrame:
@@ -105,17 +113,18 @@ def _prediction_entries(text: Column) -> Column:
     )
 
 
-def read_prediction_map(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+def read_prediction_map(spark: SparkSession, path: str, per_line: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(pair_index, predicted_sql, db_id, path)`` from prediction maps.
 
-    A file holds one JSON map, or with ``per_line`` one map per line, which
-    splits large files. A value that is not text gets the default statement
+    A file holds one JSON map, which several tasks read in parts of ``part_bytes``, or with ``per_line``
+    one map per line. A value that is not text gets the default statement
     and database.
     """
     if per_line:
         texts = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
     else:
-        texts = _whole_files(spark, path)
+        entry = F.concat(F.lit("{"), F.col("value"), F.lit("}"))
+        texts = read_elements(spark, path, part_bytes).select("path", entry.alias("value"))
     entries = texts.filter(lines.strip(F.col("value")) != "").select(
         "path", F.explode(_prediction_entries(F.col("value"))).alias("key", "text")
     )

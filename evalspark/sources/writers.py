@@ -37,13 +37,15 @@ def write_questions(questions: DataFrame, path: str) -> None:
     questions.write.mode("overwrite").json(path)
 
 
-def write_question_arrays(questions: DataFrame, path: str, parts: int) -> None:
-    """Questions as JSON arrays, at most ``parts`` of them, in a folder each; an export for tools that read whole arrays."""
-    part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
-    whole = questions.groupBy(part.alias("part")).agg(
-        F.to_json(F.collect_list(F.struct(*questions.columns))).alias("value")
-    )
-    whole.write.partitionBy("part").mode("overwrite").text(path)
+def write_question_arrays(questions: DataFrame, path: str, parts: int = 1, order: str = "question_id") -> None:
+    """Questions as JSON arrays, ``part=N/questions.json``; an export for tools that read whole arrays.
+
+    An array is written line by line, so it may be of any size; ``read_questions`` reads it in several tasks.
+    """
+    part = F.pmod(F.xxhash64(order), F.lit(parts)).cast("string")
+    name = F.concat(F.lit("part="), part, F.lit("/questions.json"))
+    line = F.to_json(F.struct(*questions.columns))
+    write_named(questions.select(name.alias("path"), F.col(order).alias("ord"), line.alias("line")), path, header="[", between=",", footer="]")
 
 
 def write_shot_samples(samples: DataFrame, path: str) -> None:
@@ -114,6 +116,16 @@ def write_line_bundle(pairs: DataFrame, root: str, folder: str = "folder", line:
     write_named(each.select(F.concat_ws("/", "folder", "file.name").alias("path"), "ord", F.col("file.text").alias("line")), root)
 
 
+def write_prediction_map_files(predictions: DataFrame, path: str, run: str = "run_id") -> None:
+    """Prediction maps as one JSON object per run, ``run_id=R/predict.json``, written entry by entry."""
+    text = lines.prediction_text(F.col("predicted_sql"), F.col("db_id"))
+    # An entry is its own map without the braces: Spark writes key and value as JSON needs them.
+    entry = F.to_json(F.create_map(F.col("pair_index").cast("string"), text))
+    line = F.substring(entry, F.lit(2), F.length(entry) - 2)
+    name = F.concat(F.lit(f"{run}="), F.col(run), F.lit("/predict.json"))
+    write_named(predictions.select(name.alias("path"), F.col("pair_index").alias("ord"), line.alias("line")), path, header="{", between=",", footer="}")
+
+
 def append_rows(rows: DataFrame, path: str, dims: list[str], run: str | None = None) -> None:
     """Add predictions or metric rows to a table with the run dimensions as folders.
 

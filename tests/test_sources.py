@@ -11,7 +11,7 @@ from evalspark import fixed_values as fixed
 from evalspark import schemas
 from evalspark import session as sessions
 from evalspark.operators import context, metrics, prompts
-from evalspark.sources import named_files, readers, writers
+from evalspark.sources import json_parts, named_files, readers, writers
 
 
 def test_question_array(spark, tmp_path):
@@ -257,3 +257,57 @@ def test_writing_a_log_batch_again_replaces_it(spark, tmp_path):
     for batch in ("one", "two", "one"):
         writers.append_log(records, path, batch=batch)
     assert readers.read_log(spark, path).count() == 12 and readers.read_log(spark, path).columns == schemas.LOG_RECORD.fieldNames()
+
+
+# --- large JSON values ----------------------------------------------------------------------
+
+
+def odd_values(n, seed):
+    import random
+
+    r = random.Random(seed)
+    pieces = ['"', "\\", "[", "]", "{", "}", ",", ":", "\n", "é", "日本", "x", " ", '\\"', "\\\\"]
+    text = lambda: "".join(r.choice(pieces) for _ in range(r.randrange(12)))
+    value = lambda depth=0: r.choice([text, text, lambda: r.randrange(99), lambda: None, lambda: True,
+                                      lambda: [value(depth + 1) for _ in range(r.randrange(3))] if depth < 2 else 1,
+                                      lambda: {text(): value(depth + 1) for _ in range(r.randrange(3))} if depth < 2 else {}])()
+    return [value() for _ in range(n)], {f"{i}{text()}": value() for i in range(n)}
+
+
+@pytest.mark.parametrize("part_bytes", [3, 17, 1_000, 1 << 20])
+def test_elements_are_cut_anywhere(spark, tmp_path, part_bytes):
+    values, mapping = odd_values(60, part_bytes)
+    (tmp_path / "a.json").write_text(json.dumps(values, ensure_ascii=False, indent=1))
+    (tmp_path / "b.json").write_text("  " + json.dumps(mapping) + "\n")
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "none.json").write_text("[ \n]")
+    found = json_parts.read_elements(spark, str(tmp_path), part_bytes).collect()
+    of = lambda name: [r.value for r in sorted(found, key=lambda r: r.start) if r.path.endswith(name)]
+    assert [json.loads(v) for v in of("a.json")] == values
+    merged = {}
+    for v in of("b.json"):
+        merged.update(json.loads("{" + v + "}"))
+    assert merged == mapping and len(found) == 120
+
+
+def test_one_large_array_is_read_by_several_tasks(spark, tmp_path):
+    rows = [{"question_id": i, "db_id": f"d{i % 7}", "difficulty": "simple", "question": f'how many "{i}"?\n[{i}, {{', "evidence": None, "SQL": f"SELECT {i}, '\\'"} for i in range(100_000)]
+    (tmp_path / "array.json").write_text(json.dumps(rows))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)))
+    array = readers.read_questions(spark, str(tmp_path / "array.json"), part_bytes=1 << 20)
+    assert array.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    lines = readers.read_questions(spark, str(tmp_path / "lines.json"), array=False)
+    assert array.exceptAll(lines).count() == 0 and array.count() == lines.count() == 100_000
+
+
+def test_written_arrays_and_maps_are_valid_json(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id AS question_id", "'a' AS db_id", "'simple' AS difficulty", "concat('q \"', id, '\"') AS question", "NULL AS evidence", "'SELECT 1' AS SQL")
+    writers.write_question_arrays(rows, str(tmp_path / "q"), parts=3)
+    whole = [json.loads(path.read_text()) for path in (tmp_path / "q").rglob("questions.json")]
+    assert len(whole) == 3 and sorted(q["question_id"] for part in whole for q in part) == list(range(50))
+    predictions = spark.range(20).selectExpr("concat('r', id % 2) AS run_id", "id AS pair_index", "concat('SELECT \"', id) AS predicted_sql", "'a' AS db_id")
+    writers.write_prediction_map_files(predictions, str(tmp_path / "p"))
+    maps = {path.parent.name: json.loads(path.read_text()) for path in (tmp_path / "p").rglob("predict.json")}
+    assert {name: list(m) for name, m in maps.items()} == {f"run_id=r{k}": [str(i) for i in range(k, 20, 2)] for k in (0, 1)}
+    back = readers.read_prediction_map(spark, str(tmp_path / "p" / "run_id=*"), part_bytes=50)
+    assert sorted((r.pair_index, r.predicted_sql) for r in back.collect()) == [(i, f'SELECT "{i}') for i in range(20)]
