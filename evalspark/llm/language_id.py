@@ -189,7 +189,7 @@ def host_parts(url: Column) -> tuple[Column, Column, Column]:
 def markup_language(html: Column) -> Column:
     """The language that a page's first html tag declares; NULL where it declares none."""
     tag = F.regexp_extract(html, r"(?i)<html\b([^>]*)>", 1)
-    name = F.regexp_extract(tag, r"""(?i)\blang\s*=\s*["']?([A-Za-z]{2,8})""", 1)
+    name = F.regexp_extract(tag, r"""(?i)(?:^|\s)lang\s*=\s*["']?([A-Za-z]{2,8})""", 1)
     return F.when(name != "", F.lower(name))
 
 
