@@ -23,7 +23,7 @@ from evalspark.llm.common import WORD, keep_table, packed, unpacked
 CYCLE = (5, 2, 1)
 MAX_REPEATS = 3
 _RANGE_ROWS = 20_000
-_STEPS = 1024  # ranges of finish times per unit of virtual time
+_STEPS = 1024  # ranges of finish times per unit of virtual time, at least; more when they would hold many documents
 
 
 def word_count(text: Column) -> Column:
@@ -81,6 +81,7 @@ def mix(
 
     # Sums over the shuffled order: ranges of the 60-bit key, about as many rows in each.
     ranges = max(1, -(-n // _RANGE_ROWS))
+    steps = max(_STEPS, ranges)
     sized = sized.withColumn("range", F.floor(F.col("key") / F.lit(2.0**60 / ranges)).cast("long"))
     in_range = sized.groupBy("source", "range").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,10 +102,10 @@ def mix(
         placed.filter("size > 0").withColumn("round", F.explode(rounds))
         .filter(F.col("round") * F.col("source_size") + F.col("upto") - F.col("size") < F.col("target"))
         .withColumn("finish", (F.col("round") * F.col("source_size") + F.col("upto")) / F.col("target"))
-        .withColumn("step", F.floor(F.col("finish") * _STEPS).cast("long"))
+        .withColumn("step", F.floor(F.col("finish") * steps).cast("long"))
     )
     queued = keep_table(queued.select("doc_id", "source", "size", "key", "upto", "round", "finish", "step"), "mix-queue")
-    # At most _STEPS rows, and one more per source for a document that finishes later.
+    # A row per step and per source for a document that finishes later: one for some 20,000 documents.
     served = queued.groupBy("step").agg(F.sum("size").alias("s"))
     running = served.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     cut = running.filter((F.col("before") <= budget) & (F.col("before") + F.col("s") > budget)).orderBy("step").first()
