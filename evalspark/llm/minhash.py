@@ -30,6 +30,7 @@ PERCENT = 80
 BANDS = 24
 ROWS = 5
 _BLOCK = 512
+_BLOCK_SHINGLES = 2_000_000  # of the texts in half a block
 _SIGNATURES = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"
 
 
@@ -205,9 +206,11 @@ def near_duplicates(
     same = keep_table(filled.select("doc_id", "set1", "set2", "n_shingles").join(same, ["set1", "set2", "n_shingles"]), "equal-sets")
     equal_links = same.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     one_each = same.filter("doc_id = rep").select("doc_id", "set1", "set2").distinct()
-    banded = filled.join(one_each, ["doc_id", "set1", "set2"]).select("doc_id", F.posexplode("bands").alias("band", "key"))
-    first = banded.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    members = keep_table(banded.join(first, ["band", "key"]).select("band", "key", "doc_id", "first", "n"), "band-groups")
+    banded = filled.join(one_each, ["doc_id", "set1", "set2"]).select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    # A group's blocks are bounded by documents and by what their texts hold.
+    parts = F.greatest(F.ceil(F.count("*") / _BLOCK), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES)).cast("int")
+    first = banded.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), parts.alias("chunks")).filter("n > 1")
+    members = keep_table(banded.join(first, ["band", "key"]).select("band", "key", "doc_id", "first", "chunks"), "band-groups")
     involved = members.select("doc_id").distinct().withColumnRenamed("doc_id", "i_id")
     texts = keep_table(plain.join(involved, F.col("doc_id") == F.col("i_id"), "left_semi").distinct(), "candidate-texts")
 
@@ -219,9 +222,9 @@ def near_duplicates(
 
     # Groups that hold several components.
     where = found.toDF("c_id", "c")
-    placed = keep_table(members.join(where, F.col("doc_id") == F.col("c_id"), "left").select("band", "key", "doc_id", "n", F.coalesce("c", "doc_id").alias("component")), "placed")
+    placed = keep_table(members.join(where, F.col("doc_id") == F.col("c_id"), "left").select("band", "key", "doc_id", "chunks", F.coalesce("c", "doc_id").alias("component")), "placed")
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band", "key")
-    open_rows = placed.join(mixed, ["band", "key"], "left_semi").withColumn("chunks", F.ceil(F.col("n") / _BLOCK).cast("int"))
+    open_rows = placed.join(mixed, ["band", "key"], "left_semi")
     open_rows = open_rows.withColumn("chunk", F.pmod(F.hash("doc_id"), F.col("chunks")).cast("int"))
     blocks = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = blocks.select("band", "key", "doc_id", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
