@@ -167,12 +167,13 @@ def append_replies(
 ) -> None:
     """Ask for what the table at ``path`` does not answer yet, and append the replies.
 
-    While they are asked for, replies are kept beside the table (``path`` with ``-progress``). What a call
+    While they are asked for, replies are kept beside the table, in a folder of their own. What a call
     that was broken off has left there is appended first, so that nothing is asked again; failed
     requests of such a call do not count.
     """
     spark = prompts.sparkSession
-    progress = f"{path.rstrip('/')}-progress"
+    parent, _, name = path.rstrip("/").rpartition("/")
+    progress = f"{parent}/_{name}-progress"  # a name that Spark does not read as a part of a table
     parameter_table(spark, [], schemas.RAW_REPLY).write.mode("ignore").parquet(path)
     stored = spark.read.schema(schemas.RAW_REPLY).parquet(path)
     store, inner, left = _folder(progress)

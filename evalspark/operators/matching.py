@@ -19,7 +19,6 @@ GOLD, PREDICTED = "gold", "predicted"
 _HASHES = (17, 91)
 # A hash is summed in three parts of 21, 21 and 22 bits: 2^41 rows fit a bigint.
 _PART_BITS = 21
-_WIDE = 40
 SIGNATURE = ["n_rows", "n_nulls", *[f"h{seed}_{part}" for seed in _HASHES for part in range(3)]]
 
 
@@ -59,34 +58,6 @@ def _by_position(result: DataFrame) -> DataFrame:
     return named.selectExpr(*[f"{cell_text(field.name, field.dataType)} AS {field.name}" for field in named.schema.fields])
 
 
-def signature_row(result: DataFrame) -> DataFrame:
-    """All column signatures of a result in one row, side by side, in one pass."""
-    canonical = _by_position(result)
-    aggregates = [aggregate for name in canonical.columns for aggregate in _signature(name)]
-    return canonical.selectExpr(*[f"{aggregate} AS s{number}" for number, aggregate in enumerate(aggregates)])
-
-
-def result_signatures(result: DataFrame) -> DataFrame:
-    """The signatures of one result's columns: ``(col_pos, signature columns)``.
-
-    A result without rows has the signatures of empty columns.
-    """
-    width = len(SIGNATURE)
-    if len(result.columns) <= _WIDE:
-        row = signature_row(result)
-        entries = ", ".join(
-            "named_struct('col_pos', {}, {})".format(
-                position, ", ".join(f"'{name}', s{position * width + number}" for number, name in enumerate(SIGNATURE))
-            )
-            for position in range(len(result.columns))
-        )
-        return row.selectExpr(f"inline(array({entries}))")
-    # Too many aggregates for one generated class: reduce cells by position.
-    positions = result.sparkSession.range(len(result.columns)).select(F.col("id").cast("int").alias("col_pos"))
-    found = column_signatures(result_cells(result, 0, GOLD)).drop("pair_id", "side")
-    return positions.join(found, "col_pos", "left").na.fill(0, SIGNATURE)
-
-
 def result_cells(result: DataFrame, pair_id: int, side: str) -> DataFrame:
     """A result as long-form cells ``(pair_id, side, col_pos, value)``, values in canonical text."""
     canonical = _by_position(result)

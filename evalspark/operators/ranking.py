@@ -84,6 +84,15 @@ def measured_cuts(df: DataFrame, by: list[str], value: Column, rows: int = RANGE
     return kept(counted.select("_group", cuts.alias("_cuts"), "_parts"), "range-cuts")
 
 
+def _ranged(df: DataFrame, by: list[str], value: Column, rows: int) -> DataFrame:
+    """``df`` with ``_group`` and ``_range``. Where no group has more rows than a range, there is nothing to cut."""
+    group = F.struct(*by).alias("_group")
+    largest = df.select(group).groupBy("_group").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if largest is None or largest <= rows:
+        return df.select("*", group, F.when(value.isNull(), 1).otherwise(0).alias("_range"))
+    return _with_range(df, by, value, measured_cuts(df, by, value, rows))
+
+
 def _with_range(df: DataFrame, by: list[str], value: Column, cuts: DataFrame) -> DataFrame:
     """``df`` with ``_group`` and ``_range``: a binary search in the cuts, and ranges behind all others for rows without a value."""
     spread = F.pmod(F.xxhash64(*df.columns), F.col("_parts")).cast("int")
@@ -111,7 +120,7 @@ def ranged_positions(
     values is many tasks. The offsets meet the rows on the partitioning the numbering already
     has. Rows with equal values are in one range.
     """
-    ranged = _with_range(df, by, value, measured_cuts(df, by, value, rows))
+    ranged = _ranged(df, by, value, rows)
     in_range = Window.partitionBy("_group", "_range").orderBy(*order)
     numbered = ranged.withColumn("_in_range", F.row_number().over(in_range))
     offsets = _range_offsets(ranged).select("_group", "_range", "_before")
@@ -124,7 +133,7 @@ def first_by_range(df: DataFrame, by: list[str], value: Column, order: list[Colu
     The range where each group reaches ``k`` is found from counts, and only rows up to it are
     shuffled, by (group, range).
     """
-    ranged = _with_range(df, by, value, measured_cuts(df, by, value, rows))
+    ranged = _ranged(df, by, value, rows)
     cut = _range_offsets(ranged).filter(F.col("_before") < k).groupBy("_group").agg(
         F.max("_range").alias("_cut"), F.max("_before").alias("_cut_before")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalspark import fixed_values as fixed
 from evalspark.operators import ranking
+from evalspark.tables import kept
 
 QUESTION_SET_COLUMNS = ["index_in_original", "difficulty", "db_id", "sql_query", "question", "schema", "evidence"]
 
@@ -87,8 +88,8 @@ def bucket_level(difficulty: Column) -> Column:
 def question_buckets(questions: DataFrame, difficulty: str = "difficulty") -> DataFrame:
     """``(question_id, dataset_size)`` of the questions in the small buckets.
 
-    At most 120 positions in each of three levels: never more than 360 rows. A
-    question counts once, however many rows (runs) it has.
+    At most 120 positions in each of three levels: never more than 360 rows, written
+    once. A question counts once, however many rows (runs) it has.
     """
     last = max(end for _, _, end in fixed.BUCKETS)
     once = questions.groupBy("question_id").agg(F.min(bucket_level(F.col(difficulty))).alias("_level"))
@@ -97,15 +98,15 @@ def question_buckets(questions: DataFrame, difficulty: str = "difficulty") -> Da
     for label, start, end in fixed.BUCKETS:
         inside = (F.col("position") > start) & (F.col("position") <= end)
         size = F.when(inside, F.lit(label)) if size is None else size.when(inside, F.lit(label))
-    return ranked.select("question_id", size.alias("dataset_size"))
+    return kept(ranked.select("question_id", size.alias("dataset_size")), "buckets")
 
 
 def bucket_rows(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     """Every row once for the full set and once more for the bucket its question is in.
 
-    The bucket table is broadcast: :func:`question_buckets` holds at most 360
-    rows. The rows themselves are not shuffled.
+    Spark knows the size of the table that :func:`question_buckets` has written, and broadcasts it: the rows
+    themselves are not shuffled. Any other table is joined as its size suggests.
     """
-    small = F.broadcast(buckets.withColumnRenamed("dataset_size", "_bucket"))
+    small = buckets.withColumnRenamed("dataset_size", "_bucket")
     sizes = F.array_compact(F.array(F.lit(fixed.FULL_SIZE), F.col("_bucket")))
     return rows.join(small, "question_id", "left").withColumn("dataset_size", F.explode(sizes)).drop("_bucket")

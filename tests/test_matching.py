@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.operators import matching
+from evalspark.operators import matching, scoring
 
 
 def same_columns(gold, predicted):
@@ -103,8 +103,7 @@ def test_collisions_are_found(spark):
 
 
 def signature(spark, sql):
-    rows = matching.result_signatures(spark.sql(sql)).select(*matching.SIGNATURE).collect()
-    return sorted(tuple(row) for row in rows)
+    return [tuple(column) for column in scoring.signatures([("one", spark.sql(sql))]).first().signature]
 
 
 SAME = [
@@ -146,8 +145,9 @@ def test_cells_and_signatures_agree(spark):
     result = spark.createDataFrame([(1, 2.5, "a", Decimal("1.50")), (None, None, None, None)], "a int, b double, c string, d decimal(9,2)")
     cells = matching.result_cells(result, 1, matching.GOLD)
     assert {(r.col_pos, r.value) for r in cells.collect() if r.value is not None} == {(0, "n:1"), (1, "n:2.5"), (2, "s:a"), (3, "n:1.5")}
-    by_cells = matching.column_signatures(cells).select("col_pos", *matching.SIGNATURE)
-    assert sorted(map(tuple, by_cells.collect())) == sorted(map(tuple, matching.result_signatures(result).collect()))
+    by_cells = matching.column_signatures(cells).select(*matching.SIGNATURE)
+    both = {r.key: sorted(map(tuple, r.signature)) for r in scoring.signatures([("a", result), ("b", result.limit(0)), ("c", result)]).collect()}
+    assert both["a"] == both["c"] == sorted(map(tuple, by_cells.collect())) != both["b"]
 
 
 def test_whole_rows_match_without_regard_to_order(spark):
