@@ -140,4 +140,37 @@ covered AS (
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
 
-ORACLE_SQL = {"op4_fair_mix": MIX, "op7_substring_dedup": REPEATS, "op8_embedding_dedup": VECTORS, "op9_minhash": NEAR, "op11_cross_polytope": NEAREST, "op12_hard_negatives": HARD, "op13_collocations": PHRASES}
+LINES = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+split AS (SELECT rid, doc_id, text, string_split(text, chr(10)) AS l FROM docs WHERE text IS NOT NULL),
+raw AS (SELECT rid, doc_id, text, p, l[p] AS line FROM split, unnest(range(1, len(l) + 1)) AS u(p)),
+masked AS (
+  SELECT rid, doc_id, text, p, regexp_replace(trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM raw
+), lines AS (SELECT * FROM masked WHERE m <> ''),
+shapes AS (
+  SELECT m, string_split(m, ' ') AS w, len(string_split(m, ' ')) AS n, array_to_string(string_split(m, ' ')[1 : 3], ' ') AS lead, count(*) AS weight FROM lines GROUP BY m
+), words AS (SELECT m, n, lead, weight, q, w[q] AS word, q > 3 AND w[q] <> '<*>' AS plain FROM shapes, unnest(range(1, n + 1)) AS u(q)),
+-- How many lines of a leaf have a word at a place.
+common AS (SELECT n, lead, q, word, sum(weight) AS f FROM words WHERE plain GROUP BY ALL),
+counted AS (SELECT s.*, coalesce(c.f, 0) AS f FROM words s LEFT JOIN common c ON plain AND c.n = s.n AND c.lead = s.lead AND c.q = s.q AND c.word = s.word),
+limits AS (SELECT m, step, 10 * pow(2, step) AS least FROM (SELECT m, max(f) AS top FROM counted GROUP BY m), unnest(range(0, 40)) AS u(step) WHERE step = 0 OR 10 * pow(2, step) <= top),
+templates AS (
+  SELECT m, step, string_agg(CASE WHEN plain AND f < least THEN '<*>' ELSE word END, ' ' ORDER BY q) AS template,
+         count(*) FILTER (WHERE plain) AS k, count(*) FILTER (WHERE plain AND f >= least) AS kept,
+         count(*) FILTER (WHERE word = '<*>' OR plain AND f < least) AS fields,
+         count(*) FILTER (WHERE (NOT plain OR f >= least) AND regexp_matches(word, '\p{L}')) AS letters
+  FROM counted JOIN limits USING (m) GROUP BY m, step
+), fitting AS (SELECT m, step, template FROM templates WHERE kept >= 0.75 * k AND letters >= fields),
+recurring AS (SELECT template FROM lines JOIN fitting USING (m) GROUP BY template HAVING count(DISTINCT text) >= 10),
+chosen AS (SELECT m, arg_min(template, step) AS template FROM fitting JOIN recurring USING (template) GROUP BY m),
+placed AS (SELECT rid, doc_id, p, template FROM lines JOIN chosen USING (m)),
+earliest AS (SELECT template, min(doc_id) AS first FROM placed GROUP BY template),
+gone AS (SELECT rid, p FROM placed JOIN earliest USING (template) WHERE doc_id IS DISTINCT FROM first),
+rest AS (SELECT rid, string_agg(line, chr(10) ORDER BY p) AS kept FROM raw ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(length(coalesce(kept, '')) AS INTEGER) AS n_chars_kept, CAST(len(string_split(coalesce(kept, ''), chr(10))) AS INTEGER) AS n_lines_kept, md5(coalesce(kept, '')) AS kept_md5
+FROM docs LEFT JOIN rest USING (rid)
+"""
+
+ORACLE_SQL = {
+    "op3_line_templates": LINES, "op4_fair_mix": MIX, "op7_substring_dedup": REPEATS, "op8_embedding_dedup": VECTORS, "op9_minhash": NEAR, "op11_cross_polytope": NEAREST, "op12_hard_negatives": HARD, "op13_collocations": PHRASES,
+}
