@@ -15,16 +15,17 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
-from functools import reduce
 from itertools import islice
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark import fixed_values as fixed
 from evalspark import schemas
+from evalspark.functions.canonical import cell_text
 from evalspark.operators import matching
 from evalspark.session import new_table_path
 from evalspark.tables import parameter_table
@@ -39,6 +40,7 @@ _FAILURES = 1_000
 DONE, LATE, ERROR = "done", "timeout", "error"
 
 Statement = tuple[str, str]  # key, text
+Result = tuple[str, str, T.StructType]  # key, text, columns
 
 
 def use_database(session: SparkSession, db_id: str) -> None:
@@ -54,6 +56,13 @@ def as_query(text: str) -> str:
     return f"SELECT * FROM (\n{statement}\n)"
 
 
+def _row_query(number: int, text: str, schema: T.StructType) -> str:
+    """The rows of a statement's result as ``(pair_id, cells)``, cells in canonical text; columns go by position."""
+    names = [f"c{position}" for position in range(len(schema))]
+    cells = ", ".join(cell_text(name, field.dataType) for name, field in zip(names, schema.fields))
+    return f"SELECT {number}L AS pair_id, array({cells}) AS cells FROM ({as_query(text)}) AS t({', '.join(names)})"
+
+
 def statement_key(db_id: Column, text: Column, version: str = "", strict_duplicates: bool = False) -> Column:
     """What a stored signature is found by: database, its version, statement, and how equal names count."""
     return F.sha2(F.to_json(F.array(db_id, text, F.lit(version), F.lit(str(strict_duplicates)))), 256)
@@ -102,30 +111,29 @@ class StatementRunner:
         """Store the signatures of the statements; (key, status) of those that have none."""
         failures, results = [], []
         for key, text in statements:
-            result = self._analysed(db_id, text)
-            if result is None:
+            schema = self._schema(db_id, text)
+            if schema is None:
                 failures.append((key, ERROR))
             else:
-                results.append((key, result))
+                results.append((key, text, schema))
         for group in _by_width(results):
             failures += self._reduced(db_id, group)
         return failures
 
-    def _analysed(self, db_id: str, text: str) -> DataFrame | None:
+    def _schema(self, db_id: str, text: str) -> T.StructType | None:
+        """The columns of a statement's result; none for a statement that cannot be analysed."""
         for _ in range(_ATTEMPTS):
             try:
-                result = self.session(db_id).sql(as_query(text))
-                if not (self.strict and len(set(result.columns)) < len(result.columns)):
-                    return result
-                return None
+                schema = self.session(db_id).sql(as_query(text)).schema
+                return None if self.strict and len(set(schema.names)) < len(schema) else schema
             except (AnalysisException, ValueError, AttributeError):
                 return None  # the statement itself is wrong
             except Exception:
                 continue  # perhaps a service that was away for a moment
         return None
 
-    def _reduced(self, db_id: str, results: list[tuple[str, DataFrame]], again: int = _ATTEMPTS) -> list[tuple[str, str]]:
-        status = self._attempt(results)
+    def _reduced(self, db_id: str, results: list[Result], again: int = _ATTEMPTS) -> list[tuple[str, str]]:
+        status = self._attempt(db_id, results)
         self._learn(db_id, len(results), status == LATE)
         if status == DONE:
             return []
@@ -136,7 +144,7 @@ class StatementRunner:
             return self._reduced(db_id, results, again - 1)
         return [(results[0][0], status)]
 
-    def _attempt(self, results: list[tuple[str, DataFrame]]) -> str:
+    def _attempt(self, db_id: str, results: list[Result]) -> str:
         """One job for all results, within the time of one statement."""
         group = f"score-{uuid.uuid4().hex}"
         context = self.spark.sparkContext
@@ -160,7 +168,7 @@ class StatementRunner:
         watch.start()
         try:
             # Jobs that write to one folder at a time would clean up one another's files.
-            signatures(results).write.parquet(f"{self.store}/{group}")
+            signatures(self.session(db_id), results).write.parquet(f"{self.store}/{group}")
             return DONE
         except Exception:
             return LATE if expired.is_set() else ERROR
@@ -176,34 +184,31 @@ class StatementRunner:
         return any(stage.numActiveTasks or stage.numCompletedTasks or stage.numFailedTasks for stage in stages)
 
 
-def _by_width(results: list[tuple[str, DataFrame]]) -> Iterator[list[tuple[str, DataFrame]]]:
+def _by_width(results: list[Result]) -> Iterator[list[Result]]:
     """Groups of results with a bounded number of columns together."""
     group, width = [], 0
-    for key, result in results:
-        if group and width + len(result.columns) > _COLUMNS:
+    for result in results:
+        columns = len(result[2])
+        if group and width + columns > _COLUMNS:
             yield group
             group, width = [], 0
-        group.append((key, result))
-        width += len(result.columns)
+        group.append(result)
+        width += columns
     if group:
         yield group
 
 
-def signatures(results: list[tuple[str, DataFrame]]) -> DataFrame:
-    """``(key, status, signature)`` of several results in one pass: the sorted signatures of each one's columns.
+def signatures(session: SparkSession, results: list[Result]) -> DataFrame:
+    """``(key, status, signature)`` of several statements in one pass: the sorted signatures of each result's columns.
 
-    Cells are reduced by (statement, column) where they are read, so one
-    small row per column and task is shuffled, whatever the number of statements.
+    Rows of all results stand below one another, and cells are reduced by (statement, column) where they are read, so
+    one small row per column and task is shuffled, whatever the number of statements.
     """
-    spark = results[0][1].sparkSession
-    cells = [matching.result_cells(result, number, matching.GOLD) for number, (_, result) in enumerate(results)]
-    while len(cells) > 1:  # in pairs, so that the plan is not nested deeply
-        cells = [reduce(DataFrame.unionByName, cells[at : at + 2]) for at in range(0, len(cells), 2)]
-    columns = matching.column_signatures(cells[0])
+    rows = session.sql("\nUNION ALL\n".join(_row_query(number, text, schema) for number, (_, text, schema) in enumerate(results)))
+    cells = rows.select("pair_id", F.lit(matching.GOLD).alias("side"), F.posexplode("cells").alias("col_pos", "value"))
+    columns = matching.column_signatures(cells)
     listed = columns.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.array(*matching.SIGNATURE))).alias("signature"))
-    names = parameter_table(
-        spark, [(number, key, len(result.columns)) for number, (key, result) in enumerate(results)], schemas.STATEMENT,
-    )
+    names = parameter_table(session, [(number, key, len(schema)) for number, (key, _, schema) in enumerate(results)], schemas.STATEMENT)
     # A result without rows has the signatures of empty columns.
     empty = F.array_repeat(F.array_repeat(F.lit(0).cast("bigint"), len(matching.SIGNATURE)), F.col("width"))
     found = names.join(listed, F.col("number") == F.col("pair_id"), "left")

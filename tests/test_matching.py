@@ -103,7 +103,7 @@ def test_collisions_are_found(spark):
 
 
 def signature(spark, sql):
-    return [tuple(column) for column in scoring.signatures([("one", spark.sql(sql))]).first().signature]
+    return [tuple(column) for column in scoring.signatures(spark, [("one", sql, spark.sql(sql).schema)]).first().signature]
 
 
 SAME = [
@@ -146,7 +146,9 @@ def test_cells_and_signatures_agree(spark):
     cells = matching.result_cells(result, 1, matching.GOLD)
     assert {(r.col_pos, r.value) for r in cells.collect() if r.value is not None} == {(0, "n:1"), (1, "n:2.5"), (2, "s:a"), (3, "n:1.5")}
     by_cells = matching.column_signatures(cells).select(*matching.SIGNATURE)
-    both = {r.key: sorted(map(tuple, r.signature)) for r in scoring.signatures([("a", result), ("b", result.limit(0)), ("c", result)]).collect()}
+    result.createOrReplaceTempView("a_result")
+    statements = [(key, f"SELECT * FROM a_result {rest}", result.schema) for key, rest in (("a", ""), ("b", "WHERE a = 0"), ("c", "ORDER BY 1"))]
+    both = {r.key: sorted(map(tuple, r.signature)) for r in scoring.signatures(spark, statements).collect()}
     assert both["a"] == both["c"] == sorted(map(tuple, by_cells.collect())) != both["b"]
 
 
