@@ -27,7 +27,7 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -41,6 +41,7 @@ from evalspark.llm.common import Memory, slices
 # What the byte-level splitting pattern treats apart.
 CONTRACTIONS = [b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d"]
 SPACES = b" \t\n\r\x0b\x0c"
+_IS_SPACE = np.isin(np.arange(256), list(SPACES))
 
 PLAIN = re.compile("[ ]?[A-Za-z]+")  # one pre-token whatever stands around it
 
@@ -97,6 +98,8 @@ class ForcedBoundaryBpe:
         self.special_pattern = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
         self.fragment_pattern = re.compile(self._coarse_pattern(), re.DOTALL)
         self.by_rank = self._ranked(spec["model"], added)
+        ascii_characters = list(map(chr, range(128)))
+        self.ascii_cuts = {(a, b) for a in ascii_characters for b in ascii_characters if self.cuts(a + b)}
         self.fragments = Memory(self._encode_fragment)
         self.parts = Memory(lambda part: self._encode_parts([part])[0])
 
@@ -147,7 +150,14 @@ class ForcedBoundaryBpe:
 
     def _split(self, fragment: bytes) -> list[str]:
         text = fragment.decode("utf-8")
-        at = [0, *self.cuts(text), len(text)]
+        if fragment.isascii():  # whether there is a cut between two characters is known beforehand
+            pairs = self.ascii_cuts
+            at = [i for i, pair in enumerate(zip(text, text[1:]), 1) if pair in pairs]
+            if not at:
+                return [text]
+            at = [0, *at, len(text)]
+        else:
+            at = [0, *self.cuts(text), len(text)]
         return [text[a:b] for a, b in zip(at, at[1:])]
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
@@ -166,18 +176,54 @@ class ForcedBoundaryBpe:
             out.extend([piece] if piece in self.special else self.fragment_pattern.findall(piece))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self._stretches(t.encode("utf-8")) for t in texts]
-        unknown = [f for f in self.fragments.unknown(f for s in split for f in s) if f not in self.special]
+    def _learn(self, fragments: Iterable[bytes]) -> None:
+        """Encode those of the fragments that are not known."""
+        unknown = [f for f in self.fragments.unknown(fragments) if f not in self.special]
         fine = [self._split(f) for f in unknown]
         parts = self.parts.unknown(p for s in fine for p in s)
         for part, ids in zip(parts, self._encode_parts(parts)):
             self.parts.put(part, ids)
         for fragment, pieces in zip(unknown, fine):
             self.fragments.put(fragment, b"".join(map(self.parts.__getitem__, pieces)))
-        self.fragments.update(self.special)
-        return [b"".join(map(self.fragments.__getitem__, s)) for s in split]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        raw = [t.encode("utf-8") for t in texts]
+        if self.special_pattern is None:
+            return self._encode_plain(raw)
+        special = [bool(self.special_pattern.search(r)) for r in raw]
+        plain = iter(self._encode_plain([r for r, s in zip(raw, special) if not s]))
+        return [self._encode_special(r) if s else next(plain) for r, s in zip(raw, special)]
+
+    def _encode_special(self, raw: bytes) -> bytes:
+        """The ids of a text that holds special tokens."""
+        stretches = self._stretches(raw)
+        self._learn(stretches)
+        return b"".join([self.special.get(s) or self.fragments[s] for s in stretches])
+
+    def _encode_plain(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of texts, which are taken together and cut in front of white space: no stretch is an object of
+        its own, only each distinct one."""
+        whole = b"".join(raw)
+        if not whole:
+            return [b""] * len(raw)
+        data = np.frombuffer(whole, np.uint8)
+        begins = np.concatenate([[True], _IS_SPACE[data[1:]] & ~self.seen[data[:-1], data[1:]]])
+        ends = np.cumsum([len(r) for r in raw])
+        begins[ends[ends < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        stretches = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        codes, distinct = stretches.indices.to_numpy(), stretches.dictionary.to_pylist()
+        self._learn(distinct)
+        listed = list(map(self.fragments.__getitem__, distinct))
+        sizes = np.fromiter(map(len, listed), np.int64, len(listed)) // 4
+        first = np.cumsum(sizes) - sizes
+        sizes = sizes[codes]
+        upto = np.cumsum(sizes)
+        ids = np.frombuffer(b"".join(listed), "<u4")[np.repeat(first[codes] - upto + sizes, sizes) + np.arange(upto[-1])].tobytes()
+        places = np.concatenate([[0], upto])[np.searchsorted(starts, np.concatenate([[0], ends]))] * 4
+        return [ids[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""

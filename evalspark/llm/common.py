@@ -67,7 +67,7 @@ class Memory(dict):
 
     def unknown(self, keys: Iterable) -> list:
         """The distinct keys without a value."""
-        return [key for key in set(keys) if key not in self and key not in self.old]
+        return list(set(keys).difference(self, self.old))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
