@@ -575,7 +575,7 @@ def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def prepare(session: SparkSession, _: str) -> None:
         views.table(session, sf_dir, "customer").createOrReplaceTempView("customer")
 
-    return scoring.score_sql(spark, pairs, prepare=prepare, parallelism=8)
+    return scoring.score_sql(spark, pairs, prepare=prepare, parallelism=8, batch=16)
 
 
 @registered
