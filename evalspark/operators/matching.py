@@ -22,25 +22,25 @@ _PART_BITS = 21
 SIGNATURE = ["n_rows", "n_nulls", *[f"h{seed}_{part}" for seed in _HASHES for part in range(3)]]
 
 
-def _hash_sums(value: str) -> list[str]:
-    """SQL sums over the group of both hashes of ``value``, in parts, in SIGNATURE order."""
+def signature_parts(value: str) -> list[str]:
+    """SQL of what a signature sums of one ``value``: 1 if it is NULL, and both hashes in parts, in SIGNATURE order."""
     low = (1 << _PART_BITS) - 1
-    sums = []
+    parts = [f"CASE WHEN {value} IS NULL THEN 1L END"]
     for seed in _HASHES:
         # The seed goes first, so the two hashes are independent of each other.
         code = f"xxhash64({seed}, {value})"
-        parts = (
+        shares = (
             f"{code} & {low}L",
             f"shiftrightunsigned({code}, {_PART_BITS}) & {low}L",
             f"shiftrightunsigned({code}, {2 * _PART_BITS})",
         )
-        sums += [f"coalesce(sum(CASE WHEN {value} IS NOT NULL THEN {part} END), 0L)" for part in parts]
-    return sums
+        parts += [f"CASE WHEN {value} IS NOT NULL THEN {share} END" for share in shares]
+    return parts
 
 
 def _signature(value: str) -> list[str]:
     """SQL aggregates of one column, in SIGNATURE order."""
-    return ["count(1)", f"count(CASE WHEN {value} IS NULL THEN 1 END)", *_hash_sums(value)]
+    return ["count(1)", *[f"coalesce(sum({part}), 0L)" for part in signature_parts(value)]]
 
 
 def _named(aggregates: list[str]) -> list[Column]:
