@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evalspark import fixed_values as fixed
 from evalspark.functions import prompts
 from evalspark.operators import ranking
+from evalspark.tables import kept
 
 SHOT_KEYS = ["shot", "db_id"]
 # Places where a database's texts meet its questions.
@@ -139,10 +140,11 @@ def with_late_texts(
     What moves is each question once, and the texts of each database (its schema, and its examples of all
     shots) once per salt: they meet by (database, salt), where a question is one row, and runs are unfolded
     behind that, without another shuffle. So neither is multiplied by runs or questions before it is used, and
-    a hot database is many tasks. While the texts are small, Spark broadcasts them and nothing moves.
+    a hot database is many tasks. The texts are written once, so that their size is known: while they are small, Spark
+    broadcasts them, and questions move only to be spread over ``partitions``.
     """
     shots = examples.groupBy("db_id").agg(F.map_from_entries(F.collect_list(F.struct("shot", "examples"))).alias("_by_shot"))
-    texts = contexts.join(shots, "db_id", "full").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    texts = kept(contexts.join(shots, "db_id", "full"), "prompt-texts").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     asked = questions.drop("schema").withColumn("_salt", F.pmod(F.xxhash64("question_id"), F.lit(salts)).cast("int"))
     if partitions:
         asked = asked.repartition(partitions, "db_id", "_salt")

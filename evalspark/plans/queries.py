@@ -352,16 +352,12 @@ def few_shot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question for every model of the grid; the instruction size goes by the question."""
     runs = prompt_operators.grid(GRID_MODELS, [0], ["2"])
-    questions = context.with_context(
-        views.question_rows(spark, sf_dir).withColumn("shot", F.lit("2_shot")),
-        context.db_context(views.schema_catalog(spark, sf_dir)),
+    contexts = context.db_context(views.schema_catalog(spark, sf_dir))
+    asked = prompt_operators.with_late_texts(
+        views.question_rows(spark, sf_dir), contexts, _examples(spark, sf_dir), runs, spark.sparkContext.defaultParallelism,
     )
-    ready = prompt_operators.with_examples(questions, _examples(spark, sf_dir)).drop("shot")
     sizes = F.array(*[F.lit(size) for size in fixed.INSTRUCTION_SIZES])
-    spread = spark.sparkContext.defaultParallelism
-    return prompt_operators.with_runs(ready, runs, spread).withColumn(
-        "instruction", F.get(sizes, (F.col("question_id") % 5).cast("int"))
-    )
+    return asked.withColumn("instruction", F.get(sizes, (F.col("question_id") % 5).cast("int")))
 
 
 @registered
