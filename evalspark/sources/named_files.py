@@ -96,14 +96,15 @@ def _place(root: str, path: str) -> tuple[str, str]:
     return "/".join([root, *parts[:-1]]), parts[-1]
 
 
-def write_named(lines: DataFrame, root: str, **options: str) -> None:
+def write_named(lines: DataFrame, root: str, files: int = 0, **options: str) -> None:
     """Write lines ``(path, ord, line)`` to files below ``root``, which every executor has to reach.
 
     Options are ``header``, ``footer`` and ``between``. A file is written by one task, line by line, many files by
-    many tasks. The driver gets their names, no lines.
+    many tasks; where the caller knows the number of ``files``, there are as many tasks at least. The driver gets
+    their names, no lines.
     """
     spark = lines.sparkSession
     spark.dataSource.register(NamedFiles)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = lines.select("path", "ord", "line").repartition(tasks, "path").sortWithinPartitions("path", "ord")
     dealt.write.format("named_files").mode("append").options(**options).save(root)

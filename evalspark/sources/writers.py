@@ -10,6 +10,10 @@ from evalspark.functions import lines
 from evalspark.sources.named_files import write_named
 
 
+# Text of one JSON array, if its writer may choose.
+ARRAY_BYTES = 32 << 20
+
+
 def _csv(writer, path: str) -> None:
     # By default the writer would cut blanks at both ends of a text.
     kept = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -37,15 +41,20 @@ def write_questions(questions: DataFrame, path: str) -> None:
     questions.write.mode("overwrite").json(path)
 
 
-def write_question_arrays(questions: DataFrame, path: str, parts: int = 1, order: str = "question_id") -> None:
+def write_question_arrays(questions: DataFrame, path: str, parts: int | None = None, order: str = "question_id") -> None:
     """Questions as JSON arrays, ``part=N/questions.json``; an export for tools that read whole arrays.
 
-    An array is written line by line, so it may be of any size; ``read_questions`` reads it in several tasks.
+    An array is written by one task, line by line, so it may be of any size, and ``read_questions`` reads it in several
+    tasks. Unless ``parts`` says otherwise, there are as many arrays as hold some ``ARRAY_BYTES`` of text each.
     """
-    part = F.pmod(F.xxhash64(order), F.lit(parts)).cast("string")
+    if parts is None:
+        n_bytes = questions.select(F.sum(F.octet_length(F.concat_ws("", *questions.columns)).cast("bigint"))).first()[0] or 0
+        parts = n_bytes // ARRAY_BYTES + 1
+    # By all columns: ids may be missing or repeat.
+    part = F.pmod(F.xxhash64(*questions.columns), F.lit(parts)).cast("string")
     name = F.concat(F.lit("part="), part, F.lit("/questions.json"))
     line = F.to_json(F.struct(*questions.columns))
-    write_named(questions.select(name.alias("path"), F.col(order).alias("ord"), line.alias("line")), path, header="[", between=",", footer="]")
+    write_named(questions.select(name.alias("path"), F.col(order).alias("ord"), line.alias("line")), path, parts, header="[", between=",", footer="]")
 
 
 def write_shot_samples(samples: DataFrame, path: str) -> None:

@@ -311,3 +311,13 @@ def test_written_arrays_and_maps_are_valid_json(spark, tmp_path):
     assert {name: list(m) for name, m in maps.items()} == {f"run_id=r{k}": [str(i) for i in range(k, 20, 2)] for k in (0, 1)}
     back = readers.read_prediction_map(spark, str(tmp_path / "p" / "run_id=*"), part_bytes=50)
     assert sorted((r.pair_index, r.predicted_sql) for r in back.collect()) == [(i, f'SELECT "{i}') for i in range(20)]
+
+
+def test_large_question_sets_are_several_arrays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "ARRAY_BYTES", 20_000, raising=False)
+    rows = spark.range(2_000).selectExpr("CASE WHEN id % 2 = 0 THEN id END AS question_id", "'a' AS db_id", "'simple' AS difficulty", "repeat(string(id), 10) AS question", "'' AS evidence", "'SELECT 1' AS SQL")
+    writers.write_question_arrays(rows, str(tmp_path / "q"))
+    whole = [path.stat().st_size for path in (tmp_path / "q").rglob("questions.json")]
+    assert len(whole) > 2 and max(whole) < sum(whole) / 2, whole
+    back = readers.read_questions(spark, str(tmp_path / "q" / "part=*"), part_bytes=10_000)
+    assert back.exceptAll(rows.withColumnRenamed("SQL", "sql_query")).count() == 0 and back.count() == 2_000
