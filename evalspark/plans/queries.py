@@ -353,8 +353,11 @@ def _prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question for every model of the grid; the instruction size goes by the question."""
     runs = prompt_operators.grid(GRID_MODELS, [0], ["2"])
     contexts = context.db_context(views.schema_catalog(spark, sf_dir))
+    questions = views.question_rows(spark, sf_dir)
+    # As many files as cores are read by enough tasks: their texts need not move.
+    spread = spark.sparkContext.defaultParallelism
     asked = prompt_operators.with_late_texts(
-        views.question_rows(spark, sf_dir), contexts, _examples(spark, sf_dir), runs, spark.sparkContext.defaultParallelism,
+        questions, contexts, _examples(spark, sf_dir), runs, spread if len(questions.inputFiles()) < spread else None,
     )
     sizes = F.array(*[F.lit(size) for size in fixed.INSTRUCTION_SIZES])
     return asked.withColumn("instruction", F.get(sizes, (F.col("question_id") % 5).cast("int")))

@@ -117,12 +117,13 @@ def test_sources_use_no_forbidden_calls():
     assert len(re.findall(r"\.collect\(\)", text)) == 1 and ".distinct().collect()" in text
 
 
-def test_prompts_move_each_question_once(spark, tmp_path):
-    """Samples of more bytes than Spark broadcasts by estimate, of which the prompts need a few."""
+@pytest.mark.parametrize("files", [1, 8])
+def test_prompts_move_each_question_once_at_most(spark, tmp_path, files):
+    """From few files each question moves once, from as many as there are cores none does. Samples of more bytes than Spark broadcasts by estimate, of which the prompts need a few."""
     folder = str(tmp_path)
-    spark.range(200).selectExpr("id AS doc_id", "repeat('words ', 50) AS text", "'en' AS lang", "concat('src', id % 20) AS source", "300L AS n_chars").write.parquet(f"{folder}/documents.parquet")
+    spark.range(200).selectExpr("id AS doc_id", "repeat('words ', 50) AS text", "'en' AS lang", "concat('src', id % 20) AS source", "300L AS n_chars").repartition(files).write.parquet(f"{folder}/documents.parquet")
     spark.range(40).selectExpr("id AS item_id", "'text' AS text").write.parquet(f"{folder}/benchmark.parquet")
     turns = "sha2(string(id), 512)"
     spark.range(120_000).selectExpr("id div 2 AS conv_id", "id % 2 AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", f"concat({turns}, {turns}) AS text").write.parquet(f"{folder}/conversations.parquet")
     text = plan(queries.prompt_fill(spark, folder))
-    assert text.count("Exchange hashpartitioning(") == 1 and "SortMergeJoin" not in text, text
+    assert text.count("Exchange hashpartitioning(") == (files < 8) and "SortMergeJoin" not in text, text
